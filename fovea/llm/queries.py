@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fovea.llm import jaccard, langid, packing, secret_scan, toxicity
+from fovea.llm import jaccard, langid, packing, secret_scan, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +42,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
