@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fovea.llm import htmltext, jaccard, langid, packing, secret_scan, simhash, topk, toxicity
+from fovea.llm import htmltext, jaccard, langid, packing, piecelattice, secret_scan, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages, htmltext.fit(pages))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html)}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecelattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": """
 WITH v AS (
