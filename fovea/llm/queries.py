@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fovea.llm import htmltext, jaccard, langid, packing, piecelattice, secret_scan, simhash, topk, toxicity
+from fovea.llm import htmltext, jaccard, langid, license_scan, packing, piecelattice, secret_scan, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecelattice.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece)}
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder for each source, in it one for each thousand keys."""
+    docs = table(spark, sf_dir, "documents")
+    shelf = F.floor(F.col("doc_id") / 1000).cast("string")
+    return license_scan.scan(docs.select("doc_id", F.concat_ws("/", "source", shelf, F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece, op4_licenses)}
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": """
 WITH v AS (
