@@ -363,7 +363,8 @@ def fit(pages: DataFrame, html_col: str = "html", max_train_pages: int = MAX_TRA
         found = sorted(t for b in batches for t in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([learn(found).dumps()], pa.binary())], names=["model"])
 
-    return Labeller.loads(drawn.mapInArrow(run, "model binary").first()[0])
+    learned = drawn.mapInArrow(run, "model binary").first()
+    return Labeller.loads(learned[0]) if learned else learn([])
 
 
 def extract(pages: DataFrame, model: Labeller, html_col: str = "html") -> DataFrame:

@@ -231,7 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, id
         c = _learn([texts[i] for i in order], np.array(toxic, bool)[order], min_contexts, min_ratio)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (c.weights.astype(np.float32), np.array([c.bias]), c.trans, c.start, c.whole)], names=["w", "b", "t", "s", "d"])
 
-    w, b, t, s, d = rows.mapInArrow(learn, "w binary, b binary, t binary, s binary, d binary").first()
+    learned = rows.mapInArrow(learn, "w binary, b binary, t binary, s binary, d binary").first()
+    if learned is None:
+        return train([], np.zeros(0), np.zeros(0))
+    w, b, t, s, d = learned
     return Chain(np.frombuffer(w, np.float32).astype(float), float(np.frombuffer(b)[0]), np.frombuffer(t).reshape(2, 2), np.frombuffer(s), np.frombuffer(d))
 
 
