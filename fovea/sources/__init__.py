@@ -1,0 +1,107 @@
+"""Reading and writing tables and result trees."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def optional(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table, or an empty one of the schema where nothing has been written."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def reports(spark: SparkSession, paths: Sequence[str], schema: StructType, encoding: str = "UTF-8", names: Mapping[str, str] | None = None) -> DataFrame:
+    """Delimited reports with a header and a given schema, never an inferred one; renamed, with their file's name."""
+    df = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").csv(list(paths))
+    return df.withColumnsRenamed(dict(names or {})).withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+
+
+def waves(*frames: DataFrame) -> DataFrame:
+    """All rows of all waves; a column that a wave lacks is null there."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def write_by(df: DataFrame, path: str, *keys: str, mode: str = "overwrite") -> None:
+    """Parquet with one folder for each key value, one shuffle to gather them and no tiny files."""
+    (df.repartition(*keys) if keys else df).write.mode(mode).partitionBy(*keys).parquet(path)
+
+
+def missing_items(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of items that haven't been written yet."""
+    return df.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def upsert(old: DataFrame, new: DataFrame, scope: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """New rows, and the old ones that this run didn't cover. Covered: every filter of the scope holds; no scope: all."""
+    if not scope:
+        return new
+    covered = F.lit(True)
+    for column, values in scope.items():
+        covered = covered & F.coalesce(F.col(column).isin(*values), F.lit(False))
+    return old.where(~covered).unionByName(new, allowMissingColumns=True)
+
+
+def upsert_on_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """New rows, and the old ones whose key isn't among them."""
+    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Of a table's rows, whatever their order, and of its column names."""
+    columns = sorted(df.columns)
+    rows = df.select(F.xxhash64(*columns).alias("h"))
+    n, mixed, total = rows.agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return f"{'-'.join(columns)}:{n}:{mixed}:{total}"
+
+
+def path_parts(path: str, names: Sequence[str]) -> dict[str, F.Column]:
+    """The last folders of a result path as columns, first to last."""
+    parts = F.split(path, "/")
+    return {name: F.try_element_at(parts, F.lit(k - len(names) - 1)) for k, name in enumerate(names)}
+
+
+def version_and_inner(version: str) -> dict[str, F.Column]:
+    """A version path without its last segment inner_<scheme>, and the scheme."""
+    scheme = F.regexp_extract(version, r"(?:^|/)inner_([^/]+)$", 1)
+    return {"version": F.regexp_replace(version, r"(?:^|/)inner_[^/]+$", ""), "inner": F.nullif(scheme, F.lit(""))}
+
+
+def stem_and_variant(name: str) -> dict[str, F.Column]:
+    """A file name 'SET_variant.csv' split at its first lower-case suffix; without one the variant is 'raw'."""
+    stem = F.regexp_extract(name, r"^([A-Z0-9_]+?)(?:_([a-z].*?))?(?:\.\w+)?$", 1)
+    variant = F.regexp_extract(name, r"^([A-Z0-9_]+?)(?:_([a-z].*?))?(?:\.\w+)?$", 2)
+    return {"feature_set": stem, "variant": F.coalesce(F.nullif(variant, F.lit("")), F.lit("raw"))}
+
+
+def aligned_union(a: DataFrame, b: DataFrame, tag: str, names: tuple[str, str], fill: float = 0.0) -> DataFrame:
+    """Two cohorts' wide features over the sorted union of their columns, a cohort's missing ones filled."""
+    columns = sorted(set(a.columns) | set(b.columns))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        kinds = dict(a.dtypes) | dict(b.dtypes)
+        return df.select(*[F.col(c) if c in df.columns else F.lit(fill).cast(kinds[c]).alias(c) for c in columns], F.lit(name).alias(tag))
+
+    return side(a, names[0]).unionByName(side(b, names[1]))
+
+
+def live_features(long: DataFrame, corpus: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """corpus, features: how many have any non-zero value."""
+    return long.where(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(corpus).agg(F.countDistinct(feature).alias("features"))
