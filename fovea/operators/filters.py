@@ -75,7 +75,7 @@ def only_read(fixations: DataFrame, words: DataFrame, keys: Sequence[str]) -> Da
 
 def filled_columns(df: DataFrame, columns: Sequence[str], fully: bool = False) -> list[str]:
     """Of the columns, those with any value; with `fully`, those without a gap. One job over all of them."""
-    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.when(~F.isnan(F.col(c).cast("double")), 1)).alias(c) for c in columns]).first()
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in columns]).first()
     return [c for c in columns if (counts[c] == counts["_n"] if fully else counts[c] > 0)]
 
 

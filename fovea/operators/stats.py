@@ -55,10 +55,9 @@ def adjusted_r2(r2: str, n: str, features: str | int) -> Column:
 
 
 def steiger_z(ra: Column, rb: Column, rab: Column, n: Column) -> Column:
-    """Test of two correlations that share a variable, with the pooled correlation in the covariance."""
-    mean = (ra + rb) / 2
-    psi = rab * (1 - 2 * mean * mean) - mean * mean * (1 - 2 * mean * mean - rab * rab) / 2
-    s = psi / ((1 - mean * mean) * (1 - mean * mean))
+    """Test of two correlations that share a variable, with the covariance of their Fisher transforms."""
+    rest = 1 - ra * ra - rb * rb
+    s = (rab * rest - ra * rb * (rest - rab * rab) / 2) / ((1 - ra * ra) * (1 - rb * rb))
     return (F.atanh(ra) - F.atanh(rb)) * F.sqrt(n - 3) / F.sqrt(2 - 2 * s)
 
 

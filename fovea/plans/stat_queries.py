@@ -68,7 +68,7 @@ def mean_abs_diff(spark: SparkSession, sf: str) -> DataFrame:
 _PAIRS = _WIDE2 + """, c AS (SELECT region, count(*) n, corr(ff, score) ra, corr(tf, score) rb, corr(ff, tf) rab FROM mr GROUP BY 1)"""
 
 
-@query(_PAIRS + """, s AS (SELECT *, (ra + rb) / 2 m FROM c), p AS (SELECT *, (rab * (1 - 2 * m * m) - m * m * (1 - 2 * m * m - rab * rab) / 2) / ((1 - m * m) * (1 - m * m)) q FROM s)
+@query(_PAIRS + """, p AS (SELECT *, (rab * (1 - ra * ra - rb * rb) - ra * rb * (1 - ra * ra - rb * rb - rab * rab) / 2) / ((1 - ra * ra) * (1 - rb * rb)) q FROM c)
 SELECT region, n, round((atanh(ra) - atanh(rb)) * sqrt(n - 3) / sqrt(2 - 2 * q), 6) + 0.0 AS steiger_z FROM p""")
 def steiger(spark: SparkSession, sf: str) -> DataFrame:
     out = stats.compared(_model_rows(spark, sf), ["region"], "score", "ff", "tf")

@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, time: str) -> DataFrame:
+    """Event times with a zone: those stored without one are taken in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def windowed_means(events: DataFrame, time: str, keys: list[str], value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """keys, window, n, mean value; state of windows older than the watermark goes."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"))
+    return _timed(events, time).withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value"))
 
 
 def sessions(events: DataFrame, time: str, who: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """who, session, n: runs of events without a longer gap."""
-    return events.withWatermark(time, late).groupBy(F.session_window(time, gap), who).agg(F.count(F.lit(1)).alias("n"))
+    return _timed(events, time).withWatermark(time, late).groupBy(F.session_window(time, gap), who).agg(F.count(F.lit(1)).alias("n"))
 
 
 def running_transitions(events: DataFrame, who: str, order: str, word: str) -> DataFrame:
