@@ -150,6 +150,37 @@ def press(df: DataFrame, who: str, target: str, columns: Sequence[str], groups:
     return joined.select(*groups, who, F.col(target).cast("double").alias("true"), F.nanvl(loo, F.lit(None)).alias("pred"))
 
 
+def crossfit_ridge(rows: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str], stratum: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+    """groups, who, true, pred: leave-one-out ridge whose alpha and scaling come from the other half of the segment.
+
+    Halves are dealt in turn inside each stratum. Predictions are closed-form on all rows, so a segment costs two
+    decompositions instead of one a person. One task fits one segment.
+    """
+    fields = [f for f in rows.schema.fields if f.name in (*groups, who)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", true double, pred double"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([stratum, who]).reset_index(drop=True)
+        x, y = g[list(columns)].to_numpy(float), g[target].to_numpy(float)
+        side = (g.groupby(stratum).cumcount() % 2).to_numpy()
+        pred = np.full(len(g), np.nan)
+        for h in (0, 1):
+            other = side != h
+            if other.sum() < 3 or not (side == h).any():
+                continue
+            mean, sd = _scale(x, other)
+            z = np.nan_to_num((x - mean) / sd, posinf=0, neginf=0)
+            a, _, _ = _ridge_path(z[other], y[other], alphas)
+            u, s, _ = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
+            d = s * s / (s * s + a)
+            fitted = y.mean() + u @ (d * (u.T @ (y - y.mean())))
+            left = 1 - 1 / len(y) - (u * u) @ d
+            pred[side == h] = (y - (y - fitted) / np.where(np.abs(left) > 1e-12, left, np.nan))[side == h]
+        return g[[f.name for f in fields]].assign(true=y, pred=pred).replace({np.nan: None})
+
+    return rows.dropna(subset=[target]).select(*[f.name for f in fields], *({stratum} - {f.name for f in fields}), target, *columns).groupBy(*groups).applyInPandas(run, schema)
+
+
 def tree_model(kind: str, seed: int = 42, depth: int = 6, trees: int = 200):
     """Spark's distributed tree learners: 'tree', 'forest' or 'boosted'."""
     from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor

@@ -231,3 +231,13 @@ def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = _model_rows(spark, sf).withColumn("test", F.pmod(F.xxhash64("participant_id"), F.lit(5)) == 0)
     out = models.tree_predictions(rows.where("not test"), rows.where("test"), "score", FEATURES, trees=20)
     return out.select("participant_id", F.col("score").alias("true"), "pred")
+
+
+@query()
+def crossfit_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    return models.crossfit_ridge(_model_rows(spark, sf), "participant_id", "score", FEATURES, ["region"], "L1")
+
+
+@query()
+def debias_gain(spark: SparkSession, sf: str) -> DataFrame:
+    return debias.delta_r_bootstrap(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"], draws=500)

@@ -251,6 +251,44 @@ def test_press_and_ridge_against_loops(spark):
     assert all(0 <= r["pred"] <= 100 for r in ridge)
 
 
+def test_crossfit_ridge_with_one_alpha_is_exact_leave_one_out(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(16, 2)), rng.normal(size=16)
+    df = frame(spark, [(i, "g", "ab"[i % 2], *map(float, x[i]), float(y[i])) for i in range(16)], "who int, grp string, s string, a double, b double, y double")
+    got = models.crossfit_ridge(df, "who", "y", ["a", "b"], ["grp"], "s", alphas=[1e-9]).collect()
+    one = np.column_stack([np.ones(16), x])
+    for r in got:
+        i = r["who"]
+        w = np.linalg.lstsq(np.delete(one, i, 0), np.delete(y, i), rcond=None)[0]
+        assert r["pred"] == pytest.approx(one[i] @ w, rel=1e-5, abs=1e-6)
+
+
+def test_split_words_are_joined_and_fixations_follow(spark):
+    joined, split = "another credit-card with the".split(), "another credit- card with the".split()
+    rows = [("p", "1_0", k, w) for k, w in enumerate(joined)] + [("q", "1_0", k, w) for k, w in enumerate(split)] + [("r", "2_0", 0, "x")]
+    words = frame(spark, rows, "who string, grp string, ia bigint, label string")
+    fix = frame(spark, [("q", "1_0", k) for k in range(5)] + [("p", "1_0", 3), ("r", "2_0", 0)], "who string, grp string, ia bigint")
+    from fovea.operators import realign
+
+    fixed, moved = realign.align(words, fix, "who", ["grp"], "ia", "label")
+    layout = lambda who: sorted((r["ia"], r["label"]) for r in fixed.where(F.col("who") == who).collect())
+    assert layout("p") == layout("q") == list(enumerate(joined)) and layout("r") == [(0, "x")]
+    assert sorted(r["ia"] for r in moved.where("who = 'q'").collect()) == [0, 1, 1, 2, 3]
+    with pytest.raises(ValueError):
+        realign.align(frame(spark, [("p", "g", 0, "x"), ("q", "g", 0, "y")], "who string, grp string, ia bigint, label string"), fix, "who", ["grp"], "ia", "label", passes=2)
+
+
+def test_debias_gain_is_sane(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        d, t = (i % 6) / 6, float(rng.normal())
+        rows.append(("g", f"L{i % 6}", t + 3 * d + float(rng.normal()) / 4, t, d))
+    df = frame(spark, rows, "grp string, L1 string, y double, t double, distance double")
+    r = debias.delta_r_bootstrap(df, "y", "t", ["grp"], draws=300).first()
+    assert r["r_debiased"] > r["r_raw"] and r["low"] > 0 and r["p"] < 0.05
+
+
 def test_fold_imputation_uses_other_folds(spark):
     df = frame(spark, [(1, 0, 1.0, None), (2, 0, None, None), (3, 1, 5.0, None), (4, 1, 7.0, None)], "who int, fold int, x double, y double")
     got = {r["who"]: (r["x"], r["y"]) for r in models.impute_by_fold(df, ["x", "y"], "fold").collect()}
