@@ -72,6 +72,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     raw = _integers(vectors, id_col, vec_col, scale)
     shape = raw.select(F.size("v").alias("size"), F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e).alias("square")).agg(F.max("size"), F.max("square"), F.count(F.lit(1))).first()
     size, most, rows = shape[0] or 1, shape[1] or 0.0, shape[2]
+    if not rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     padded = raw.select("id", F.concat("v", F.array_repeat(F.lit(0.0), size - F.size("v"))).alias("v"))
     sample = padded.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("v") if rows > max_sample else padded.select("v")
     points = np.array([r[0] for r in sample.collect()], float).reshape(-1, size)
