@@ -57,7 +57,7 @@ def pool_roles(people: DataFrame, who: str, group: str, pool: str, batch: str |
     segments = people.select(F.col(group).alias("segment"), *([F.col(batch).alias("_b")] if batch else [])).distinct()
     test = people.select(F.col(group).alias("segment"), F.lit("test").alias("role"), who)
     rule = {"ALL": F.lit(True), "SEEN": F.col(group) == F.col("segment"), "UNSEEN": (F.col(batch) != F.col("_b")) if batch else (F.col(group) != F.col("segment"))}[pool]
-    train = people.join(F.broadcast(segments.withColumnRenamed("_b", "_b") if batch else segments), rule).select("segment", F.lit("train").alias("role"), who)
+    train = people.join(F.broadcast(segments), rule).select("segment", F.lit("train").alias("role"), who)
     return train.unionByName(test)
 
 

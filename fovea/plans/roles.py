@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fovea.sources import table
 
 METRICS = {"ff": "ff", "fp": "fp", "tf": "tf", "rp": "rp", "sk": "sk", "rr": "rr"}
-DURATIONS = {"ff": "ff", "fp": "fp", "tf": "tf", "rp": "rp"}
 TAGS = ("A", "N", "R")
 CODES = {"signup": 1, "error": 2, "click": 3, "view": 4, "purchase": 5}
 
