@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIMS, WORD_DIMS, MEASURES = 96, 24, 4
+PATH_DIMS, WORD_DIMS, MEASURES = 512, 24, 4
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
 MAX_TRAIN_PAGES = 300
+LEAST_COMPOSED = 400
 TRAIN_WINDOW = 128
 
 # Element names of HTML.
@@ -44,6 +45,7 @@ ASIDE_TAGS = frozenset("head title nav header footer aside form button select op
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget related recommended share sharing social follow footer header masthead comment comments commentlist disqus reply replies respond form search pagination pager copyright legal".split()
 )
+NEUTRAL_WORDS = ("row", "col", "wrap", "wrapper", "container", "inner", "outer", "box", "block", "item", "list", "left", "right", "top", "grid", "home", "site", "js", "lazy", "clearfix", "theme", "dark", "hentry", "x1", "u7")
 ARTICLE_WORDS = ("article", "post", "entry", "content", "story", "main", "body", "text", "page", "section", "blog", "news", "prose", "chapter")
 
 _TOKEN = re.compile(
@@ -176,7 +178,7 @@ def vectors(found: list[Block]) -> np.ndarray:
 
 
 class Labeller:
-    """A bidirectional LSTM with one logistic output for each block."""
+    """A bidirectional LSTM with one logistic output for each block, which also sees the block's own vector."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -187,6 +189,7 @@ class Labeller:
             self.w["b" + d] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])
         self.w["o"] = rng.normal(0, 0.2, 2 * HIDDEN)
         self.w["c"] = np.zeros(1)
+        self.w["s"] = np.zeros(DIMS)
 
     def dumps(self) -> bytes:
         held = io.BytesIO()
@@ -202,7 +205,7 @@ class Labeller:
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
         """x: (time, batch, DIMS); mask: (time, batch). Padding leaves the state as it is."""
         n, batch = mask.shape
-        given = x @ self.w["x" + d] + self.w["b" + d]
+        given = x.astype(np.float32, copy=False) @ self.w["x" + d].astype(np.float32) + self.w["b" + d] if not keep else x @ self.w["x" + d] + self.w["b" + d]
         h = c = np.zeros((batch, HIDDEN))
         out, held = np.zeros((n, batch, HIDDEN)), []
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
@@ -221,14 +224,35 @@ class Labeller:
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
-        return both @ self.w["o"] + self.w["c"][0]
+        return both @ self.w["o"] + x @ self.w["s"] + self.w["c"][0]
+
+    def start(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1) -> None:
+        """The weights of a block's own vector, as a logistic model without context; the rest learns what that leaves."""
+        w, c = np.zeros(DIMS), 0.0
+        m, v = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
+        for k in range(1, steps + 1):
+            off = (1 / (1 + np.exp(-np.clip(x @ w + c, -30, 30))) - y) / len(y)
+            grad = np.append(x.T @ off + 1e-6 * w, off.sum())
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+            move = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+            w, c = w - move[:-1], c - move[-1]
+        self.w["s"], self.w["c"] = w, np.array([c])
+
+    def accuracy(self, pages: list[list[Block]]) -> float:
+        """Share of blocks labelled as their names say."""
+        hits = total = 0
+        for page in pages:
+            x, mask = _padded([vectors(page)])
+            hits += int(((self.scores(x, mask)[:, 0] > 0) == np.array([named_label(b) for b in page])).sum())
+            total += len(page)
+        return hits / max(1, total)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         runs = {d: self._run(x, mask, d, True) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
-        p = 1 / (1 + np.exp(-np.clip(both @ self.w["o"] + self.w["c"][0], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(both @ self.w["o"] + x @ self.w["s"] + self.w["c"][0], -30, 30)))
         off = np.where(mask, p - y, 0) / max(1, mask.sum())
-        grads = {"o": np.einsum("tb,tbh->h", off, both), "c": np.array([off.sum()])}
+        grads = {"o": np.einsum("tb,tbh->h", off, both), "c": np.array([off.sum()]), "s": np.einsum("tb,tbi->i", off, x)}
         for k, d in enumerate("fb"):
             from_out = off[:, :, None] * self.w["o"][k * HIDDEN : (k + 1) * HIDDEN]
             dz = np.zeros((*mask.shape, 4 * HIDDEN))
@@ -276,45 +300,51 @@ def _composed(rng: np.random.Generator, texts: list[str]) -> list[Block]:
         text = " ".join(words)
         out.append(Block(text, names, path_vector(names), len(text) if short and rng.random() < 0.5 else 0))
 
+    def noise() -> tuple[str, ...]:
+        return (pick(NEUTRAL_WORDS),) if rng.random() < 0.3 else ()
+
     def aside(names: tuple) -> None:
         named = rng.random()
         tag = pick(aside_tags) if named < 0.4 else pick(("div", "section", "ul", "p", "span"))
-        names = (*names, (tag, (pick(aside_words),) if named >= 0.3 else ()))
+        names = (*names, (tag, noise() + ((pick(aside_words),) + ((pick(aside_words),) if rng.random() < 0.3 else ()) if named >= 0.3 else ())))
         inner = pick(("p", "li", "div", "td", "h3"))
-        for _ in range(int(rng.integers(1, 7))):
+        for _ in range(1 if rng.random() < 0.3 else int(rng.integers(1, 7))):
             leaf((*names, (inner, ())) if rng.random() < 0.7 else names, rng.random() < 0.6)
 
     def article(names: tuple) -> None:
-        names = (*names, (pick(("article", "main", "div", "section")), (pick(ARTICLE_WORDS),) if rng.random() < 0.5 else ()))
-        if rng.random() < 0.4:
-            names = (*names, (pick(("div", "section")), (pick(ARTICLE_WORDS),) if rng.random() < 0.7 else ()))
+        names = (*names, (pick(("article", "main", "div", "section")), noise() + ((pick(ARTICLE_WORDS),) if rng.random() < 0.5 else ())))
+        if rng.random() < 0.6:
+            names = (*names, (pick(("article", "main", "div", "section")), noise() + ((pick(ARTICLE_WORDS),) if rng.random() < 0.7 else ())))
         leaf((*names, (pick(("h1", "h2")), ())), True)
         for _ in range(int(rng.integers(1, 20))):
-            if rng.random() < 0.08:
+            if rng.random() < 0.25:
                 aside(names)
             leaf((*names, (pick(("p", "p", "p", "p", "li", "blockquote", "h2", "h3", "pre", "td", "div")), ())), rng.random() < 0.2)
 
     if rng.random() < 0.7:
         leaf((root[0], ("head", ()), ("title", ())), True)
-    for _ in range(int(rng.integers(0, 4))):
+    if rng.random() < 0.4:
+        root = (*root, ("div", noise()))
+    for _ in range(int(rng.integers(0, 6))):
         aside(root)
     article(root)
-    for _ in range(int(rng.integers(0, 4))):
+    for _ in range(int(rng.integers(0, 6))):
         aside(root)
     return out
 
 
-def learn(pages: list[str], rounds: int = 8, batch: int = 16, rate: float = 0.01, seed: int = 7) -> Labeller:
-    """From the given pages and as many composed ones (60 at least)."""
+def learn(pages: list[str], rounds: int = 5, batch: int = 16, rate: float = 0.01, seed: int = 7) -> Labeller:
+    """From the given pages and as many composed ones (`LEAST_COMPOSED` at least)."""
     rng = np.random.default_rng(seed)
     real = [b for b in (blocks(p) for p in pages) if b]
     texts = [b.text for page in real for b in page] or ["a few words of text"]
-    composed = [_composed(rng, texts) for _ in range(max(60, len(real)))]
+    composed = [_composed(rng, texts) for _ in range(max(LEAST_COMPOSED, len(real)))]
     rows = []
     for page in real + composed:
         x, y = vectors(page), np.array([named_label(b) for b in page], float)
         rows += [(x[k : k + TRAIN_WINDOW], y[k : k + TRAIN_WINDOW]) for k in range(0, len(y), TRAIN_WINDOW)]
     model = Labeller(seed)
+    model.start(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.w.items()}
     step = 0
     for _ in range(rounds):
@@ -337,7 +367,7 @@ def learn(pages: list[str], rounds: int = 8, batch: int = 16, rate: float = 0.01
     return model
 
 
-def main_texts(pages: list[str | None], model: Labeller, most: int = 40_000) -> list[str]:
+def main_texts(pages: list[str | None], model: Labeller, most: int = 10_000) -> list[str]:
     """The article text of each page, blocks joined by a line feed; empty if there is none."""
     cut = [blocks(p) if p else [] for p in pages]
     labels: dict[int, np.ndarray] = {}
