@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,46 +24,83 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 MAX_TRAIN_DOCS = 8000
-_CACHE = 200_000
+_CACHE = 50_000
+
+
+class Table:
+    """Rows of numbers by key: one matrix and the keys' places in it, far smaller than an array for each key."""
+
+    def __init__(self, rows: dict[str, np.ndarray], width: int):
+        self.at = {key: k for k, key in enumerate(rows)}
+        self.rows = np.array(list(rows.values()), np.float64).reshape(len(rows), width)
+
+    def get(self, key: str) -> np.ndarray | None:
+        k = self.at.get(key)
+        return None if k is None else self.rows[k]
 
 
 @dataclass
 class Model:
+    """Log frequencies by language of known words and of n-grams; takes dictionaries of arrays, holds them as tables."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, np.ndarray] | Table
+    grams: dict[str, np.ndarray] | Table
     orders: tuple[int, ...]
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.words, self.grams = (t if isinstance(t, Table) else Table(t, len(self.langs)) for t in (self.words, self.grams))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache of unseen words' scores."""
+        self.seen: dict[str, int] = {}
+        self.cache = np.zeros((_CACHE, len(self.langs)))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "cache")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.forget()
+
+    def _backoff(self, word: str) -> np.ndarray:
+        marked = f"^{word}$"
+        for n in self.orders:
+            hits = [k for k in (self.grams.at.get(marked[i : i + n]) for i in range(len(marked) - n + 1)) if k is not None]
+            if hits:
+                return self.grams.rows[hits].mean(axis=0)
+        return np.zeros(len(self.langs))
 
     def of(self, word: str) -> np.ndarray:
         """Log frequencies by language."""
         known = self.words.get(word)
         if known is not None:
             return known
-        found = self.seen.get(word)
-        if found is None:
-            marked = f"^{word}$"
-            found = np.zeros(len(self.langs))
-            for n in self.orders:
-                hits = [g for g in (self.grams.get(marked[i : i + n]) for i in range(len(marked) - n + 1)) if g is not None]
-                if hits:
-                    found = np.mean(hits, axis=0)
-                    break
+        k = self.seen.get(word)
+        if k is not None:
+            return self.cache[k]
+        found = self._backoff(word)
+        if len(word) <= 64:
             if len(self.seen) >= _CACHE:
                 self.seen.clear()
-            if len(word) <= 64:
-                self.seen[word] = found
+            k = self.seen[word] = len(self.seen)
+            self.cache[k] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(WORD.findall(text.lower())) if text else None
-        if not counts:
-            return UNKNOWN, 0.0
-        if not self.langs:
+        if not counts or not self.langs:
             return UNKNOWN, 0.0
+        known = [(k, n) for k, n in ((self.words.at.get(word), n) for word, n in counts.items()) if k is not None]
         total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            total += n * self.of(word)
+        if known:
+            at, times = zip(*known, strict=True)
+            total += np.array(times, np.float64) @ self.words.rows[list(at)]
+        if len(known) < len(counts):
+            for word, n in counts.items():
+                if word not in self.words.at:
+                    total += n * self.of(word)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
