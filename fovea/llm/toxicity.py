@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, id
     return Chain(np.frombuffer(w, np.float32).astype(float), float(np.frombuffer(b)[0]), np.frombuffer(t).reshape(2, 2), np.frombuffer(s), np.frombuffer(d))
 
 
-def score_texts(texts: list[str | None], chain: Chain, slice_chars: int = 2_000_000) -> list[tuple[float, list[tuple[int, int, float]]]]:
+def score_texts(texts: list[str | None], chain: Chain, slice_chars: int = 500_000) -> list[tuple[float, list[tuple[int, int, float]]]]:
     """Score and spans (start, end, chance; code points) of each text."""
     out: list[tuple[float, list[tuple[int, int, float]]]] = []
     first = 0
