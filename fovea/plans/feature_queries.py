@@ -245,7 +245,7 @@ def metadata_override(spark: SparkSession, sf: str) -> DataFrame:
 SELECT w.participant_id, w.paragraph, (w.word - (SELECT count(*) FROM dr d WHERE d.participant_id = w.participant_id AND d.paragraph = w.paragraph AND d.word < w.word))::INTEGER AS word
 FROM words w WHERE w.ptb_pos <> 'R' AND w.participant_id % 10 = 0""")
 def realigned_words(spark: SparkSession, sf: str) -> DataFrame:
-    w = roles.words(spark, sf).where(F.col("participant_id") % 10 == 0)
+    w = roles.words(spark, sf)
     keys = ["participant_id", "paragraph"]
     return joins.shift_after_drop(w.select(*keys, "word"), w.where("ptb_pos = 'R'").select(*keys, "word"), keys, "word").withColumn("word", F.col("word").cast("int"))
 

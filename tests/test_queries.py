@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from fovea import catalog
+from fovea.plans import roles
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -47,3 +48,18 @@ def test_query(spark, sf, con, name):
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_realigned_words_hold_every_participant(spark, sf):
+    words = roles.words(spark, sf).select("participant_id", "paragraph", "word", "ptb_pos").collect()
+    gone = {}
+    for r in words:
+        if r["ptb_pos"] == "R":
+            gone.setdefault((r["participant_id"], r["paragraph"]), set()).add(r["word"])
+    want = []
+    for p, q, word, _ in words:
+        dropped = gone.get((p, q), set())
+        if word not in dropped:
+            want.append((p, q, word - sum(g < word for g in dropped)))
+    got = [tuple(r) for r in catalog.queries()["realigned_words"](spark, sf).select("participant_id", "paragraph", "word").collect()]
+    assert sorted(got) == sorted(want) and any(p % 10 for p, _, _ in got)
