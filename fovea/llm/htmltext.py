@@ -49,7 +49,7 @@ NEUTRAL_WORDS = ("row", "col", "wrap", "wrapper", "container", "inner", "outer",
 ARTICLE_WORDS = ("article", "post", "entry", "content", "story", "main", "body", "text", "page", "section", "blog", "news", "prose", "chapter")
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -95,7 +95,7 @@ def path_vector(names: tuple[tuple[str, tuple[str, ...]], ...], above: np.ndarra
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks with text, in page order. Raw elements and comments have none."""
+    """The leaf blocks with text, in page order. Raw elements and comments have none; a self-closed svg is empty."""
     out: list[Block] = []
     stack: list[tuple[str, tuple, np.ndarray]] = []
     parts: list[str] = []

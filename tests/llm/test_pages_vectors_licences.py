@@ -37,6 +37,18 @@ def test_blocks_follow_the_page_structure():
     assert [b.text for b in htmltext.blocks("<p title='a>b'>x</p><p>y &#233; <")] == ["x", "y é <"]
 
 
+@pytest.mark.parametrize(
+    "between",
+    ['<svg-icon name="x"></svg-icon>', "<template-card></template-card>", "<STYLE-GUIDE/>", "<svg/>", '<svg viewBox="0 > 1" />', "<svg\nwidth=1/>", "<svg><path d='M0'/>in</svg>", "<script src='a'>in</script >", "<style>in</style>"],
+)
+def test_text_after_custom_and_self_closed_elements_stays(between):
+    assert [b.text for b in htmltext.blocks(f"<p>a</p>{between}<p>lost text</p>")] == ["a", "lost text"]
+
+
+def test_text_inside_custom_elements_stays():
+    assert [b.text for b in htmltext.blocks("<template-card><p>one</p></template-card><p>two</p>")] == ["one", "two"]
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     net = htmltext.Labeller(1)
