@@ -25,13 +25,15 @@ BROADCAST_ROWS = 500_000
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; the expression, the same in Python and Java; the group whose length must reach `least`; whether case counts."""
+    """kind; the expression, the same in Python and Java; the group whose length must reach `least`; whether case counts;
+    whether redaction takes it before the others, whose shorter matches would break its own."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     any_case: bool = False
+    early: bool = False
 
     @property
     def java(self) -> str:
@@ -43,8 +45,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),  # a shorter run fails and can't hide a longer one, so this equals searching [0-9a-f]+
 )
+# A key's body: all up to its END line if that holds no sentence ends and no other marker; else what follows of base64
+# runs (16 letters or more, padded, or a line of its own), header fields and what stands between them: line ends, also
+# escaped ones, quotes, comment and quote marks.
+_END = r"-----END [A-Z ]*PRIVATE KEY-----"
+_BETWEEN = r"[^A-Za-z0-9/=.!?-]{1,16}+"
+_RUN = r"[A-Za-z0-9+/]{16,}+={0,2}+|[A-Za-z0-9+/]{2,15}={1,2}+|(?:Proc-Type|DEK-Info):\x20?[A-Za-z0-9,-]++"
+_SHORT_LINE = r"[\r\n]++[\x20\t>#*|]*+[A-Za-z0-9+/]++={0,2}+(?=[\x20\t]*+(?![^\r\n]))"
+_BODY = rf"(?:[^.!?-]*+(?:-(?!----)[^.!?-]*+)*+{_END}|(?:{_SHORT_LINE}|{_BETWEEN}(?:{_RUN}))*+(?:(?:{_BETWEEN})?{_END})?)"
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----{_BODY}", early=True),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"sk_live_[A-Za-z0-9]{16,}"),
@@ -176,10 +186,10 @@ def _replaced(text_col: str, rule: Rule) -> Column:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with every secret replaced by <kind>; all else, null texts included, stays as it is.
 
-    Rules apply in their order, each to what the ones before have left.
+    Rules apply in their order, early ones first, each to what the ones before have left.
     """
     columns = docs.columns
     marked = _marked(docs, rules, key, text_col)
-    for rule in rules:
+    for rule in sorted(rules, key=lambda r: not r.early):
         marked = marked.withColumn(text_col, F.when(F.coalesce(_wanted(rule), F.lit(False)) & F.col(text_col).rlike(rule.java), _replaced(text_col, rule)).otherwise(F.col(text_col)))
     return marked.select(*columns)
