@@ -116,7 +116,7 @@ def without_effects(df: DataFrame, effects: DataFrame, score: str, lang: str = "
     return df.join(F.broadcast(effects.select(lang, "effect")), lang, "left").withColumn("debiased", F.col(score) - F.col("effect")).drop("effect")
 
 
-def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[str], lang: str = "L1", centre: bool = True, draws: int = 2000, seed: int = 42) -> DataFrame:
+def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[str], lang: str = "L1", centre: bool = True, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """groups, n, r_raw, r_debiased, delta_r, low, high, p: what leave-a-language-out debiasing does to the correlation.
 
     Each draw resamples people and refits every language's alpha from the sums of the others. p doubles the smaller

@@ -100,7 +100,7 @@ def _draws(n: int, draws: int, seed: int, block_mb: int = 64):
         yield rng.integers(0, n, (min(rows, draws - k), n))
 
 
-def bootstrap(df: DataFrame, groups: Sequence[str], x: str, y: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, groups: Sequence[str], x: str, y: str, draws: int = 100_000, seed: int = 42) -> DataFrame:
     """groups, n, r, boot_mean, boot_sd, low, high (percentiles 2.5 and 97.5). A group is one cell of a result table."""
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups)
 
@@ -117,7 +117,7 @@ def bootstrap(df: DataFrame, groups: Sequence[str], x: str, y: str, draws: int =
     return df.dropna(subset=[x, y]).select(*groups, x, y).groupBy(*groups).applyInPandas(run, f"{keys}, n long, r double, boot_mean double, boot_sd double, low double, high double")
 
 
-def bootstrap_difference(df: DataFrame, groups: Sequence[str], target: str, x: str, y: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+def bootstrap_difference(df: DataFrame, groups: Sequence[str], target: str, x: str, y: str, draws: int = 100_000, seed: int = 42) -> DataFrame:
     """groups, n, delta_r = r(x, target) - r(y, target), its interval, and p centred on no difference, at least 1/draws."""
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups)
 

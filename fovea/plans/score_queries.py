@@ -229,7 +229,7 @@ def lda_native_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def forest_predictions(spark: SparkSession, sf: str) -> DataFrame:
     rows = _model_rows(spark, sf).withColumn("test", F.pmod(F.xxhash64("participant_id"), F.lit(5)) == 0)
-    out = models.tree_predictions(rows.where("not test"), rows.where("test"), "score", FEATURES, trees=20)
+    out = models.tree_predictions(rows.where("not test"), rows.where("test"), "score", FEATURES, trees=200)
     return out.select("participant_id", F.col("score").alias("true"), "pred")
 
 
@@ -240,4 +240,4 @@ def crossfit_ridge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def debias_gain(spark: SparkSession, sf: str) -> DataFrame:
-    return debias.delta_r_bootstrap(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"], draws=500)
+    return debias.delta_r_bootstrap(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"])

@@ -184,17 +184,17 @@ def composite_zscore(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def first_component(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.first_component(_model_rows(spark, sf), "participant_id", ["ff", "fp", "sk", "rr"], rounds=40, tolerance=1e-4)
+    return stats.first_component(_model_rows(spark, sf), "participant_id", ["ff", "fp", "sk", "rr"])
 
 
 @query()
 def bootstrap_by_region(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap(_model_rows(spark, sf), ["region"], "ff", "score", draws=2000)
+    return stats.bootstrap(_model_rows(spark, sf), ["region"], "ff", "score")
 
 
 @query()
 def bootstrap_pair_by_region(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap_difference(_model_rows(spark, sf), ["region"], "score", "ff", "tf", draws=2000)
+    return stats.bootstrap_difference(_model_rows(spark, sf), ["region"], "score", "ff", "tf")
 
 
 @query(W + """, p AS (SELECT participant_id, paragraph, sum(ff) s, count(*) c FROM words0 GROUP BY 1, 2), k AS (SELECT *, sum(s) OVER w / sum(c) OVER w m, row_number() OVER w AS upto FROM p WINDOW w AS (PARTITION BY participant_id ORDER BY paragraph))

@@ -1,5 +1,6 @@
 """Every registered query against DuckDB on the same tables."""
 
+import inspect
 import math
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from fovea import catalog
+from fovea.operators import debias, models, stats
 from fovea.plans import roles
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,3 +65,28 @@ def test_realigned_words_hold_every_participant(spark, sf):
             want.append((p, q, word - sum(g < word for g in dropped)))
     got = [tuple(r) for r in catalog.queries()["realigned_words"](spark, sf).select("participant_id", "paragraph", "word").collect()]
     assert sorted(got) == sorted(want) and any(p % 10 for p, _, _ in got)
+
+
+@pytest.mark.parametrize(
+    "name,module,function,want",
+    [
+        ("bootstrap_by_region", stats, "bootstrap", {"draws": 100_000}),
+        ("bootstrap_pair_by_region", stats, "bootstrap_difference", {"draws": 100_000}),
+        ("debias_gain", debias, "delta_r_bootstrap", {"draws": 10_000}),
+        ("forest_predictions", models, "tree_model", {"trees": 200}),
+        ("first_component", stats, "first_component", {"rounds": 500, "tolerance": 1e-9}),
+    ],
+)
+def test_registered_queries_run_the_references_numbers(spark, sf, monkeypatch, name, module, function, want):
+    real, seen = getattr(module, function), {}
+
+    def spy(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(module, function, spy)
+    with pytest.raises(InterruptedError):
+        catalog.queries()[name](spark, sf)
+    assert {k: seen[k] for k in want} == want
