@@ -176,6 +176,31 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+NOTICES = [
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC BY 3.0.", None),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("Posts here may be copied by all who read them. Licensed under the Apache License, Version 2.0. Please write to the keeper of the list for more about it.", "Apache-2.0"),
+    ("Some words come first here. This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. And other words follow it in the same paragraph.", "MPL-2.0"),
+    ("                    GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n", "LGPL-3.0"),
+    ("BSD 2-Clause License\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "BSD-2-Clause"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+]
+
+
+def test_notices_of_like_licences_and_inside_prose(spark):
+    got = license_scan.scan(spark.createDataFrame([(f"{k}/x", t) for k, (t, _) in enumerate(NOTICES)], "path string, text string"))
+    assert {r["path"]: r["license"] for r in got.collect()} == {f"{k}/x": want for k, (_, want) in enumerate(NOTICES)}
+
+
 # -- queries and pipeline ----------------------------------------------------------------------------------------------
 
 
