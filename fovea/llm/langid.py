@@ -18,15 +18,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")  # letters, and number signs such as ½ that are no letters
+LETTERS = r"\p{L}+"
+_LETTERS = regex.compile(LETTERS)
 UNKNOWN = "und"
 MAX_TRAIN_DOCS = 8000
 _CACHE = 50_000
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L) of the lower-cased text, in training and prediction alike."""
+    runs = _RUN.findall(text.lower())
+    return runs if "".join(runs).isalpha() else [w for run in runs for w in _LETTERS.findall(run)]
+
+
 class Table:
     """Rows of numbers by key: one matrix and the keys' places in it, far smaller than an array for each key."""
 
@@ -89,7 +98,7 @@ class Model:
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORD.findall(text.lower())) if text else None
+        counts = Counter(words_of(text)) if text else None
         if not counts or not self.langs:
             return UNKNOWN, 0.0
         known = [(k, n) for k, n in ((self.words.at.get(word), n) for word, n in counts.items()) if k is not None]
@@ -120,7 +129,7 @@ def fit(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", te
     Ties between languages go to the one first by name. Without any labelled row every prediction is "und".
     """
     rows = _sampled(docs, id_col, text_col, lang_col, F.lit(True) if train is None else train, max_train_docs)
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     words = words.where(F.length("word") <= 64).persist()
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     grams = words.select("lang", "n", marked.alias("m"), F.explode(F.array(*map(F.lit, orders))).alias("order")).where(F.length("m") >= F.col("order"))
@@ -145,13 +154,13 @@ def fit(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", te
     return Model(langs, words_known, tables([(lang, key, n, len(key)) for lang, key, n in pieces]), tuple(sorted(orders, reverse=True)))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with lang_pred string and score double (0 to 1) appended.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """The rows of `docs` with the language, lang_pred string, and score double (0 to 1) appended, under the names given.
 
     Null text, and text without a letter, gives "und" with score 0. Whole texts are read, however long. Columns of
     these names in `docs` are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(lang_name, score_name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +168,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
                 found = [scorer.predict(text.as_py()) for text in part.column(part.schema.get_field_index(text_col))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*part.schema.names, lang_name, score_name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, `{lang_name}` string, `{score_name}` double")
 
 
-def accepted(min_score: float = 0.3) -> Column:
+def accepted(min_score: float = 0.3, lang_name: str = "lang_pred", score_name: str = "score") -> Column:
     """A text is kept if it has letters and some language takes a fair share of the evidence; very short clean texts pass."""
-    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+    return (F.col(lang_name) != UNKNOWN) & (F.col(score_name) >= min_score)
 

@@ -29,6 +29,8 @@ from fovea.llm.storage import keep
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(name.split()[0], pa.int64()) for name in PIECE.split(", ")] + [("ids", pa.binary())])
+# Fixed value: the vocabulary's added token, one id wherever a text spells it; its id follows those of the ranks.
+END_OF_TEXT = "<|endoftext|>"
 _encoders: dict[str, tiktoken.Encoding] = {}
 
 
@@ -40,7 +42,7 @@ def encoder(path: str | None = None) -> tiktoken.Encoding:
     if path not in _encoders:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
     return _encoders[path]
 
 
@@ -106,7 +108,7 @@ def pack(docs: DataFrame, window: int = 1024, open_windows: int = 64, merge_task
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                ids = encode.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+                ids = encode.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
                 state.add(doc, np.append(ids, end_id).astype("<u4"))
                 if len(state.done) >= 20_000:
                     yield _batches(state.done)

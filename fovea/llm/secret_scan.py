@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fovea.llm.storage import keep
+from fovea.llm.storage import fresh, keep
 
 BROADCAST_ROWS = 500_000
 
@@ -130,16 +130,17 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", te
     return parts.join(whole, ["kind", "n"]).groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _marked(docs: DataFrame, rules: tuple[Rule, ...], key: str, text_col: str) -> DataFrame:
-    """The rows of docs with `kinds`, the indexed rules they are candidates for."""
-    found = keep(candidates(docs, rules, key, text_col))
+def _marked(docs: DataFrame, rules: tuple[Rule, ...], key: str, text_col: str) -> tuple[DataFrame, str]:
+    """The rows of docs with a column of the indexed rules they are candidates for, and that column's name."""
+    at, kinds = fresh(docs.columns, "_key", "_kinds")
+    found = keep(candidates(docs, rules, key, text_col).select(F.col("key").alias(at), F.col("kinds").alias(kinds)))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return docs.join(found, docs[key].eqNullSafe(found["key"]), "left").drop("key")
+    return docs.join(found, docs[key].eqNullSafe(found[at]), "left").drop(at), kinds
 
 
-def _wanted(rule: Rule) -> Column:
-    return F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
+def _wanted(rule: Rule, kinds: str) -> Column:
+    return F.array_contains(kinds, rule.kind) if trigram_query(rule.pattern) else F.lit(True)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,13 +151,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     row each. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = _marked(docs, rules, "doc_id", "text")
+    marked, kinds = _marked(docs, rules, "doc_id", "text")
 
     def pieces(rank: int, rule: Rule) -> Column:
         expr = F.lit(rule.java)
         gaps = F.transform(F.split("text", rule.java, -1), F.length)
         whole, value = F.transform(F.regexp_extract_all("text", expr, F.lit(0)), F.length), F.transform(F.regexp_extract_all("text", expr, F.lit(rule.group)), F.length)
-        found = F.when(F.coalesce(_wanted(rule), F.lit(False)) & F.col("text").rlike(rule.java), F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value")))
+        found = F.when(F.coalesce(_wanted(rule, kinds), F.lit(False)) & F.col("text").rlike(rule.java), F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value")))
         return F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), F.lit(rule.least).alias("least"), found.alias("runs"))
 
     rows = keep(marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.filter(F.array(*[pieces(k, r) for k, r in enumerate(rules)]), lambda p: p["runs"].isNotNull()).alias("found")))
@@ -189,7 +190,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id"
     Rules apply in their order, early ones first, each to what the ones before have left.
     """
     columns = docs.columns
-    marked = _marked(docs, rules, key, text_col)
+    marked, kinds = _marked(docs, rules, key, text_col)
     for rule in sorted(rules, key=lambda r: not r.early):
-        marked = marked.withColumn(text_col, F.when(F.coalesce(_wanted(rule), F.lit(False)) & F.col(text_col).rlike(rule.java), _replaced(text_col, rule)).otherwise(F.col(text_col)))
+        marked = marked.withColumn(text_col, F.when(F.coalesce(_wanted(rule, kinds), F.lit(False)) & F.col(text_col).rlike(rule.java), _replaced(text_col, rule)).otherwise(F.col(text_col)))
     return marked.select(*columns)

@@ -281,12 +281,12 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with toxic_score double (0 to 1) and toxic_spans (start, end, p; code points) appended.
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", score_name: str = "toxic_score", spans_name: str = "toxic_spans") -> DataFrame:
+    """The rows of `docs` with toxic_score double (0 to 1) and toxic_spans (start, end, p; code points) appended, under the names given.
 
     Null and empty texts score 0 without spans. Whole texts are read. Columns of these names are replaced.
     """
-    docs = docs.drop("toxic_score", "toxic_spans")
+    docs = docs.drop(score_name, spans_name)
     shared = docs.sparkSession.sparkContext.broadcast(Chain(chain.weights, chain.bias, chain.trans, chain.start, chain.whole))
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
@@ -295,7 +295,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
                 found = score_texts(part.column(part.schema.get_field_index(text_col)).to_pylist(), shared.value)
                 spans = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in s] for _, s in found], span_type)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.float64()), spans], names=[*part.schema.names, "toxic_score", "toxic_spans"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.float64()), spans], names=[*part.schema.names, score_name, spans_name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, toxic_score double, toxic_spans {SPAN}")
+    return docs.mapInArrow(run, f"{schema}, `{score_name}` double, `{spans_name}` {SPAN}")
