@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fovea.operators.joins import shift_after_drop
+from fovea.sources.shared import keep
 
 DASH_OR_SPACE = r"[\s‐‑‒–—-]"
 
@@ -39,14 +40,11 @@ def join_split_words(words: DataFrame, fixations: DataFrame, who: str, text: Seq
 
 def align(words: DataFrame, fixations: DataFrame, who: str, text: Sequence[str], index: str, label: str, passes: int = 10) -> tuple[DataFrame, DataFrame]:
     """Passes until no text disagrees; what still does after the last is an error that names some texts."""
-    spark = words.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    settle = (lambda df: df.checkpoint()) if shared else (lambda df: df.persist())
     for _ in range(passes):
         left = first_mismatch(words, text, index, label).limit(5).collect()
         if not left:
             return words, fixations
-        words, fixations = (settle(df) for df in join_split_words(words, fixations, who, text, index, label))
+        words, fixations = (keep(df) for df in join_split_words(words, fixations, who, text, index, label))
     left = first_mismatch(words, text, index, label).limit(5).collect()
     if left:
         raise ValueError(f"texts still disagree: {[tuple(r) for r in left]}")

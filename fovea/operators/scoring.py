@@ -28,8 +28,9 @@ def scaled(long: DataFrame, stats: DataFrame, groups: Sequence[str] = ()) -> Dat
 
 
 def prototype(natives: DataFrame, stats: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """groups, feature, p: the natives' mean z."""
-    return scaled(natives, stats, groups).groupBy(*groups, "feature").agg(F.avg("z").alias("p"))
+    """groups, feature, p: the natives' mean z, which is the z of their mean."""
+    means = natives.groupBy(*groups, "feature").agg(F.avg("value").alias("value"))
+    return scaled(means, stats, groups).select(*groups, "feature", F.col("z").alias("p"))
 
 
 def cosine(z: DataFrame, proto: DataFrame, keys: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
@@ -78,14 +79,25 @@ def leave_one_out_cosine(readers: DataFrame, natives: DataFrame, who: str) -> Da
 def pooled(readers: DataFrame, natives: DataFrame, who: str, group: str, pool: str, batch: str | None = None) -> DataFrame:
     """Scores against natives of all groups (ALL), the reader's own group (SEEN), or other batches or groups (UNSEEN).
 
-    Pools are key tables: a native row is joined to each reader group that may use it.
+    Natives are summed once by feature and group or batch; UNSEEN is all sums less the own.
     """
-    sides = readers.select(F.col(group).alias("_g"), *([F.col(batch).alias("_b")] if batch else [])).distinct()
-    mine, theirs = F.col("_b" if batch else "_g"), F.col(batch or group)
-    rule = {"ALL": F.lit(True), "SEEN": F.col("_g") == F.col(group), "UNSEEN": mine != theirs}[pool]
-    side = natives.join(F.broadcast(sides), rule).select(F.col("_g").alias(group), "feature", "value")
-    rest = readers.select(who, group, "feature", "value")
-    return prototype_scores(rest, side, [who, group], [group])
+    side = group if pool == "SEEN" else batch or group
+    sums = natives.groupBy(side, "feature").agg(F.sum("value").alias("own"), F.count("value").alias("own_n"))
+    stats = feature_stats(readers, [group])
+    if pool == "SEEN":
+        means = sums.select(group, "feature", F.try_divide("own", "own_n").alias("value"))
+    else:
+        whole = sums.groupBy("feature").agg(F.sum("own").alias("all"), F.sum("own_n").alias("all_n"))
+        sides = F.broadcast(readers.select(group, *[c for c in (side,) if c != group]).distinct())
+        means = whole.crossJoin(sides)  # a row a feature and group, as the prototypes are
+        if pool == "UNSEEN":
+            means = means.join(sums, [side, "feature"], "left")
+            value = F.try_divide(F.col("all") - F.coalesce("own", F.lit(0.0)), F.col("all_n") - F.coalesce("own_n", F.lit(0)))
+        else:
+            value = F.try_divide("all", "all_n")
+        means = means.select(group, "feature", value.alias("value")).where("value is not null").distinct()
+    proto = scaled(means, stats, [group]).select(group, "feature", F.col("z").alias("p"))
+    return cosine(scaled(readers.select(who, group, "feature", "value"), stats, [group]), proto, [who, group], [group])
 
 
 def discriminative_scores(rows: DataFrame, who: str, native: str, fold: str, columns: Sequence[str], groups: Sequence[str] = (), how: str = "logistic") -> DataFrame:

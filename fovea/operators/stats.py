@@ -54,19 +54,32 @@ def adjusted_r2(r2: str, n: str, features: str | int) -> Column:
     return 1 - (1 - F.col(r2)) * F.try_divide(F.col(n) - 1, F.col(n) - k - 1)
 
 
+def _testable(*r: Column, n: Column) -> Column:
+    """Four rows at least and correlations inside (-1, 1); a test of others has no value."""
+    inside = n >= 4
+    for c in r:
+        inside = inside & (F.abs(F.nanvl(c.cast("double"), F.lit(1.0))) < 1)
+    return inside
+
+
 def steiger_z(ra: Column, rb: Column, rab: Column, n: Column) -> Column:
-    """Test of two correlations that share a variable, with the covariance of their Fisher transforms."""
+    """Test of two correlations that share a variable, with the covariance of their Fisher transforms.
+
+    Null for fewer than four rows, a correlation that is null, not finite or not inside (-1, 1), or no positive variance.
+    """
     rest = 1 - ra * ra - rb * rb
-    s = (rab * rest - ra * rb * (rest - rab * rab) / 2) / ((1 - ra * ra) * (1 - rb * rb))
-    return (F.atanh(ra) - F.atanh(rb)) * F.sqrt(n - 3) / F.sqrt(2 - 2 * s)
+    s = F.try_divide(rab * rest - ra * rb * (rest - rab * rab) / 2, (1 - ra * ra) * (1 - rb * rb))
+    spread = F.when(2 - 2 * s > 0, F.sqrt(2 - 2 * s))
+    return F.when(_testable(ra, rb, rab, n=n), F.try_divide((F.atanh(ra) - F.atanh(rb)) * F.sqrt(n - 3), spread))
 
 
 def meng_z(ra: Column, rb: Column, rab: Column, n: Column) -> Column:
-    """Test of two correlations that share a variable, with the mean square correlation in the correction."""
+    """Test of two correlations that share a variable, with the mean square correlation in the correction. Null as `steiger_z`."""
     square = (ra * ra + rb * rb) / 2
-    f = F.least(F.lit(1.0), (1 - rab) / (2 * (1 - square)))
-    h = (1 - f * square) / (1 - square)
-    return (F.atanh(ra) - F.atanh(rb)) * F.sqrt((n - 3) / (2 * (1 - rab) * h))
+    f = F.least(F.lit(1.0), F.try_divide(1 - rab, 2 * (1 - square)))
+    h = F.try_divide(1 - f * square, 1 - square)
+    spread = F.when(h > 0, 2 * (1 - rab) * h)
+    return F.when(_testable(ra, rb, rab, n=n), (F.atanh(ra) - F.atanh(rb)) * F.sqrt(F.try_divide(n - 3, spread)))
 
 
 def compared(pairs: DataFrame, group: Sequence[str], target: str, x: str = "x", y: str = "y") -> DataFrame:

@@ -241,9 +241,8 @@ def metadata_override(spark: SparkSession, sf: str) -> DataFrame:
     return joins.override(c, other, ["c_custkey"], ["c_acctbal"])
 
 
-@query(W + """, dr AS (SELECT DISTINCT participant_id, paragraph, word FROM words WHERE ptb_pos = 'R')
-SELECT w.participant_id, w.paragraph, (w.word - (SELECT count(*) FROM dr d WHERE d.participant_id = w.participant_id AND d.paragraph = w.paragraph AND d.word < w.word))::INTEGER AS word
-FROM words w WHERE w.ptb_pos <> 'R' AND w.participant_id % 10 = 0""")
+@query(W + """, k AS (SELECT participant_id, paragraph, ptb_pos, word - sum((ptb_pos = 'R')::INTEGER) OVER (PARTITION BY participant_id, paragraph ORDER BY word) AS word FROM words)
+SELECT participant_id, paragraph, word::INTEGER AS word FROM k WHERE ptb_pos <> 'R'""")
 def realigned_words(spark: SparkSession, sf: str) -> DataFrame:
     w = roles.words(spark, sf)
     keys = ["participant_id", "paragraph"]
@@ -251,9 +250,9 @@ def realigned_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(W + """
-SELECT DISTINCT n.participant_id FROM meta n WHERE n.native AND EXISTS (SELECT 1 FROM meta l WHERE NOT l.native AND l.content_group = n.content_group AND l.lang_no % 5 = n.lang_no % 5)""")
+SELECT DISTINCT n.participant_id FROM meta n WHERE n.native AND EXISTS (SELECT 1 FROM meta l WHERE NOT l.native AND l.content_group = n.content_group AND l.lang_no % 3 = n.lang_no % 3)""")
 def shared_combos(spark: SparkSession, sf: str) -> DataFrame:
-    r = roles.readers(spark, sf).withColumn("combo", F.col("lang_no") % 5)
+    r = roles.readers(spark, sf).withColumn("combo", F.col("lang_no") % 3)
     return filters.shared_combos(r.where("native"), r.where("not native"), ["content_group", "combo"]).select("participant_id")
 
 

@@ -9,6 +9,7 @@ from fovea.operators import debias, distances, features, models, scoring, splits
 from fovea.plans import roles
 from fovea.plans.registry import query, rounded, rounded_all
 from fovea.sources import table
+from fovea.sources.shared import keep
 
 FEATURES = ("ff", "fp", "tf", "rp", "sk", "rr")
 # A made-up distance by nation number stands in for a typological one; the tables have no languages.
@@ -25,17 +26,24 @@ sc AS (SELECT participant_id, any_value(L1) L1, any_value(score) score, any_valu
 ds AS (SELECT *, ((lang_no * 7) % 25) / 25.0 AS distance FROM sc)"""
 
 
+def wide_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A row a reader: metric means and what is known about them. Kept, so each query reads the line items once."""
+    wide = features.metric_means(roles.words(spark, sf, numbered=False), ["participant_id"], {m: m for m in FEATURES})
+    return keep(wide.join(roles.readers(spark, sf), "participant_id"))
+
+
 def feature_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Long features of second-language and native readers, with what is known about them."""
-    wide = features.metric_means(roles.words(spark, sf, numbered=False), ["participant_id"], {m: m for m in FEATURES})
-    long = scoring.long_features(wide, ["participant_id"], FEATURES).where("value is not null").join(roles.readers(spark, sf), "participant_id")
+    about = ["participant_id", "L1", "native", "region", "score", "content_group", "lang_no"]
+    long = scoring.long_features(wide_rows(spark, sf), about, FEATURES).where("value is not null")
     return long.where("not native"), long.where("native")
 
 
 def scores(spark: SparkSession, sf: str, how: str = "cosine") -> DataFrame:
+    """A row a second-language reader with the score; kept, as corrections use it for sums and for rows."""
     second, native = feature_rows(spark, sf)
     found = scoring.prototype_scores(second, native, ["participant_id"], how=how)
-    return found.join(roles.readers(spark, sf), "participant_id")
+    return keep(found.join(roles.readers(spark, sf), "participant_id"))
 
 
 def with_distance(df: DataFrame) -> DataFrame:
@@ -182,8 +190,7 @@ def mean_baseline_lopo(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
-    wide = features.metric_means(roles.words(spark, sf, numbered=False), ["participant_id"], {m: m for m in FEATURES})
-    return wide.join(roles.readers(spark, sf).where("not native"), "participant_id")
+    return wide_rows(spark, sf).where("not native")
 
 
 def _cross_validated(spark: SparkSession, sf: str, model: str) -> DataFrame:
@@ -214,15 +221,13 @@ def ols_by_language(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def logistic_native_scores(spark: SparkSession, sf: str) -> DataFrame:
-    wide = features.metric_means(roles.words(spark, sf, numbered=False), ["participant_id"], {m: m for m in FEATURES}).join(roles.readers(spark, sf), "participant_id")
-    wide = wide.select("participant_id", F.col("native").cast("int").alias("native"), "content_group", F.pmod(F.xxhash64("participant_id"), F.lit(5)).cast("int").alias("fold"), *FEATURES)
+    wide = wide_rows(spark, sf).select("participant_id", F.col("native").cast("int").alias("native"), "content_group", F.pmod(F.xxhash64("participant_id"), F.lit(5)).cast("int").alias("fold"), *FEATURES)
     return scoring.discriminative_scores(wide, "participant_id", "native", "fold", FEATURES, ["content_group"])
 
 
 @query()
 def lda_native_scores(spark: SparkSession, sf: str) -> DataFrame:
-    wide = features.metric_means(roles.words(spark, sf, numbered=False), ["participant_id"], {m: m for m in FEATURES}).join(roles.readers(spark, sf), "participant_id")
-    wide = wide.select("participant_id", F.col("native").cast("int").alias("native"), "content_group", F.pmod(F.xxhash64("participant_id"), F.lit(5)).cast("int").alias("fold"), *FEATURES)
+    wide = wide_rows(spark, sf).select("participant_id", F.col("native").cast("int").alias("native"), "content_group", F.pmod(F.xxhash64("participant_id"), F.lit(5)).cast("int").alias("fold"), *FEATURES)
     return scoring.discriminative_scores(wide, "participant_id", "native", "fold", FEATURES, ["content_group"], how="lda")
 
 
