@@ -31,7 +31,8 @@ WORD = re.compile(r"[^\W_]+")
 DIMS = 1 << 16
 HEAD = 5
 MAX_TRAIN_DOCS = 2000
-_CACHE = 300_000
+_CACHE = 100_000
+_STEP_TOKENS = 100_000
 SPAN = "array<struct<start:int,end:int,p:double>>"
 
 
@@ -115,14 +116,25 @@ def marginals(emission: np.ndarray, counts: np.ndarray, chain: Chain, pairs: boo
 
 
 def train(words: list[str], tags: np.ndarray, counts: np.ndarray, rounds: int = 60, rate: float = 0.3, l2: float = 1e-3) -> Chain:
-    """Maximum likelihood by adaptive gradient steps (Adam) over all token sequences at once."""
+    """Maximum likelihood by adaptive gradient steps (Adam) over all token sequences.
+
+    A step sums the gradient over runs of whole documents of about `_STEP_TOKENS` tokens, so what is held beside the
+    tokens doesn't grow with them.
+    """
     chain = Chain(np.zeros(DIMS), -2.0, np.zeros((2, 2)), np.zeros(2))
     if not words:
         return chain
-    distinct, index = np.unique(np.array(words, dtype=object), return_inverse=True)
-    table = np.array([features(w) for w in distinct])
+    at: dict[str, int] = {}
+    index = np.fromiter((at.setdefault(w, len(at)) for w in words), np.int32, len(words))
+    table = np.array([features(w) for w in at])
     first = np.zeros(len(words), bool)
-    first[(np.cumsum(counts) - counts)[counts > 0]] = True
+    ends = np.cumsum(counts)
+    first[(ends - counts)[counts > 0]] = True
+    runs, begin = [], 0
+    for k in range(len(counts)):
+        if k + 1 == len(counts) or ends[k + 1] - (ends[begin] - counts[begin]) > _STEP_TOKENS:
+            runs.append((slice(int(ends[begin] - counts[begin]), int(ends[k])), counts[begin : k + 1]))
+            begin = k + 1
     inside = ~first[1:]
     real = np.zeros((2, 2))
     np.add.at(real, (tags[:-1][inside], tags[1:][inside]), 1)
@@ -138,14 +150,19 @@ def train(words: list[str], tags: np.ndarray, counts: np.ndarray, rounds: int =
 
     for k in range(1, rounds + 1):
         each = chain.weights[table].sum(axis=1) + chain.bias
-        p, joint = marginals(each[index], counts, chain, pairs=True)
-        off = np.bincount(index, p - tags, minlength=len(distinct)) / scale
+        off, joint, heads = np.zeros(len(at)), np.zeros((2, 2)), 0.0
+        for tokens, own in runs:
+            if own.sum():
+                p, pairs = marginals(each[index[tokens]], own, chain, pairs=True)
+                off += np.bincount(index[tokens], p - tags[tokens], minlength=len(at))
+                joint += pairs.sum(axis=0)
+                heads += p[first[tokens]].sum()
+        off /= scale
         slope = np.bincount(table.ravel(), np.repeat(off, table.shape[1]), minlength=DIMS)
-        heads = p[first]
         chain.weights = adam("weights", chain.weights, slope + l2 * chain.weights, k)
         chain.bias = float(adam("bias", chain.bias, off.sum() + l2 * chain.bias, k))
-        chain.trans = adam("trans", chain.trans, (joint.sum(axis=0) - real) / scale + l2 * chain.trans, k)
-        chain.start = adam("start", chain.start, (np.array([(1 - heads).sum(), heads.sum()]) - opening) / scale + l2 * chain.start, k)
+        chain.trans = adam("trans", chain.trans, (joint - real) / scale + l2 * chain.trans, k)
+        chain.start = adam("start", chain.start, (np.array([first.sum() - heads, heads]) - opening) / scale + l2 * chain.start, k)
     return chain
 
 
@@ -229,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, id
             toxic += b.column(1).to_pylist()
         order = sorted(range(len(texts)), key=lambda i: texts[i])  # the same chain whatever the order of arrival
         c = _learn([texts[i] for i in order], np.array(toxic, bool)[order], min_contexts, min_ratio)
+        texts.clear()
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (c.weights.astype(np.float32), np.array([c.bias]), c.trans, c.start, c.whole)], names=["w", "b", "t", "s", "d"])
 
     learned = rows.mapInArrow(learn, "w binary, b binary, t binary, s binary, d binary").first()
