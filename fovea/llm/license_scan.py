@@ -153,7 +153,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least
     rarest = math.log(texts + 1) + 1
 
     anchored = F.arrays_overlap(F.split(F.lower(text_col), _SPLIT), F.array(*map(F.lit, sorted(anchors))))
-    rows = keep(files.select(F.monotonically_increasing_id().alias("_row"), *others, F.when(anchored, F.col(text_col)).alias("_text")))
+    rows = keep(files.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_file"), F.col(path_col).alias("_path"), F.when(anchored, F.col(text_col)).alias("_text")))
     lines = F.transform(F.split("_text", "\n"), lambda x: F.struct(F.lit("line").alias("kind"), x.alias("unit")))
     passages = F.transform(F.split("_text", r"\n[ \t\r]*\n"), lambda x: F.struct(F.lit("paragraph").alias("kind"), x.alias("unit")))
     sentences = F.transform(F.split("_text", _SENTENCE_END), lambda x: F.struct(F.lit("sentence").alias("kind"), x.alias("unit")))
@@ -178,11 +178,15 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least
     own = keep(own.join(sizes, "_row", "left").select("_row", F.col("b.license").alias("license"), (-F.col("b.c")).alias("similarity"), ((F.col("all") == 1) | (2 * F.col("held") >= F.col("words"))).alias("mostly")))
 
     placed = rows.drop("_text").join(own, "_row", "left")
-    parts = F.split(path_col, "/")
-    folder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    parts = F.split("_path", "/")
+    placed = placed.withColumn("folder", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
     named = F.element_at(parts, -1).rlike(FILE_NAMES)
-    licensed = placed.where(F.col(path_col).isNotNull() & F.col("license").isNotNull() & (F.col("mostly") | named)).groupBy(folder.alias("dir")).agg(F.min(F.struct((-F.col("similarity")).alias("c"), "license")).alias("b")).select("dir", F.col("b.license").alias("given"))
-    above = placed.where(F.col(path_col).isNotNull() & F.col("license").isNull()).select("_row", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))).alias("a")).select("_row", "a.depth", "a.dir")
-    handed = above.join(licensed, "dir").groupBy("_row").agg(F.max_by(F.struct("given", "dir"), "depth").alias("g")).select("_row", "g.given", "g.dir")
+    licensed = placed.where(F.col("_path").isNotNull() & F.col("license").isNotNull() & (F.col("mostly") | named)).groupBy(F.col("folder").alias("dir")).agg(F.min(F.struct((-F.col("similarity")).alias("c"), "license")).alias("b")).select("dir", F.col("b.license").alias("given"))
+    # a folder asks once for all its files, so the root and other upper folders are asked by folders, not by files
+    steps = F.split("folder", "/")
+    ways = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, F.lit(1), k), "/").alias("dir")))
+    above = placed.where("license is null and folder is not null").select("folder").distinct().select("folder", F.explode(ways).alias("a")).select("folder", "a.depth", "a.dir")
+    handed = above.join(licensed, "dir").groupBy("folder").agg(F.max_by(F.struct("given", "dir"), "depth").alias("g")).select("folder", "g.given", "g.dir")
+    placed = placed.join(handed, "folder", "left").withColumns({c: F.when(F.col("license").isNull(), F.col(c)) for c in ("given", "dir")})
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
-    return placed.join(handed, "_row", "left").select(*others, F.coalesce("license", "given").alias("license"), origin.alias("origin"), "similarity", F.col("dir").alias("licensed_by"))
+    return placed.select(*[F.col("_file").getField(c).alias(c) for c in others], F.coalesce("license", "given").alias("license"), origin.alias("origin"), "similarity", F.col("dir").alias("licensed_by"))

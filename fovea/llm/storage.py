@@ -1,54 +1,14 @@
-"""Intermediate tables in the folder that driver and executors share, and names that clash with no column."""
+"""Intermediate tables that end with the work they serve, and names that clash with no column."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fovea.sources.shared import keep, remove, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one on a local master, an error on a cluster."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fovea-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _remove_at_end(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        remove(spark, folder)
-
-
-_roots: dict[str, str] = {}
-
-
-def _root(spark: SparkSession) -> str:
-    """A folder for this application's kept tables, removed when its driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        _roots[app] = f"{shared_dir(spark)}/kept-{app}-{uuid.uuid4().hex}"
-        atexit.register(_remove_at_end, spark, _roots[app])
-    return _roots[app]
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back, so no later step recomputes it."""
-    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["Scratch", "fresh", "keep", "shared_dir"]
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

@@ -26,6 +26,7 @@ from fovea.llm.storage import keep
 
 MAX_SAMPLE = 4096
 MAX_ANNULI = 50_000
+SCORE_CELLS = 2_000_000
 
 
 def _farthest_first(points: np.ndarray, count: int) -> np.ndarray:
@@ -136,12 +137,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
             ids, x = ids[order], x[order]
             q = _matrix(asked["v"].combine_chunks())
             exact = np.abs(x).max() * np.abs(q).max() * x.shape[1] < 2**53
-            scores = (q @ x.T).astype(np.int64) if exact else q.astype(np.int64) @ x.astype(np.int64).T
-            for name, s in zip(names, scores, strict=True):
-                others = ids != name
-                own, ranked = s[others], ids[others]
-                head = np.argsort(-own, kind="stable")[:k]
-                found.append((np.full(len(head), name), ranked[head], own[head]))
+            if not exact:
+                q, x = q.astype(np.int64), x.astype(np.int64)
+            step = max(1, SCORE_CELLS // len(x))
+            for first in range(0, len(q), step):
+                for name, s in zip(names[first : first + step], (q[first : first + step] @ x.T).astype(np.int64), strict=True):
+                    others = ids != name
+                    own, ranked = s[others], ids[others]
+                    head = np.argsort(-own, kind="stable")[:k]
+                    found.append((np.full(len(head), name), ranked[head], own[head]))
         columns = [np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3)]
         return pa.table({"query": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.int64())})
 
