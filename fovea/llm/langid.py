@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fovea.llm.storage import give_back
+
 _RUN = re.compile(r"[^\W\d_]+")  # letters, and number signs such as ½ that are no letters
 LETTERS = r"\p{L}+"
 _LETTERS = regex.compile(LETTERS)
@@ -169,6 +171,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
             for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
                 found = [scorer.predict(text.as_py()) for text in part.column(part.schema.get_field_index(text_col))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*part.schema.names, lang_name, score_name])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, `{lang_name}` string, `{score_name}` double")

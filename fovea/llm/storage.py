@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from fovea.sources.shared import keep, remove, shared_dir
 
-__all__ = ["Scratch", "fresh", "keep", "shared_dir"]
+__all__ = ["Scratch", "fresh", "give_back", "keep", "shared_dir"]
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
@@ -22,6 +24,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system: workers live on, and what one stage has used the next need not pay for."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Scratch:
     """Kept tables that end with the work they serve. What outlives it must be kept elsewhere before."""
 

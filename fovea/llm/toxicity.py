@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fovea.llm.storage import give_back
+
 WORD = re.compile(r"[^\W_]+")
 DIMS = 1 << 16
 HEAD = 5
@@ -247,6 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column | None = None, id
         order = sorted(range(len(texts)), key=lambda i: texts[i])  # the same chain whatever the order of arrival
         c = _learn([texts[i] for i in order], np.array(toxic, bool)[order], min_contexts, min_ratio)
         texts.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (c.weights.astype(np.float32), np.array([c.bias]), c.trans, c.start, c.whole)], names=["w", "b", "t", "s", "d"])
 
     learned = rows.mapInArrow(learn, "w binary, b binary, t binary, s binary, d binary").first()
@@ -314,6 +317,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", score_name: str
                 found = score_texts(part.column(part.schema.get_field_index(text_col)).to_pylist(), shared.value)
                 spans = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in s] for _, s in found], span_type)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.float64()), spans], names=[*part.schema.names, score_name, spans_name])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, `{score_name}` double, `{spans_name}` {SPAN}")
