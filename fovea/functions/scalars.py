@@ -134,3 +134,25 @@ def parsed_pair(name: str) -> Column:
     whole = F.get(found, F.lit(0))
     pick = lambda g: F.nullif(F.regexp_extract(whole, r"_(.+?)_(\d+)(?:_(\d+))?$", g), F.lit(""))
     return F.struct(pick(1).alias("paragraph"), pick(2).cast("int").alias("i"), pick(3).cast("int").alias("j"))
+
+
+def from_zero(df, *columns: str):
+    """Places counted from one, counted from zero."""
+    return df.withColumns({c: F.col(c) - 1 for c in columns})
+
+
+def proxy_code(component: str, code: str, proxies: dict[str, str], of: str = "scriptural") -> Column:
+    """The language code to look a distance up by: a proxy for the one component that lacks the language."""
+    found = F.create_map(*[F.lit(x) for kv in proxies.items() for x in kv])[F.col(code)] if proxies else F.lit(None)
+    return F.when(F.col(component) == of, F.coalesce(found, F.col(code))).otherwise(F.col(code))
+
+
+def level_code(c: str, high: str = "Adv", low: str = "Ele") -> Column:
+    """1 for the advanced text, 0 for the elementary; null for others."""
+    return F.when(F.col(c) == high, 1).when(F.col(c) == low, 0)
+
+
+def proficiency(df, who: str, scores: list[str], absent: list[str], digits: int = 5, missing: float = -1.0):
+    """A distinct row a participant: scores rounded, absent tests added, gaps as the sentinel."""
+    rows = df.select(who, *[F.round(F.col(c).cast("double"), digits).alias(c) for c in scores], *[F.lit(None).cast("double").alias(c) for c in absent]).distinct()
+    return rows.select(who, *[F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(missing)).alias(c) for c in [*scores, *absent]])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -74,12 +75,39 @@ def debias_by_fold(df: DataFrame, score: str, target: str, fold: str, how: str =
     """
     names = list(_sums(score, target))
     own = df.groupBy(fold).agg(*[c.alias(k) for k, c in _sums(score, target).items()])
-    whole = own.agg(*[F.sum(k).alias(f"_a_{k}") for k in names])
-    left = own.crossJoin(F.broadcast(whole)).select(fold, *[(F.col(f"_a_{k}") - F.col(k)).alias(k) for k in names])
+    by = Window.partitionBy(F.lit(0))  # a row a fold: languages or a few strata
+    left = own.select(fold, *[(F.sum(k).over(by) - F.col(k)).alias(k) for k in names])
     fits = left.select(fold, F.when(F.col("n") >= 3, FITS[how]()).alias("alpha"), (F.col("d") / F.col("n")).alias("_centre"))
     return df.join(fits, fold).withColumn("debiased", corrected(score, "alpha", "_centre" if centre else 0.0)).drop("_centre")
 
 
+def interaction_by_fold(df: DataFrame, score: str, target: str, fold: str, centre: bool = False) -> DataFrame:
+    """Every row corrected by the main effect of distance in score ~ t + d + t * d (both centred), fitted outside its fold.
+
+    The fit is on uncentred sums, all less the fold's own; the centred main effect is b_d + b_td * mean t.
+    """
+    y, t, d = (F.col(c).cast("double") for c in (score, target, "distance"))
+    terms = (F.lit(1.0), t, d, t * d)
+    sums = {f"m{i}_{j}": F.sum(a * b) for i, a in enumerate(terms) for j, b in enumerate(terms)} | {f"r{i}": F.sum(a * y) for i, a in enumerate(terms)}
+    own = df.groupBy(fold).agg(*[v.alias(k) for k, v in sums.items()])
+    by = Window.partitionBy(F.lit(0))  # a row a fold
+    left = own.select(fold, *[(F.sum(k).over(by) - F.col(k)).alias(k) for k in sums])
+
+    def solve(batches):
+        for g in batches:
+            m = g[[f"m{i}_{j}" for i in range(4) for j in range(4)]].to_numpy(float).reshape(-1, 4, 4)
+            r = g[[f"r{i}" for i in range(4)]].to_numpy(float)
+            out = []
+            for a, b in zip(m, r, strict=True):
+                good = a[0, 0] >= 4 and np.linalg.matrix_rank(a / np.sqrt(np.outer(np.diag(a), np.diag(a)) + 1e-300)) == 4
+                w = np.linalg.solve(a, b) if good else np.full(4, np.nan)
+                out.append((w[2] + w[3] * a[0, 1] / a[0, 0] if good else None, a[0, 2] / a[0, 0] if a[0, 0] else None))
+            yield pd.DataFrame({fold: g[fold].to_numpy(), "alpha": [x for x, _ in out], "_centre": [c for _, c in out]})
+
+    fits = left.mapInPandas(solve, f"`{fold}` {dict(df.dtypes)[fold]}, alpha double, _centre double")
+    return df.join(F.broadcast(fits), fold).withColumn("debiased", corrected(score, "alpha", "_centre" if centre else 0.0)).drop("_centre")
+
+
 def interaction(df: DataFrame, score: str, target: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups, b_0, b_t, b_d, b_td of score ~ t + d + t * d, with target and distance centred in the group."""
     by = Window.partitionBy(*(groups or [F.lit(0)]))
@@ -87,6 +115,21 @@ def interaction(df: DataFrame, score: str, target: str, groups: Sequence[str] =
     return linear_coefficients(centred, groups, score, ["t", "d", "td"])
 
 
+def _effects(n: np.ndarray, my: np.ndarray, mt: np.ndarray, stt: np.ndarray, sty: np.ndarray, syy: np.ndarray, how: str) -> np.ndarray:
+    """What each language adds, from its count, means and sums of squares and products inside it; effects sum to zero."""
+    slope = sty.sum() / stt.sum() if len(n) and stt.sum() > 0 else 0.0
+    remainder = my - slope * mt
+    if how == "random" and len(n) > 2:
+        within = max(1e-12, (syy.sum() - slope * sty.sum()) / max(1.0, n.sum() - len(n) - 1))
+        design = np.column_stack([np.ones(len(n)), mt])
+        line = np.linalg.lstsq(design, my, rcond=None)[0]
+        between = max(0.0, float(((my - design @ line) ** 2).sum() / (len(n) - 2) - within / (len(n) / (1 / n).sum())))
+        weight = 1 / (between + within / n)
+        line = np.linalg.lstsq(design * np.sqrt(weight)[:, None], my * np.sqrt(weight), rcond=None)[0]
+        remainder = between / (between + within / n) * (my - design @ line)
+    return remainder - remainder.mean() if len(n) else remainder
+
+
 def language_effects(df: DataFrame, score: str, target: str, lang: str = "L1", how: str = "fixed") -> DataFrame:
     """lang, n, effect: what a language adds to the score at equal target, effects summing to zero.
 
@@ -96,31 +139,46 @@ def language_effects(df: DataFrame, score: str, target: str, lang: str = "L1", h
     y, t = F.col(score), F.col(target)
     rows = df.groupBy(lang).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.avg(t).alias("mt"), F.regr_sxx(y, t).alias("stt"), F.regr_sxy(y, t).alias("sty"), F.regr_syy(y, t).alias("syy")).orderBy(lang)
     got = rows.collect()  # one row a language
-    n, my, mt, stt, sty, syy = (np.array([float(r[c] or 0.0) for r in got]) for c in ("n", "my", "mt", "stt", "sty", "syy"))
-    slope = sty.sum() / stt.sum() if len(got) and stt.sum() > 0 else 0.0
-    remainder = my - slope * mt
-    if how == "random" and len(got) > 2:
-        within = max(1e-12, (syy.sum() - slope * sty.sum()) / max(1.0, n.sum() - len(got) - 1))
-        design = np.column_stack([np.ones(len(got)), mt])
-        line = np.linalg.lstsq(design, my, rcond=None)[0]
-        between = max(0.0, float(((my - design @ line) ** 2).sum() / (len(got) - 2) - within / (len(got) / (1 / n).sum())))
-        weight = 1 / (between + within / n)
-        line = np.linalg.lstsq(design * np.sqrt(weight)[:, None], my * np.sqrt(weight), rcond=None)[0]
-        remainder = between / (between + within / n) * (my - design @ line)
-    effect = remainder - remainder.mean() if len(got) else remainder
+    effect = _effects(*(np.array([float(r[c] or 0.0) for r in got]) for c in ("n", "my", "mt", "stt", "sty", "syy")), how)
     return df.sparkSession.createDataFrame([(r[lang], int(r["n"]), float(e)) for r, e in zip(got, effect, strict=True)], f"`{lang}` string, n long, effect double")
 
 
+def effects_by_fold(df: DataFrame, score: str, target: str, fold: str, lang: str = "L1", how: str = "fixed") -> DataFrame:
+    """Every row with `effect`, its language's effect learned on the rows outside its fold, and `debiased`; null for a
+    language that only the fold has.
+
+    Sums by language and fold; a fold's are all less its own. A task solves folds of a row a language each.
+    """
+    y, t = F.col(score).cast("double"), F.col(target).cast("double")
+    names = ("n", "y", "t", "yy", "tt", "yt")
+    own = df.groupBy(lang, fold).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(y).alias("y"), F.sum(t).alias("t"), F.sum(y * y).alias("yy"), F.sum(t * t).alias("tt"), F.sum(y * t).alias("yt"))
+    whole = own.groupBy(lang).agg(*[F.sum(c).alias(f"a_{c}") for c in names])
+    every = whole.crossJoin(F.broadcast(own.select(fold).distinct())).join(own, [lang, fold], "left")  # a row a language and fold
+    left = every.select(lang, fold, *[(F.col(f"a_{c}") - F.coalesce(c, F.lit(0.0))).alias(c) for c in names]).where("n > 0")
+    kinds = dict(df.dtypes)
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(lang)
+        n, sy, st, yy, tt, yt = (g[c].to_numpy(float) for c in names)
+        effect = _effects(n, sy / n, st / n, tt - st * st / n, yt - sy * st / n, yy - sy * sy / n, how)
+        return g[[lang, fold]].assign(effect=effect)
+
+    effects = left.groupBy(fold).applyInPandas(solve, f"`{lang}` {kinds[lang]}, `{fold}` {kinds[fold]}, effect double")
+    return df.join(effects, [lang, fold], "left").withColumn("debiased", F.col(score) - F.col("effect"))
+
+
 def without_effects(df: DataFrame, effects: DataFrame, score: str, lang: str = "L1") -> DataFrame:
     """Scores less their language's effect; null for a language without one."""
     return df.join(F.broadcast(effects.select(lang, "effect")), lang, "left").withColumn("debiased", F.col(score) - F.col("effect")).drop("effect")
 
 
-def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[str], lang: str = "L1", centre: bool = True, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """groups, n, r_raw, r_debiased, delta_r, low, high, p: what leave-a-language-out debiasing does to the correlation.
+def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[str], lang: str = "L1", centre: bool = True, draws: int = 10_000, seed: int = 42, statistic: str = "r") -> DataFrame:
+    """groups, n, r_raw, r_debiased, delta_r, low, high, p: what debiasing does to the correlation with the target, or
+    (statistic 'b', columns b_...) to the two-step slope on distance.
 
-    Each draw resamples people and refits every language's alpha from the sums of the others. p doubles the smaller
-    tail of the draws centred on no change, at least 1 / draws. One task handles one result cell.
+    `lang` is the fold that is left out: the language, or a stratified fold. Each draw resamples people and refits
+    every fold's alpha from the sums of the others. p doubles the smaller tail of the draws centred on no change, at
+    least 1 / draws. One task handles one result cell.
     """
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups)
 
@@ -131,6 +189,12 @@ def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[s
         with np.errstate(all="ignore"):
             return (w * cx * ct).sum(axis=1) / np.sqrt((w * cx * cx).sum(axis=1) * (w * ct * ct).sum(axis=1))
 
+    def slope(w, x, t, d):
+        n = w.sum(axis=1)
+        c = lambda a, b: (w * a * b).sum(axis=1) - (w * a).sum(axis=1) * (w * b).sum(axis=1) / n
+        with np.errstate(all="ignore"):
+            return (c(x, d) - c(x, t) / c(t, t) * c(t, d)) / c(d, d)
+
     def both(w, y, t, d, of):
         member = np.eye(of.max() + 1)[of]
         sums = {k: w @ (member * v[:, None]) for k, v in {"n": np.ones_like(y), "y": y, "t": t, "d": d, "tt": t * t, "dd": d * d, "yt": y * t, "yd": y * d, "td": t * d}.items()}
@@ -139,7 +203,10 @@ def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[s
             c = lambda a, b, ab: o[ab] - o[a] * o[b] / o["n"]
             alpha = (c("y", "d", "yd") - c("y", "t", "yt") / c("t", "t", "tt") * c("t", "d", "td")) / c("d", "d", "dd")
             middle = o["d"] / o["n"] if centre else np.zeros_like(alpha)
-        return correlation(w, y[None], t), correlation(w, y - alpha[:, of] * (d - middle[:, of]), t)
+        fixed = y - alpha[:, of] * (d - middle[:, of])
+        if statistic == "b":
+            return slope(w, np.broadcast_to(y, fixed.shape), t, d), slope(w, fixed, t, d)
+        return correlation(w, y[None], t), correlation(w, fixed, t)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([lang, score, target])
@@ -159,9 +226,9 @@ def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[s
                 moved = delta - (fixed - raw)
                 p = 2 * min((moved >= fixed - raw).mean(), (moved <= fixed - raw).mean())
                 out = [len(g), raw, fixed, fixed - raw, *np.percentile(delta, [2.5, 97.5]), float(min(1.0, max(1 / draws, p)))]
-        return pd.DataFrame([[*key, *out]], columns=[*groups, "n", "r_raw", "r_debiased", "delta_r", "low", "high", "p"])
+        return pd.DataFrame([[*key, *out]], columns=[*groups, "n", f"{statistic}_raw", f"{statistic}_debiased", f"delta_{statistic}", "low", "high", "p"])
 
-    return df.dropna(subset=[score, target, "distance"]).select(*groups, lang, score, target, "distance").groupBy(*groups).applyInPandas(run, f"{keys}, n long, r_raw double, r_debiased double, delta_r double, low double, high double, p double")
+    return df.dropna(subset=[score, target, "distance"]).select(*groups, lang, score, target, "distance").groupBy(*groups).applyInPandas(run, f"{keys}, n long, {statistic}_raw double, {statistic}_debiased double, delta_{statistic} double, low double, high double, p double")
 
 
 def slope_test(df: DataFrame, y: str, x: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -187,3 +254,46 @@ def language_summary(df: DataFrame, value: str, lang: str = "L1") -> DataFrame:
 def missing_variants(present: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected result cells that nobody has produced."""
     return expected.join(present.select(*keys).distinct(), list(keys), "left_anti")
+
+
+@dataclass(frozen=True)
+class Correction:
+    """A way to correct scores: name, method (FITS, 'interaction', 'fixed' or 'random'), fold column, what it needs, whom
+    it leaves out, and a target of its own if it has one."""
+
+    name: str
+    method: str
+    fold: str
+    target: str | None = None
+    skip_for: frozenset = frozenset()
+    centre: bool = False
+
+
+def apply_correction(df: DataFrame, correction: Correction, score: str, target: str, feature_set: str, lang: str = "L1") -> DataFrame | None:
+    """The rows with `debiased`, or None where the correction leaves the feature set out or a column it needs is missing."""
+    target = correction.target or target
+    needs = {correction.fold, target, score} | ({lang} if correction.method in ("fixed", "random") else {"distance"})
+    if feature_set in correction.skip_for or not needs <= set(df.columns):
+        return None
+    if correction.method in ("fixed", "random"):
+        return effects_by_fold(df, score, target, correction.fold, lang, correction.method)
+    if correction.method == "interaction":
+        return interaction_by_fold(df, score, target, correction.fold, correction.centre)
+    return debias_by_fold(df, score, target, correction.fold, correction.method, correction.centre)
+
+
+def all_corrections(df: DataFrame, corrections: Sequence[Correction], who: str, score: str, target: str, feature_set: str) -> DataFrame:
+    """who, variant, score: the raw score and every correction that applies, one below the other."""
+    out = df.select(who, F.lit("raw").alias("variant"), F.col(score).alias("score"))
+    for c in corrections:
+        found = apply_correction(df, c, score, target, feature_set)
+        if found is not None:
+            out = out.unionByName(found.select(who, F.lit(c.name).alias("variant"), F.col("debiased").alias("score")))
+    return out
+
+
+def bias_summary(df: DataFrame, score: str, target: str, cells: Sequence[str]) -> DataFrame:
+    """cells, n, alpha (two-step slope on distance), r and slope of the score's remainder against distance: a sweep over
+    result cells (entry, target, kind of distance) is one job over their key."""
+    found = residuals(df.where(F.col(score).isNotNull() & F.col(target).isNotNull() & F.col("distance").isNotNull()), score, target, cells)
+    return found.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("residual", "distance").alias("alpha"), pearson("residual", "distance").alias("r"))

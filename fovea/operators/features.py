@@ -180,3 +180,24 @@ def counts_with_totals(people: DataFrame, row: str, column: str, values: Sequenc
 
 def totals_by_rollup(people: DataFrame, key: str) -> DataFrame:
     return people.rollup(key).count().withColumn(key, F.coalesce(key, F.lit("All")))
+
+
+GROUPS = {"fixation_metrics": metric_means, "clusters": clusters, "reading_speed": reading_speed}
+
+
+def feature_groups(requested: Mapping[str, DataFrame], who: Sequence[str]) -> DataFrame:
+    """One row a participant: the frames of the requested groups side by side, everybody kept."""
+    out = None
+    for frame in requested.values():
+        out = frame if out is None else out.join(frame, list(who), "full_outer")
+    return out
+
+
+def text_features(frames: Mapping[str, DataFrame], who: Sequence[str], paragraph: str) -> DataFrame:
+    """who, paragraph, feature_group, cell, value: per-text frames in one long table instead of ever wider ones."""
+    out = None
+    for name, df in frames.items():
+        cells = [c for c in df.columns if c not in (*who, paragraph, "value")]
+        one = df.select(*who, paragraph, F.lit(name).alias("feature_group"), F.concat_ws("_", *[F.col(c).cast("string") for c in cells]).alias("cell"), F.col("value").cast("double").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out

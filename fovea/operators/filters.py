@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,3 +111,32 @@ def version_matches(column: str, name: str):
 def common_columns(*frames: DataFrame) -> list[str]:
     """Columns that all frames have, in the first one's order."""
     return [c for c in frames[0].columns if all(c in f.columns for f in frames[1:])]
+
+
+def displayed(rows: DataFrame, shown: DataFrame) -> DataFrame:
+    """Result rows whose cell (the columns of `shown`, a small table) is one that a table shows."""
+    return rows.join(F.broadcast(shown.distinct()), shown.columns, "left_semi")
+
+
+def feature_set_columns(columns: Sequence[str], wanted: Sequence[str], prefix: str | None, about: Sequence[str] = ("participant_id", "L1", "content_group")) -> tuple[list[str], list[str]]:
+    """Columns of a feature set, what is known of its rows first, and those that are missing; with a prefix, all columns that bear it."""
+    found = [c for c in columns if c.startswith(prefix)] if prefix else [c for c in wanted if c in columns]
+    return [c for c in about if c in columns] + found, [] if prefix else [c for c in wanted if c not in columns]
+
+
+def without_metadata(df: DataFrame, metadata: Sequence[str]) -> DataFrame:
+    return df.drop(*metadata)
+
+
+def language_column(df: DataFrame) -> str | None:
+    """'language' if the table has it, else 'L1', else None."""
+    return next((c for c in ("language", "L1") if c in df.columns), None)
+
+
+def target_columns(sets: Mapping[str, Mapping[str, Sequence[str]]], dataset: str, name: str, override: Sequence[str] | None = None) -> list[str]:
+    """The targets of a named set for a dataset; an override wins, an unknown set is an error."""
+    if override:
+        return list(override)
+    if name not in sets:
+        raise ValueError(f"unknown target set {name!r}; expected one of {sorted(sets)}")
+    return list(sets[name].get(dataset, ()))

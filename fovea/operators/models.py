@@ -71,7 +71,7 @@ def _ridge_path(x: np.ndarray, y: np.ndarray, alphas: Sequence[float]) -> tuple[
 
 
 def _fit_ridge(x, y, options):
-    _, w, b = _ridge_path(x, y, options.get("alphas", ALPHAS) if options.get("choose", True) else [1.0])
+    _, w, b = _ridge_path(x, y, [options["alpha"]] if "alpha" in options else options.get("alphas", ALPHAS) if options.get("choose", True) else [1.0])
     return lambda z: z @ w + b
 
 
@@ -181,16 +181,16 @@ def crossfit_ridge(rows: DataFrame, who: str, target: str, columns: Sequence[str
     return rows.dropna(subset=[target]).select(*[f.name for f in fields], *({stratum} - {f.name for f in fields}), target, *columns).groupBy(*groups).applyInPandas(run, schema)
 
 
-def tree_model(kind: str, seed: int = 42, depth: int = 6, trees: int = 200):
+def tree_model(kind: str, seed: int = 42, depth: int = 6, trees: int = 200, least: int = 1, rate: float = 0.1, share: float | None = None):
     """Spark's distributed tree learners: 'tree', 'forest' or 'boosted'."""
     from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 
     if kind == "tree":
-        return DecisionTreeRegressor(maxDepth=depth, seed=seed)
+        return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=least, seed=seed)
     if kind == "forest":
-        return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
+        return RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", minInstancesPerNode=least, seed=seed)
     if kind == "boosted":
-        return GBTRegressor(maxIter=trees, stepSize=0.1, maxDepth=depth, seed=seed)
+        return GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy=str(share or "all"), seed=seed)
     raise ValueError(f"unknown tree model {kind}")
 
 

@@ -127,3 +127,83 @@ def standard_error(sd: Column, reliability: Column) -> Column:
 def person_sd(df: DataFrame, who: str, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups, sd of people's mean values."""
     return df.groupBy(*groups, who).agg(F.avg(value).alias("m")).groupBy(*groups).agg(F.stddev_samp("m").alias("sd"))
+
+
+COEFFICIENTS = ("icc1", "icc2", "icc3", "icc1k", "icc2k", "icc3k")
+
+
+def averaged(by_group: DataFrame, values: Sequence[str], sums: Sequence[str] = (), means: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """keys; the mean of each coefficient over the groups that have it, sums (people) and whole means (items)."""
+    return by_group.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values], *[F.sum(c).alias(c) for c in sums], *[F.floor(F.avg(c)).cast("long").alias(c) for c in means])
+
+
+def icc_by_group(df: DataFrame, who: str, item: str, value: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, people, items and the mean of each group's six coefficients."""
+    return averaged(icc(df, who, item, value, [*keys, group]), COEFFICIENTS, ["people"], ["items"], keys)
+
+
+def icc_pooled(df: DataFrame, who: str, item: str, value: str, group: str) -> DataFrame:
+    """people, items, icc1, icc1k over all groups at once: one-way over readers, on values centred in their group.
+
+    Groups read other items, so one analysis of variance can't cross them; `items` is what a reader sees on average.
+    """
+    cells = one_per_cell(df, who, item, value, [group])
+    middle = cells.groupBy(group).agg(F.avg("value").alias("_m"))
+    centred = cells.join(middle, group).withColumn("value", F.col("value") - F.col("_m")).drop("_m")
+    own = centred.groupBy(who).agg(F.count(F.lit(1)).alias("c"), F.countDistinct(item).alias("k"), F.avg("value").alias("m"), (F.var_pop("value") * F.count(F.lit(1))).alias("ss"))
+    t = own.agg(F.count(F.lit(1)).alias("people"), F.round(F.avg("k")).cast("long").alias("items"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("ss").alias("within"), (F.sum(F.col("c") * F.col("m") * F.col("m")) - F.sum(F.col("c") * F.col("m")) * F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("between"))
+    g, k = F.col("people"), F.col("items")
+    t = t.where("people > 1 and n > people and items > 1").withColumns({"b": F.col("between") / (g - 1), "w": F.col("within") / (F.col("n") - g), "k0": (F.col("n") - F.col("cc") / F.col("n")) / (g - 1)})
+    below = F.col("b") + (F.col("k0") - 1) * F.col("w")
+    t = t.withColumn("icc1", F.when(below > 0, F.try_divide(F.col("b") - F.col("w"), below)))
+    return t.select("people", "items", "icc1", F.when(F.col("icc1") > -1 / (k - 1), k * F.col("icc1") / (1 + (k - 1) * F.col("icc1"))).alias("icc1k"))
+
+
+def reliability_row(df: DataFrame, halves: DataFrame, who: str, item: str, value: str, groups: Sequence[str] = (), complete: bool = False) -> DataFrame:
+    """groups, items, people, alpha, alpha_sem, split_half, split_half_sem, sd: the coefficients of each result cell.
+
+    `complete`: alpha and its standard error on people who have every item, split halves on all.
+    """
+    cells = one_per_cell(df, who, item, value, groups).select(*groups, who, item, F.col("value").alias(value))
+    full = complete_only(cells, who, item, groups) if complete else cells
+    join = (lambda a, b: a.join(b, list(groups))) if groups else (lambda a, b: a.crossJoin(F.broadcast(b)))
+    rows = join(cronbach_alpha(full, who, item, value, groups), person_sd(full, who, value, groups).withColumnRenamed("sd", "_full"))
+    rows = join(join(rows, split_half(cells, halves, who, item, value, groups).select(*groups, F.col("reliability").alias("split_half"))), person_sd(cells, who, value, groups))
+    return rows.select(*groups, "items", "people", "alpha", standard_error(F.col("_full"), F.col("alpha")).alias("alpha_sem"), "split_half", standard_error(F.col("sd"), F.col("split_half")).alias("split_half_sem"), "sd")
+
+
+def split_correlations(halves: DataFrame, who: str, value: str, split: str, half: str, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, split, r, stepped_up of stored scores: a row a participant, split and half (0, 1) in."""
+    sides = halves.groupBy(*groups, split, who).agg(F.avg(F.when(F.col(half) == 0, F.col(value))).alias("_x"), F.avg(F.when(F.col(half) == 1, F.col(value))).alias("_y"))
+    return sides.groupBy(*groups, split).agg(pearson("_x", "_y").alias("r")).withColumn("stepped_up", spearman_brown(F.col("r")))
+
+
+def split_summary(by_split: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, splits, mean and population sd of r and of the stepped-up r. Without groups: over all (group, split) values."""
+    return by_split.groupBy(*groups).agg(F.count("r").alias("splits"), F.avg("r").alias("r_mean"), F.stddev_pop("r").alias("r_sd"), F.avg("stepped_up").alias("reliability"), F.stddev_pop("stepped_up").alias("reliability_sd"))
+
+
+def part_of(item: str, parts: dict[str, tuple[int, int]]) -> Column:
+    """The test part whose range (first, last) holds the item; null outside all."""
+    out = F.lit(None).cast("string")
+    for name, (first, last) in parts.items():
+        out = F.when(F.col(item).between(first, last), name).otherwise(out)
+    return out
+
+
+def by_part(df: DataFrame, halves: DataFrame, who: str, item: str, value: str, parts: dict[str, tuple[int, int]], groups: Sequence[str] = ()) -> DataFrame:
+    """groups, part, items, people, alpha, split_half of each part: the part is one more key of the same job."""
+    rows = df.withColumn("part", part_of(item, parts)).where("part is not null")
+    return reliability_row(rows, halves, who, item, value, [*groups, "part"]).select(*groups, "part", "items", "people", "alpha", "split_half")
+
+
+def icc_by_part(df: DataFrame, who: str, item: str, value: str, parts: dict[str, tuple[int, int]], whole: str = "whole_test") -> DataFrame:
+    """part, items, people and the six coefficients of each part and of the whole test."""
+    part = F.explode(F.array_compact(F.array(part_of(item, parts), F.lit(whole))))
+    return icc(df.withColumn("part", part), who, item, value, ["part"])
+
+
+def over_parts(rows: DataFrame, whole: DataFrame, by: str) -> DataFrame:
+    """by, people, parts and the unweighted means of the parts' alpha and split half, beside the whole test's columns."""
+    means = rows.groupBy(by).agg(F.max("people").alias("people"), F.countDistinct("part").alias("parts"), F.avg("alpha").alias("avg_part_alpha"), F.avg("split_half").alias("avg_part_split_half"))
+    return means.join(whole, by)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fovea.operators.features import logistic_fit
@@ -100,6 +100,27 @@ def pooled(readers: DataFrame, natives: DataFrame, who: str, group: str, pool: s
     return cosine(scaled(readers.select(who, group, "feature", "value"), stats, [group]), proto, [who, group], [group])
 
 
+def fold_scores(readers: DataFrame, natives: DataFrame, who: str, fold: str, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, who, fold, eye_score without leaks: z statistics of the readers outside the reader's fold, from all sums
+    less the fold's own; the prototype is the natives' in those terms.
+
+    A feature without spread outside a fold drops out there.
+    """
+    own = readers.where("value is not null").groupBy(*groups, "feature", fold).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count(F.lit(1))).alias("q"))
+    by = Window.partitionBy(*groups, "feature")
+    total, mean = F.sum("n").over(by), F.sum(F.col("n") * F.col("m")).over(by) / F.sum("n").over(by)
+    whole = own.withColumns({"all_n": total, "all_m": mean}).withColumn("all_q", F.sum(F.col("q") + F.col("n") * (F.col("m") - F.col("all_m")) * (F.col("m") - F.col("all_m"))).over(by))
+    rest = F.col("all_n") - F.col("n")
+    left = whole.where("all_n - n > 1").withColumn("mean", (F.col("all_n") * F.col("all_m") - F.col("n") * F.col("m")) / rest)
+    apart = (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")) * F.col("n") * rest / F.col("all_n")
+    spread = F.greatest(F.lit(0.0), F.col("all_q") - F.col("q") - apart) / (rest - 1)
+    stats = left.withColumn("sd", F.sqrt(spread)).where("sd > 1e-12").select(*groups, "feature", fold, "mean", "sd")
+    keys = [*groups, fold]
+    means = natives.groupBy(*groups, "feature").agg(F.avg("value").alias("value")).join(stats.select(*keys, "feature"), [*groups, "feature"])
+    proto = scaled(means, stats, keys).select(*keys, "feature", F.col("z").alias("p"))
+    return cosine(scaled(readers.select(*keys, who, "feature", "value"), stats, keys), proto, [*groups, who, fold], keys)
+
+
 def discriminative_scores(rows: DataFrame, who: str, native: str, fold: str, columns: Sequence[str], groups: Sequence[str] = (), how: str = "logistic") -> DataFrame:
     """groups, who, eye_score: out-of-fold log-odds of being native, design standardised inside each fit.
 
@@ -130,6 +151,50 @@ def discriminative_scores(rows: DataFrame, who: str, native: str, fold: str, col
     return rows.select(*groups, who, native, fold, *columns).groupBy(*groups).applyInPandas(run, f"{keys}`{who}` {kind}, eye_score double")
 
 
+def paired_scores(natives: DataFrame, fit: DataFrame, targets: DataFrame, who: str, fold: str, columns: Sequence[str], groups: Sequence[str] = (), how: str = "logistic") -> DataFrame:
+    """groups, who, eye_score of target rows by fits whose second-language rows are others: natives against the fit rows
+    of everyone outside the target's fold. People that fit and targets don't share need no fold: one fit serves.
+
+    Wide frames; one task has one group's fits, a segment of thousands of rows.
+    """
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in targets.schema.fields if f.name in groups)
+    kind, learn = dict(targets.dtypes)[who], FITS[how]
+    part = lambda df, side: df.select(*groups, who, F.col(fold).cast("long").alias("_fold") if fold in df.columns else F.lit(None).cast("long").alias("_fold"), F.lit(side).alias("_side"), *[F.col(c).cast("double").alias(c) for c in columns])
+
+    def scored(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+        if len(np.unique(y)) < 2:
+            return np.full(len(t), np.nan)
+        mean = np.nan_to_num(np.nanmean(x, axis=0))
+        sd = np.nan_to_num(np.nanstd(x, axis=0, ddof=1))
+        z = lambda v: np.column_stack([np.ones(len(v)), np.nan_to_num((v - mean) / np.where(sd > 0, sd, 1))])
+        w = learn(z(x), y)
+        return np.full(len(t), np.nan) if w is None else z(t) @ w
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["_side", who])
+        native, other, target = (g[g["_side"] == k] for k in (0, 1, 2))
+        x = lambda f: np.where(np.isfinite(v := f[list(columns)].to_numpy(float)), v, np.nan)
+        out = np.full(len(target), np.nan)
+        folds = target["_fold"].to_numpy()
+        shared = other[who].isin(target[who]).any()
+        for k in np.unique(folds) if shared else [None]:
+            test = np.ones(len(target), bool) if k is None else folds == k
+            held = other[~other[who].isin(target[who][test])] if shared else other
+            both = np.concatenate([x(native), x(held)])
+            out[test] = scored(both, np.concatenate([np.ones(len(native)), np.zeros(len(held))]), x(target)[test])
+        return pd.DataFrame({**dict(zip(groups, key, strict=True)), who: target[who].to_numpy(), "eye_score": out}).replace({np.nan: None})
+
+    rows = part(natives, 0).unionByName(part(fit, 1)).unionByName(part(targets, 2))
+    return rows.groupBy(*groups).applyInPandas(run, f"{keys}`{who}` {kind}, eye_score double")
+
+
+def require_prototype(how: str) -> str:
+    """The name if it is a prototype similarity; paths by item have no discriminative score."""
+    if how not in PROTOTYPES:
+        raise ValueError(f"{how!r} has no prototype; expected one of {sorted(PROTOTYPES)}")
+    return how
+
+
 def _balanced_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
     """Penalty of one for each feature (C = 1 / p); classes weigh the same."""
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))

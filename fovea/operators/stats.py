@@ -91,6 +91,24 @@ def compared(pairs: DataFrame, group: Sequence[str], target: str, x: str = "x",
     return tested.withColumns({"steiger_p": z_p_value("steiger_z"), "meng_p": z_p_value("meng_z")})
 
 
+def pair_kinds(pairs: DataFrame, set_a: str, set_b: str, model_a: str, model_b: str, baseline_set: str, baseline_model: str) -> DataFrame:
+    """pairs with is_baseline (a side is the baseline feature set) and is_ridge (one feature set, one side the baseline model)."""
+    base = (F.col(set_a) == baseline_set) | (F.col(set_b) == baseline_set)
+    one_side = (F.col(model_a) == baseline_model) != (F.col(model_b) == baseline_model)
+    return pairs.withColumns({"is_baseline": base, "is_ridge": (F.col(set_a) == F.col(set_b)) & one_side})
+
+
+def window_curve(df: DataFrame, pred: str, true: str, window: str, groups: Sequence[str] = (), full: str | None = None) -> DataFrame:
+    """groups, window, n, pearson_r, mae[, bias against the column of the value over everything] of every moving window."""
+    aggs = [F.count(F.when(F.col(pred).isNotNull() & F.col(true).isNotNull(), 1)).alias("n"), pearson(pred, true).alias("pearson_r"), F.avg(F.abs(F.col(pred) - F.col(true))).alias("mae")]
+    return df.groupBy(*groups, window).agg(*aggs, *([F.avg(F.col(pred) - F.col(full)).alias("bias")] if full else []))
+
+
+def lookup(df: DataFrame, cells: Sequence[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """cells, n and a correlation for each name -> (column, column): r of raw and debiased scores, or of either with the target."""
+    return df.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"), *[pearson(x, y).alias(name) for name, (x, y) in pairs.items()])
+
+
 def matrix(long: DataFrame, who: str, name: str, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups, a, b, n, pearson_r, mean_abs_diff of every two named series, by a join on the participant."""
     a = long.select(*groups, who, F.col(name).alias("a"), F.col(value).alias("x"))

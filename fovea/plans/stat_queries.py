@@ -82,12 +82,20 @@ def meng(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_all(out.select("region", "n", "meng_z"), 6, "meng_z")
 
 
-@query()
+@query(_WIDE2 + """, lg AS (UNPIVOT (SELECT participant_id, region, score, ff, tf, sk FROM mr) ON ff, tf, sk INTO NAME name VALUE value),
+pq AS (SELECT a.region, a.score, a.name a, b.name b, a.value x, b.value y FROM lg a JOIN lg b ON a.participant_id = b.participant_id
+  WHERE CASE WHEN a.name = 'ff' THEN 'zz' ELSE a.name END < CASE WHEN b.name = 'ff' THEN 'zz' ELSE b.name END),
+c AS (SELECT region, a, b, count(*) n, corr(x, score) ra, corr(y, score) rb, corr(x, y) rab FROM pq GROUP BY 1, 2, 3),
+s AS (SELECT *, (rab * (1 - ra * ra - rb * rb) - ra * rb * (1 - ra * ra - rb * rb - rab * rab) / 2) / ((1 - ra * ra) * (1 - rb * rb)) q, (ra * ra + rb * rb) / 2 m FROM c),
+f AS (SELECT *, least(1.0, (1 - rab) / (2 * (1 - m))) f FROM s)
+SELECT region, a, b, n, round(ra, 6) + 0.0 AS r_a, round(rb, 6) + 0.0 AS r_b, round(rab, 6) + 0.0 AS r_ab, round((atanh(ra) - atanh(rb)) * sqrt(n - 3) / sqrt(2 - 2 * q), 5) + 0.0 AS steiger_z,
+  round((atanh(ra) - atanh(rb)) * sqrt((n - 3) / (2 * (1 - rab) * (1 - f * m) / (1 - m))), 5) + 0.0 AS meng_z FROM f""")
 def pairwise_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Every two features as predictors of the score, the baseline ff on side b, with both tests and their p."""
+    """Every two features as predictors of the score, the baseline ff on side b, with both tests."""
     long = _model_rows(spark, sf).select("participant_id", "region", "score", "ff", "tf", "sk").unpivot(["participant_id", "region", "score"], ["ff", "tf", "sk"], "name", "value")
     pairs = joins.unordered_pairs(long, ["participant_id", "region", "score"], "name", "value", last="ff")
-    return stats.compared(pairs, ["region", "a", "b"], "score")
+    out = stats.compared(pairs, ["region", "a", "b"], "score").drop("steiger_p", "meng_p")
+    return rounded_all(rounded_all(out, 6, "r_a", "r_b", "r_ab"), 5, "steiger_z", "meng_z")
 
 
 @query(_LONG + """ SELECT CASE WHEN a = 'ff' THEN b ELSE a END AS a, CASE WHEN a = 'ff' THEN 'ff' ELSE b END AS b, count(*) AS n FROM pq WHERE a <> b GROUP BY 1, 2""")
@@ -160,10 +168,15 @@ def split_half_parity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_all(reliability.split_half(_cells(spark, sf), halves, "who", "item", "ff"), 6, "r_mean", "r_sd", "reliability")
 
 
-@query()
+_HALVES = splits.random_item_halves(list(range(1, 8)), None, 20)
+
+
+@query(_CELLS + f""", hv(draw, item, half) AS (VALUES {", ".join(map(str, _HALVES))}),
+s AS (SELECT draw, who, avg(value) FILTER (half = 0) x, avg(value) FILTER (half = 1) y FROM cell JOIN hv USING (item) GROUP BY 1, 2), r AS (SELECT draw, corr(x, y) r FROM s WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1)
+SELECT count(r) AS draws, round(avg(r), 6) + 0.0 AS r_mean, round(stddev_pop(r), 6) + 0.0 AS r_sd, round(avg(2 * r / (1 + r)), 6) + 0.0 AS reliability FROM r""")
 def split_half_random(spark: SparkSession, sf: str) -> DataFrame:
-    halves = spark.createDataFrame(splits.random_item_halves(list(range(1, 8)), None, 20), "draw int, item int, half int")
-    return reliability.split_half(_cells(spark, sf), halves, "who", "item", "ff")
+    halves = spark.createDataFrame(_HALVES, "draw int, item int, half int")
+    return rounded_all(reliability.split_half(_cells(spark, sf), halves, "who", "item", "ff"), 6, "r_mean", "r_sd", "reliability")
 
 
 @query("""

@@ -105,3 +105,19 @@ def aligned_union(a: DataFrame, b: DataFrame, tag: str, names: tuple[str, str],
 def live_features(long: DataFrame, corpus: str, feature: str = "feature", value: str = "value") -> DataFrame:
     """corpus, features: how many have any non-zero value."""
     return long.where(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(corpus).agg(F.countDistinct(feature).alias("features"))
+
+
+def item_scores(spark: SparkSession, root: str, schema: StructType, value: str = "score", **cell: str) -> DataFrame:
+    """Stored scores by item of one result cell (dataset, preview, pool, level, ...): folders that don't match aren't read.
+
+    An absent tree gives no rows; rows without a score are left out.
+    """
+    rows = optional(spark, root, schema)
+    for column, wanted in cell.items():
+        rows = rows.where(F.col(column) == wanted)
+    return rows.where(F.col(value).isNotNull())
+
+
+def original_scores(rows: DataFrame, who: str, value: str) -> DataFrame:
+    """who, original: the mean stored score or prediction of each participant."""
+    return rows.groupBy(who).agg(F.avg(value).alias("original"))
