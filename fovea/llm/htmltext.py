@@ -5,9 +5,11 @@ vector (hashed tags, class and id words of its ancestors), a hashed-word vector
 bidirectional LSTM in numpy reads the page's whole block sequence and labels every block as article or not, so
 a block is judged with all the others in view. The text is what the article blocks hold.
 
-The labeller is learned from a sample of at most about `max_train_pages` pages, whose blocks are labelled by what
-their elements are called, and as many composed pages that mix those names, path shapes and words, so that a
-name not met in the sample still speaks. Learning is one small task; labelling is one pass without a shuffle.
+The labeller is learned from a sample of at most about `max_train_pages` pages and as many composed ones. The sample's
+blocks are labelled by several signals (`page_labels`): what their elements are called, where the page's prose
+stands, runs of links outside it. Composed pages know their labels by construction: some have speaking names, some
+have none at all, and in some the article stands in an element called like an aside, so that names alone decide
+nothing and the sequence has to. Learning is one small task; labelling is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIMS, WORD_DIMS, MEASURES = 512, 24, 4
+PATH_DIMS, WORD_DIMS, MEASURES = 512, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
 MAX_TRAIN_PAGES = 300
-LEAST_COMPOSED = 400
+LEAST_COMPOSED = 900
 TRAIN_WINDOW = 128
 
 # Element names of HTML.
@@ -49,7 +51,7 @@ NEUTRAL_WORDS = ("row", "col", "wrap", "wrapper", "container", "inner", "outer",
 ARTICLE_WORDS = ("article", "post", "entry", "content", "story", "main", "body", "text", "page", "section", "blog", "news", "prose", "chapter")
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -127,11 +129,11 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += m.start() - at
         at = m.end()
-        tag = m["tag"]
+        tag = m["tag"] or m["tag2"]  # the second form: a quote is left open, the tag ends at the next >
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["end"]:
+        tag, attrs = tag.lower(), m["attrs"] or m["attrs2"]
+        if m["end"] or m["end2"]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK:
@@ -147,7 +149,7 @@ def blocks(page: str) -> list[Block]:
                 close(("p",), SCOPE)
             if tag in SIBLINGS:
                 close(SIBLINGS[tag], SCOPE)
-            names = (*(stack[-1][1] if stack else ()), (tag, _names(m["attrs"]) if m["attrs"] else ()))
+            names = (*(stack[-1][1] if stack else ()), (tag, _names(attrs) if attrs else ()))
             stack.append((tag, names, path_vector(names, stack[-1][2] if stack else empty)))
         elif tag == "a":
             links += 1
@@ -165,15 +167,66 @@ def named_label(block: Block) -> int:
     return 1
 
 
+def is_prose(b: Block) -> bool:
+    """A dozen words or more, few of them links."""
+    return b.linked < 0.3 * len(b.text) and b.text.count(" ") >= 11
+
+
+def page_labels(found: list[Block]) -> np.ndarray:
+    """1 for article blocks of a page, by names, prose and links.
+
+    A block is what its names say, with two exceptions. Where no prose stands outside elements called like asides, the
+    named element that holds most of it is the article. Three or more blocks in a row that are links alone are none if
+    the page's prose lies all before or all after them.
+    """
+    label = np.array([named_label(b) for b in found], int)
+    prose = np.array([is_prose(b) for b in found], bool)
+    if prose.any() and not (prose & (label == 1)).any():
+        held: dict[tuple, int] = {}
+        for b, p in zip(found, prose, strict=True):
+            at = next((k for k, (tag, words) in enumerate(b.names) if tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(words)), None)
+            if p and at is not None and not any(tag in ASIDE_TAGS for tag, _ in b.names):
+                held[b.names[: at + 1]] = held.get(b.names[: at + 1], 0) + len(b.text)
+        if held:
+            best = max(held, key=held.get)
+            for k, b in enumerate(found):
+                if b.names[: len(best)] == best and not any(tag in ASIDE_TAGS for tag, _ in b.names):
+                    label[k] = 1
+    at = np.flatnonzero(prose & (label == 1))
+    if len(at):
+        for first, end in link_runs(found):
+            if end <= at[0] or first > at[-1]:
+                label[first:end] = 0
+    return label
+
+
+def link_runs(found: list[Block]) -> list[tuple[int, int]]:
+    """Stretches of three or more blocks of links alone."""
+    runs, first = [], 0
+    for k in range(len(found) + 1):
+        if k == len(found) or found[k].linked < 0.8 * len(found[k].text):
+            if k - first >= 3:
+                runs.append((first, k))
+            first = k + 1
+    return runs
+
+
 def vectors(found: list[Block]) -> np.ndarray:
     """(blocks, DIMS)."""
     x = np.zeros((len(found), DIMS), np.float32)
+    named = np.array([named_label(b) for b in found], np.float32)
+    prose = np.array([is_prose(b) for b in found], np.float32)
+    size = np.array([len(b.text) for b in found], np.float32)
+    outside = float((named * prose * size).sum() / max(1.0, (prose * size).sum()))
+    in_run = np.zeros(len(found), np.float32)
+    for first, end in link_runs(found):
+        in_run[first:end] = min(1.0, (end - first) / 8)
     for k, b in enumerate(found):
         x[k, :PATH_DIMS] = np.minimum(b.path, 2)
         words = b.text.split()
         hashed = np.bincount([(ord(w[0]) * 31 + ord(w[-1]) * 7 + len(w)) % WORD_DIMS for w in words], minlength=WORD_DIMS)
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = hashed / max(1, len(words))
-        x[k, -MEASURES:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), k / len(found), len(b.names) / 10)
+        x[k, -MEASURES:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), k / len(found), len(b.names) / 10, named[k], prose[k], outside, in_run[k])
     return x
 
 
@@ -226,24 +279,12 @@ class Labeller:
         both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
         return both @ self.w["o"] + x @ self.w["s"] + self.w["c"][0]
 
-    def start(self, x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1) -> None:
-        """The weights of a block's own vector, as a logistic model without context; the rest learns what that leaves."""
-        w, c = np.zeros(DIMS), 0.0
-        m, v = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
-        for k in range(1, steps + 1):
-            off = (1 / (1 + np.exp(-np.clip(x @ w + c, -30, 30))) - y) / len(y)
-            grad = np.append(x.T @ off + 1e-6 * w, off.sum())
-            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            move = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-            w, c = w - move[:-1], c - move[-1]
-        self.w["s"], self.w["c"] = w, np.array([c])
-
     def accuracy(self, pages: list[list[Block]]) -> float:
-        """Share of blocks labelled as their names say."""
+        """Share of blocks labelled as `page_labels` has them."""
         hits = total = 0
         for page in pages:
             x, mask = _padded([vectors(page)])
-            hits += int(((self.scores(x, mask)[:, 0] > 0) == np.array([named_label(b) for b in page])).sum())
+            hits += int(((self.scores(x, mask)[:, 0] > 0) == page_labels(page)).sum())
             total += len(page)
         return hits / max(1, total)
 
@@ -283,70 +324,94 @@ def _padded(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def _composed(rng: np.random.Generator, texts: list[str]) -> list[Block]:
-    """A page with made-up structure: named parts around and inside an article, in random order and nesting."""
+def _composed(rng: np.random.Generator, texts: list[str]) -> tuple[list[Block], np.ndarray]:
+    """A page with made-up structure and its labels: parts around and inside an article, in random order and nesting.
+
+    Kinds: names that speak (two in five pages), no names at all (a quarter), an article in an element called like an aside.
+    Without speaking names asides are lists of links and short lines.
+    """
     aside_tags, aside_words = sorted(ASIDE_TAGS - {"head", "title", "option", "legend"}), sorted(ASIDE_WORDS)
+    kind = str(rng.choice(("named", "bare", "misled"), p=(0.4, 0.25, 0.35)))
     root = (("html", ()), ("body", ()))
     out: list[Block] = []
+    labels: list[int] = []
+    prose = [t for t in texts if t.count(" ") >= 14] or ["a few words of text that go on for a while until there are more than a dozen of them"]
 
     def pick(words) -> str:
         return str(words[rng.integers(len(words))])
 
-    def leaf(names: tuple, short: bool) -> None:
-        text = pick(texts)
-        words = text.split()
-        if short:
-            words = words[: int(rng.integers(1, 12))]
-        text = " ".join(words)
-        out.append(Block(text, names, path_vector(names), len(text) if short and rng.random() < 0.5 else 0))
+    def leaf(names: tuple, label: int, words: int | None, linked: float = 0.0) -> None:
+        text = pick(texts if words else prose)
+        text = " ".join(text.split()[:words]) if words else text
+        out.append(Block(text, names, path_vector(names), int(len(text) * linked)))
+        labels.append(label)
+
+    def few(most: int = 12) -> int:
+        return int(rng.integers(1, most))
 
     def noise() -> tuple[str, ...]:
         return (pick(NEUTRAL_WORDS),) if rng.random() < 0.3 else ()
 
-    def aside(names: tuple) -> None:
-        named = rng.random()
-        tag = pick(aside_tags) if named < 0.4 else pick(("div", "section", "ul", "p", "span"))
-        names = (*names, (tag, noise() + ((pick(aside_words),) + ((pick(aside_words),) if rng.random() < 0.3 else ()) if named >= 0.3 else ())))
-        inner = pick(("p", "li", "div", "td", "h3"))
-        for _ in range(1 if rng.random() < 0.3 else int(rng.integers(1, 7))):
-            leaf((*names, (inner, ())) if rng.random() < 0.7 else names, rng.random() < 0.6)
+    def heading(names: tuple) -> None:
+        leaf((*names, (pick(("h1", "h1", "h2")), ())), 1, few())
+
+    def aside(names: tuple, long: bool = True) -> None:
+        if kind == "named" or rng.random() < (0.5 if kind == "misled" else 0.3):
+            named = rng.random()
+            tag = pick(aside_tags) if named < 0.4 else pick(("div", "section", "ul", "p", "span"))
+            names = (*names, (tag, noise() + ((pick(aside_words),) + ((pick(aside_words),) if rng.random() < 0.3 else ()) if named >= 0.3 else ())))
+            inner = pick(("p", "li", "div", "td", "h3"))
+            for _ in range(1 if rng.random() < 0.3 else int(rng.integers(1, 7))):
+                short = rng.random() < 0.6 or not long
+                leaf((*names, (inner, ())) if rng.random() < 0.7 else names, 0, few() if short else None, 1.0 if short and rng.random() < 0.5 else 0.0)
+        else:
+            names = (*names, (pick(("div", "ul", "table", "section")), noise()))
+            inner = pick(("li", "td", "div", "p"))
+            for _ in range(int(rng.integers(3, 12))):
+                leaf((*names, (inner, ())), 0, few(5), 1.0)
 
     def article(names: tuple) -> None:
-        names = (*names, (pick(("article", "main", "div", "section")), noise() + ((pick(ARTICLE_WORDS),) if rng.random() < 0.5 else ())))
-        if rng.random() < 0.6:
-            names = (*names, (pick(("article", "main", "div", "section")), noise() + ((pick(ARTICLE_WORDS),) if rng.random() < 0.7 else ())))
-        leaf((*names, (pick(("h1", "h2")), ())), True)
-        for _ in range(int(rng.integers(1, 20))):
-            if rng.random() < 0.25:
+        misled = ((pick(aside_words),) if rng.random() < 0.7 else (pick(aside_words), pick(NEUTRAL_WORDS))) if kind == "misled" else ()
+        outer = rng.random() < 0.5
+        if outer:
+            heading(names)
+        tags = ("div", "section") if kind == "misled" else ("article", "main", "div", "section") if kind == "named" else ("div", "div", "section", "td")
+        speaking = (pick(ARTICLE_WORDS),) if kind == "named" and rng.random() < 0.5 else ()
+        names = (*names, (pick(tags), noise() + speaking + misled))
+        if rng.random() < 0.5:
+            names = (*names, (pick(tags), noise()))
+        if not outer:
+            heading(names)
+        for k in range(int(rng.integers(2 if kind == "named" else 3, 16))):
+            if rng.random() < 0.2 and kind == "named":
                 aside(names)
-            leaf((*names, (pick(("p", "p", "p", "p", "li", "blockquote", "h2", "h3", "pre", "td", "div")), ())), rng.random() < 0.2)
+            leaf((*names, (pick(("p", "p", "p", "p", "li", "blockquote", "h2", "h3", "pre", "td", "div")), ())), 1, few(20) if k and rng.random() < 0.2 else None, 0.2 if rng.random() < 0.2 else 0.0)
 
     if rng.random() < 0.7:
-        leaf((root[0], ("head", ()), ("title", ())), True)
+        leaf((root[0], ("head", ()), ("title", ())), 0, few())
     if rng.random() < 0.4:
         root = (*root, ("div", noise()))
-    for _ in range(int(rng.integers(0, 6))):
-        aside(root)
+    for _ in range(int(rng.integers(0, 5))):
+        aside(root, kind != "misled")
     article(root)
-    for _ in range(int(rng.integers(0, 6))):
-        aside(root)
-    return out
+    for _ in range(int(rng.integers(0, 5)) if rng.random() < 0.7 else 0):
+        aside(root, kind != "misled")
+    return out, np.array(labels)
 
 
-def learn(pages: list[str], rounds: int = 5, batch: int = 16, rate: float = 0.01, seed: int = 7) -> Labeller:
+def learn(pages: list[str], rounds: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 7) -> Labeller:
     """From the given pages and as many composed ones (`LEAST_COMPOSED` at least)."""
     rng = np.random.default_rng(seed)
     real = [b for b in (blocks(p) for p in pages) if b]
     texts = [b.text for page in real for b in page] or ["a few words of text"]
     composed = [_composed(rng, texts) for _ in range(max(LEAST_COMPOSED, len(real)))]
     rows = []
-    for page in real + composed:
-        x, y = vectors(page), np.array([named_label(b) for b in page], float)
+    for page, labels in [(p, page_labels(p)) for p in real] + composed:
+        x, y = vectors(page), labels.astype(float)
         rows += [(x[k : k + TRAIN_WINDOW], y[k : k + TRAIN_WINDOW]) for k in range(0, len(y), TRAIN_WINDOW)]
     model = Labeller(seed)
-    model.start(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.w.items()}
-    step = 0
+    step, steps = 0, rounds * -(-len(rows) // batch)
     for _ in range(rounds):
         order = sorted(rng.permutation(len(rows)).tolist(), key=lambda i: len(rows[i][1]) // 16)
         groups = [order[k : k + batch] for k in range(0, len(order), batch)]
@@ -358,12 +423,13 @@ def learn(pages: list[str], rounds: int = 5, batch: int = 16, rate: float = 0.01
             grads = model.gradients(x, mask, y)
             norm = np.sqrt(sum((v * v).sum() for v in grads.values()))
             step += 1
+            now = rate * (1 - 0.95 * step / steps)  # ever smaller steps
             for k, v in grads.items():
                 v = v * min(1.0, 1.0 / (norm + 1e-9))
                 m, s = moments[k]
                 m, s = 0.9 * m + 0.1 * v, 0.99 * s + 0.01 * v * v
                 moments[k] = m, s
-                model.w[k] = model.w[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+                model.w[k] = model.w[k] - now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
     return model
 
 
