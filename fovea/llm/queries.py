@@ -46,6 +46,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8's block tables find: the documents within three bits of each one."""
+    return simhash.neighbourhoods(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -66,7 +71,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs.select("doc_id", F.concat_ws("/", "source", shelf, F.col("doc_id").cast("string")).alias("path"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece, op4_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece, op4_licenses, near_fingerprints)}
 ORACLE_SQL: dict[str, str] = {
     "op9_jaccard": r"""
 WITH RECURSIVE w AS (

@@ -7,7 +7,9 @@ cos(pi * differing / BITS), at least 0, which estimates the cosine of the term v
 
 Search: BITS are cut into radius + 2 blocks. Two fingerprints within the radius agree on two blocks at least,
 so a table for each pair of blocks, keyed by their bits, finds all; candidates are checked by bit counts. Equal
-fingerprints are one class.
+fingerprints are one class. `neighbourhoods` tells for every document how many others lie within the radius: each
+bucket of a table is searched in a task, which gives one row a member, and a pair counts in the first table that
+holds it. A bucket of over `BUCKET_ROWS` members is dealt into blocks and a task gets two of them.
 
 Main cost: the fingerprints need one pass and no shuffle. Holding each text against its neighbour by key needs
 one range shuffle of the texts; rows at partition edges, one for each partition, are matched afterwards.
@@ -30,6 +32,7 @@ from fovea.llm.storage import keep
 
 BITS = 128
 _WORDS = BITS // 64
+BUCKET_ROWS = 2048
 _ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -166,3 +169,70 @@ def search(queries: DataFrame, stored: DataFrame, radius: int = 6, fingerprint:
     right = held.select("found", F.explode(_keys(F.col("found"), radius)).alias("key"))
     pairs = left.join(right, "key").select("query", "found", distance(F.col("query"), F.col("found")).alias("apart"))
     return pairs.where(F.col("apart") <= radius).distinct()
+
+
+def _block_words(radius: int) -> np.ndarray:
+    """(blocks, _WORDS) masks of the bits of each block."""
+    digits = BITS // 4
+    cuts = [digits * k // (radius + 2) for k in range(radius + 3)]
+    masks = [["f" if a <= d < b else "0" for d in range(digits)] for a, b in itertools.pairwise(cuts)]
+    return np.array([[int("".join(m[16 * w : 16 * w + 16]), 16) for w in range(_WORDS)] for m in masks], np.uint64)
+
+
+def _bucket(prints: np.ndarray, table: int, radius: int, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows left and right within the radius whose first common table is this one; of one block each pair once."""
+    masks = _block_words(radius)
+    order = list(itertools.combinations(range(radius + 2), 2))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, 2_000_000 // max(1, len(right)))
+    for first in range(0, len(left), step):
+        a = left[first : first + step]
+        apart = sum(np.bitwise_count(prints[a, w][:, None] ^ prints[right, w][None, :]).astype(np.int16) for w in range(_WORDS))
+        i, j = np.nonzero(apart <= radius)
+        i, j = a[i], right[j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        diff = prints[i] ^ prints[j]
+        agrees = np.stack([((diff & m) == 0).all(axis=1) for m in masks], axis=1)
+        earlier = np.zeros(len(i), bool)
+        for x, y in order[:table]:
+            earlier |= agrees[:, x] & agrees[:, y]
+        found.append((i[~earlier], j[~earlier]))
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.zeros(0, np.int64),) * 2
+
+
+def neighbourhoods(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, near_docs (other documents within `radius` bits), near_least (the smallest key within the
+    radius, the own included) of every row of docs.
+
+    Exact, and counted by permuted block tables. Null text counts as empty; texts without words share the zero
+    fingerprint. Repeated rows count each; a null key is counted, but is nobody's smallest. Other columns are ignored.
+    """
+    rows = keep(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "fingerprint"))
+    held = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least"))
+    keyed = keep(held.select("fingerprint", "docs", "least", F.explode(_keys(F.col("fingerprint"), radius)).alias("key")).select("fingerprint", "docs", "least", "key.table", "key.bits"))
+    sizes = keyed.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("table", "bits", F.ceil(F.col("members") / BUCKET_ROWS).cast("int").alias("blocks"))
+    dealt = keyed.join(sizes, ["table", "bits"]).withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = dealt.select("table", "bits", "i", "j", "block", "fingerprint", "docs", F.coalesce("least", F.lit((1 << 63) - 1)).alias("least"))
+
+    def search_bucket(key: tuple, t: pa.Table) -> pa.Table:
+        table, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        names = t["fingerprint"].to_pylist()
+        prints = np.array([[int(n[16 * w : 16 * w + 16], 16) for w in range(_WORDS)] for n in names], np.uint64).reshape(-1, _WORDS)
+        block, docs, least = (t[c].to_numpy() for c in ("block", "docs", "least"))
+        left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j))
+        a, b = _bucket(prints, table, radius, left, right, i == j)
+        near, low = np.zeros(len(names), np.int64), least.copy()
+        for x, y in ((a, b), (b, a)):
+            np.add.at(near, x, docs[y])
+            np.minimum.at(low, x, least[y])
+        met = np.zeros(len(names), bool)
+        met[a] = met[b] = True
+        return pa.table({"fingerprint": pa.array([n for n, m in zip(names, met, strict=True) if m], pa.string()), "near": pa.array(near[met]), "low": pa.array(low[met])})
+
+    found = dealt.groupBy("table", "bits", "i", "j").applyInArrow(search_bucket, "fingerprint string, near long, low long")
+    near = found.groupBy("fingerprint").agg(F.sum("near").alias("near"), F.min("low").alias("low"))
+    about = held.join(near, "fingerprint", "left").select("fingerprint", (F.col("docs") - 1 + F.coalesce("near", F.lit(0))).alias("near_docs"), F.least("least", "low").alias("near_least"))
+    about = about.withColumn("near_least", F.when(F.col("near_least") < (1 << 63) - 1, F.col("near_least")))
+    return rows.join(about, "fingerprint").select("doc_id", "fingerprint", "near_docs", "near_least")

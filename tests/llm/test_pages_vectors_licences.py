@@ -274,6 +274,18 @@ NOTICES = [
 ]
 
 
+def test_files_inherit_beside_clashing_columns(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    rows = [("LICENSE", notice), ("top.txt", "no"), ("a/LICENSE", "Released under the ISC License."), ("a/b/c/x.txt", None), ("a/y.txt", ""), ("/rooted.txt", "no"), ("b//z.txt", "no"), (None, "no")]
+    names = ["dir", "given", "_row", "mostly", "folder", "path2"]
+    df = spark.createDataFrame([(p, t, *names) for p, t in rows], ", ".join(["path string", "text string", *(f"`{n}` string" for n in names)]))
+    out = license_scan.scan(df)
+    assert out.columns == ["path", *names, "license", "origin", "similarity", "licensed_by"]
+    got = {r["path"]: (r["license"], r["origin"], r["licensed_by"]) for r in out.collect()}
+    assert got["top.txt"] == got["/rooted.txt"] == got["b//z.txt"] == ("Apache-2.0", "inherited", "")
+    assert got["a/b/c/x.txt"] == got["a/y.txt"] == ("ISC", "inherited", "a") and got["a/LICENSE"][1] == "own" and got[None] == (None, "none", None)
+
+
 def test_notices_of_like_licences_and_inside_prose(spark):
     got = license_scan.scan(spark.createDataFrame([(f"{k}/x", t) for k, (t, _) in enumerate(NOTICES)], "path string, text string"))
     assert {r["path"]: r["license"] for r in got.collect()} == {f"{k}/x": want for k, (_, want) in enumerate(NOTICES)}
@@ -283,7 +295,7 @@ def test_notices_of_like_licences_and_inside_prose(spark):
 
 
 def test_registered_queries_cover_the_ten():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -320,6 +332,21 @@ def test_pipeline_stages_take_effect(spark, sf):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(left)
 
 
+@pytest.mark.parametrize("name", ["language", "toxicity", "near_duplicates", "secrets"])
+def test_stages_keep_clashing_columns_repeats_and_null_keys(spark, sf, name):
+    text = "the old bridge over the river is closed and the path along the water is open again " * 3
+    extra = {"score": -7.0, "lang_pred": "xx", "toxic_score": 5.0, "toxic_spans": "s", "kinds": "k", "key": "y", "component_id": "c", "class": "z"}
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(20_001, text, "en", "s", 1), (20_001, text, "en", "s", 1), (None, "another text of plain words that nobody else has written down here", "en", "s", 1), (20_002, text + "and so on " * 30_000, "en", "s", 1)], base.schema)
+    docs = base.unionByName(odd)
+    for column, value in extra.items():
+        docs = docs.withColumn(column, __import__("pyspark.sql.functions", fromlist=["lit"]).lit(value))
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
+    assert out.columns == docs.columns
+    rows = out.where("doc_id > 20000 or doc_id is null").collect()
+    assert len(rows) == 4 and all(r[c] == v for r in rows for c, v in extra.items())
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_stages_take_an_empty_table(spark, sf, stage):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)

@@ -144,6 +144,33 @@ def test_letters_are_those_of_unicode_categories():
     assert model.predict("known²")[0] == "a"
 
 
+def test_language_model_equals_plain_counts(spark):
+    rows = [("de", "der Hund und der Hund"), ("de", "Hund der Katze"), ("en", "the dog and the dog"), ("en", "dog the cat the"), (None, "nobody"), ("en", None)]
+    table = spark.createDataFrame([(k, lang, t) for k, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    model = langid.fit(table, min_count=2, orders=(2, 1))
+    words, grams = {}, {}
+    for lang, text in rows:
+        for w in re.findall("[a-z]+", (text or "").lower()) if lang else ():
+            words[lang, w] = words.get((lang, w), 0) + 1
+    for (lang, w), n in words.items():
+        for size in (2, 1):
+            for i in range(len(w) + 3 - size):
+                g = f"^{w}$"[i : i + size]
+                grams[lang, g] = grams.get((lang, g), 0) + n
+    langs = ["de", "en"]
+
+    def table_of(counts, kind):
+        known = {k: n for k, n in counts.items() if n >= 2}
+        totals = {(lang, s): 1 + sum(n for (g, k), n in known.items() if g == lang and kind(k) == s) for lang in langs for s in {kind(k) for _, k in known}}
+        return {k: [np.log(max(known.get((lang, k), 0), 0.1)) - np.log(totals[lang, kind(k)]) for lang in langs] for _, k in known}
+
+    for got, want in ((model.words, table_of(words, lambda k: 0)), (model.grams, table_of(grams, len))):
+        assert set(got.at) == set(want) and all(np.allclose(got.get(k), v) for k, v in want.items())
+    assert model.langs == langs
+    score = sum(np.array(table_of(words, lambda k: 0)[w]) for w in ("hund", "der", "der"))
+    assert model.predict("Hund der DER") == ("de", pytest.approx(float(1 / np.exp(score - score.max()).sum())))
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 
@@ -176,6 +203,33 @@ def test_forward_backward_equals_enumeration(counts):
     assert len(joint) == sum(max(0, n - 1) for n in counts) and np.allclose(joint.sum(axis=(1, 2)), 1)
 
 
+def test_document_score_equals_enumeration():
+    rng = np.random.default_rng(9)
+    chain = toxicity.Chain(rng.normal(size=toxicity.DIMS) * 0.7, -0.5, rng.normal(size=(2, 2)), rng.normal(size=2), np.array([-1.0, 0.8, 1.5, -0.3]))
+    texts = ["Alpha beta gamma", "beta, BETA! delta", "", "x " * 9, None]
+    got = toxicity.score_texts(texts, chain)
+    for text, (score, spans) in zip(texts, got, strict=True):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        if not words:
+            assert score == 0 and spans == []
+            continue
+        emission = np.array([sum(chain.weights[k] for k in toxicity.features(w)) + chain.bias for w in words])
+        p = brute_marginals(emission, [len(words)], chain)
+        top = min(max(p.max(), 1e-6), 1 - 1e-6)
+        z = chain.whole @ [1, np.log(p.sum() + 1e-3), np.log(top / (1 - top)) / 4, np.log(len(words) + 1)]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+        runs = "".join("x" if q >= 0.5 else " " for q in p).split()
+        assert len(spans) == len(runs)
+
+
+def test_token_labels_are_counted_in_distinct_contexts():
+    texts = ["foul air here", "foul air here", "foul smell now", "so foul a day", "more foul it is", "a foul end", "clean air here", "clean day now", "it is a clean end"]
+    toxic = np.array([1, 1, 1, 1, 1, 1, 0, 0, 0], bool)
+    words, tags, counts = toxicity._label(texts, toxic, min_contexts=5, min_ratio=2.0)
+    assert [w for w, t in zip(words, tags, strict=True) if t] == ["foul"] * 6 and counts.tolist() == [len(t.split()) for t in texts]
+    assert not toxicity._label(texts, toxic, min_contexts=6, min_ratio=2.0)[1].any()  # its six texts are five contexts
+
+
 def test_toxicity_learns_held_out_rows_and_edges(spark, docs, none):
     rng = np.random.default_rng(5)
     plain, bad = [f"w{k}" for k in range(50)], ["grobnak", "vilethor", "skumbag"]
@@ -370,6 +424,15 @@ def test_trigram_queries():
     assert secret_scan.trigram_query(r"(abcd|xyz)[0-9]*foo") == [[["abc", "bcd"], ["xyz"]], [["foo"]]]
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    text = "password = hunter2secret"
+    for names in (["kinds"], ["key", "kinds", "found"], ["_kinds", "_KEY"], ["doc_ID2", "spans", "row"]):
+        df = spark.createDataFrame([(1, text, *names), (1, text, *names), (None, None, *names)], ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+        out = secret_scan.redact(df)
+        assert out.columns == df.columns
+        assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(1, "<assign>", *names)] * 2 + [(None, None, *names)], key=repr)
+
+
 def test_redaction_removes_what_the_scan_finds(spark):
     df = spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")
     clean = secret_scan.redact(df)
@@ -424,6 +487,68 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == want
 
 
+def plain_fingerprint(text):
+    """Votes one by one: a term is a word and the one before it, its weight 16 * (1 + ln times), rounded."""
+    words = [w for w in re.split(r"[ \t\n\x0b\x0c\r]+", text) if w]
+    def value(w):  # the hash of one word, from the shared hashing
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return textbytes.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+
+    hashes = [value(w) for w in words]
+    times = {}
+    for k, h in enumerate(hashes):
+        before = textbytes.mix(np.array([hashes[k - 1] if k else 0], np.uint64))[0]
+        with np.errstate(over="ignore"):
+            term = int(textbytes.mix(np.array([h + before], np.uint64))[0])
+        times[term] = times.get(term, 0) + 1
+    votes = [0] * simhash.BITS
+    for term, n in times.items():
+        weight = round(16 * (1 + np.log(n)))
+        raw = b"".join(int(textbytes.mix(np.array([term + 97 * j + 1 & (1 << 64) - 1], np.uint64))[0]).to_bytes(8, "little") for j in range(simhash.BITS // 64))
+        for bit in range(simhash.BITS):
+            votes[bit] += weight if raw[bit // 8] >> (7 - bit % 8) & 1 else -weight
+    return bytes(sum((votes[8 * b + k] > 0) << (7 - k) for k in range(8)) for b in range(simhash.BITS // 8))
+
+
+@pytest.mark.parametrize("text", ["", "one", "One one one", "a b a b a b c", "the quick brown fox jumps over the lazy dog the quick"])
+def test_fingerprint_bits_are_votes(text):
+    assert simhash.fingerprints([text])[0].tobytes() == plain_fingerprint(text)
+
+
+@pytest.mark.parametrize("bucket", [2048, 3])
+def test_neighbourhoods_equal_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket)
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{k}" for k in range(400)]
+    rows = []
+    for f in range(6):
+        base = rng.choice(vocabulary, 150).tolist()
+        for c in range(9):
+            now = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                now[int(rng.integers(150))] = str(rng.choice(vocabulary))
+            rows.append((f * 10 + c, " ".join(now)))
+    rows += [(900, None), (901, ""), (902, rows[0][1]), (902, rows[0][1]), (None, rows[0][1])]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, fingerprint string").repartition(3)
+    got = sorted(((r["doc_id"], r["near_docs"], r["near_least"]) for r in simhash.neighbourhoods(df, radius=4).collect()), key=repr)
+    prints = simhash.fingerprints([t or "" for _, t in rows])
+    apart = np.array([[int(np.bitwise_count(a ^ b).sum()) for b in prints] for a in prints])
+    want = []
+    for i, (k, _) in enumerate(rows):
+        near = [j for j in range(len(rows)) if apart[i, j] <= 4]
+        keys = [rows[j][0] for j in near if rows[j][0] is not None]
+        want.append((k, len(near) - 1, min(keys) if keys else None))
+    assert got == sorted(want, key=repr) and max(n for _, n, _ in want) > 3
+    assert simhash.neighbourhoods(df.limit(0)).count() == 0
+
+
+def test_fingerprints_beside_other_columns(docs, none):
+    rows = simhash.with_fingerprints(docs).collect()
+    assert len(rows) == len(ROWS) and rows[0].asDict().keys() == {"doc_id", "text", "score", "kinds", "ids", "fingerprint"}
+    assert {r["fingerprint"] for r in rows if not r["text"]} == {"0" * 32}
+    assert simhash.with_fingerprints(none, name="score").columns == ["doc_id", "text", "kinds", "ids", "score"]
+
+
 # -- piece lattice -----------------------------------------------------------------------------------------------------
 
 
