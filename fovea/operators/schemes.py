@@ -87,10 +87,11 @@ def predicted_by_fold(rows: DataFrame, who: str, target: str, columns: Sequence[
             total: dict = {}
             for g in batches:
                 g = g[g[target].notna()]
-                own = list(zip(*(g[c] for c in given), strict=True))
                 y = g[target].to_numpy(float)
                 for key, (n, middle, mean, sd, square, with_y) in shared.value.items():
-                    use = np.array([o[:-1] == key[:-1] and o[-1] != key[-1] for o in own], bool)
+                    use = (g[fold] != key[-1]).to_numpy()
+                    for c, v in zip(groups, key, strict=False):
+                        use &= (g[c] == v).to_numpy()
                     if use.any():
                         z = scaled(g[use], mean, sd)
                         for a in alphas:

@@ -60,23 +60,24 @@ def id_windows(df: DataFrame, who: str, item: str, size: int) -> DataFrame:
 def go_past(df: DataFrame, trial: Sequence[str], order: Sequence[str], word: str, duration: str) -> DataFrame:
     """For each fixated word: the time from its first fixation up to the first fixation to its right.
 
-    Fixations without a word or off the text (negative) are left out. A trial's fixations are one ordered array; the
-    rest of the array after a word's first fixation is folded until the stop, so a long trial costs its length for
-    each distinct word and no self-join.
+    Fixations without a word or off the text (negative) are left out. A trial's fixations are one ordered array, which
+    is folded once for each distinct word; only the word and its time leave the row, the path is never copied.
     """
     on_text = df.where(F.col(word).isNotNull() & (F.col(word) >= 0))
     path = F.array_sort(F.collect_list(F.struct(*order, F.col(word).alias("_word"), F.coalesce(F.col(duration).cast("double"), F.lit(0.0)).alias("_time"))))
     trials = on_text.groupBy(*trial).agg(path.alias("_path")).withColumn("_words", F.array_distinct(F.transform("_path", lambda f: f["_word"])))
-    words = trials.select(*trial, "_path", F.explode("_words").alias(word))
+    start = F.struct(F.lit(False).alias("begun"), F.lit(False).alias("over"), F.lit(0.0).alias("time"))
 
-    def step(state: Column, fixation: Column) -> Column:
-        here = fixation["_word"] == F.col(word)
-        begun = state["begun"] | here
-        over = state["over"] | (state["begun"] & (fixation["_word"] > F.col(word)))
-        return F.struct(begun.alias("begun"), over.alias("over"), (state["time"] + F.when(begun & ~over, fixation["_time"]).otherwise(0.0)).alias("time"))
+    def time_of(w: Column) -> Column:
+        def step(state: Column, fixation: Column) -> Column:
+            begun = state["begun"] | (fixation["_word"] == w)
+            over = state["over"] | (state["begun"] & (fixation["_word"] > w))
+            return F.struct(begun.alias("begun"), over.alias("over"), (state["time"] + F.when(begun & ~over, fixation["_time"]).otherwise(0.0)).alias("time"))
 
-    start = F.struct(F.lit(False).alias("begun"), F.lit(False).alias("over"), F.lit(0.0).alias("time"))
-    return words.select(*trial, word, F.aggregate("_path", start, step, lambda s: s["time"]).alias("go_past"))
+        return F.struct(w.alias("word"), F.aggregate("_path", start, step, lambda s: s["time"]).alias("time"))
+
+    found = trials.select(*trial, F.explode(F.transform("_words", time_of)).alias("_f"))
+    return found.select(*trial, F.col("_f.word").alias(word), F.col("_f.time").alias("go_past"))
 
 
 def running_number(df: DataFrame, who: Sequence[str], order: Sequence[str], name: str = "window_index") -> DataFrame:

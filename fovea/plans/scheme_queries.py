@@ -20,10 +20,9 @@ _GC = _CELLS + """, gc AS (SELECT cell.*, content_group AS g FROM cell JOIN meta
 
 
 def _grouped_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """A row a reader and paragraph, with the reader's content group; kept, as coefficients use it several times."""
-    cells = reliability.one_per_cell(_cells(spark, sf), "who", "item", "ff")
+    """A row a reader and paragraph, with the reader's content group."""
     people = roles.readers(spark, sf).select(F.col("participant_id").alias("who"), "content_group")
-    return keep(cells.join(people, "who").select("who", "item", F.col("value").alias("ff"), "content_group"))
+    return _cells(spark, sf).join(people, "who")
 
 
 def _parity(spark: SparkSession) -> DataFrame:
@@ -145,12 +144,6 @@ def line_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("L1", "participant_id", "true", rounded("pred", 3).alias("pred"))
 
 
-@query()
-def ridge_by_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """All features, alpha by exact leave-one-out error over the training rows."""
-    return schemes.predicted_by_fold(wide_rows(spark, sf).where("not native"), "participant_id", "score", FEATURES, "L1")
-
-
 _ITEMS = W + """, it AS (SELECT participant_id, paragraph, avg(ff) x, any_value(score) y, participant_id % 3 AS fold FROM words0 JOIN meta USING (participant_id) WHERE NOT native GROUP BY 1, 2)"""
 
 

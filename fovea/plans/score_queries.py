@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fovea.operators import debias, distances, features, models, scoring, splits
+from fovea.operators import debias, distances, features, models, schemes, scoring, splits
 from fovea.plans import roles
 from fovea.plans.registry import query, rounded, rounded_all
 from fovea.sources import table
@@ -193,13 +193,6 @@ def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
     return wide_rows(spark, sf).where("not native")
 
 
-def _cross_validated(spark: SparkSession, sf: str, model: str) -> DataFrame:
-    """Language folds: each is fitted on the readers of all other nations."""
-    rows = _model_rows(spark, sf)
-    held = splits.fold_roles(rows.select("participant_id", F.col("L1").alias("fold")), "participant_id")
-    return models.cross_validated(held.join(rows, "participant_id"), "participant_id", "score", FEATURES, model, ["segment"], top=None)
-
-
 @query(_WIDE + """, f AS (SELECT participant_id, score y, ff x FROM wide JOIN meta USING (participant_id) WHERE NOT native),
 t AS (SELECT count(*) n, sum(x) x, sum(x * x) xx, sum(y) sy, sum(x * y) xy FROM f),
 l AS (SELECT participant_id, f.y "true", n - 1 n1, t.x - f.x x1, t.xx - f.x * f.x xx1, t.sy - f.y y1, t.xy - f.x * f.y xy1, f.x fx FROM f, t)
@@ -211,12 +204,13 @@ def ols_press(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ridge_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    return _cross_validated(spark, sf, "ridge")
+    """Language folds: each is fitted on the readers of all other nations, from sums."""
+    return schemes.predicted_by_fold(_model_rows(spark, sf), "participant_id", "score", FEATURES, "L1")
 
 
 @query()
 def ols_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    return _cross_validated(spark, sf, "ols")
+    return schemes.predicted_by_fold(_model_rows(spark, sf), "participant_id", "score", FEATURES, "L1", model="ols")
 
 
 @query()

@@ -13,6 +13,7 @@ from fovea.plans import roles
 from fovea.plans.registry import query, rounded_all
 from fovea.plans.score_queries import _SCORES, _model_rows, scores
 from fovea.sources import table
+from fovea.sources.shared import keep
 
 W = roles.SQL
 # a reader's per-paragraph means as items
@@ -22,8 +23,10 @@ mr AS (SELECT * FROM wide JOIN meta USING (participant_id) WHERE NOT native)"""
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    """A reader's mean by paragraph; kept, so coefficients with several sums read the line items once."""
     w = roles.words(spark, sf, numbered=False)
-    return w.select(F.col("participant_id").alias("who"), F.col("paragraph").alias("item"), "ff")
+    cells = reliability.one_per_cell(w.select(F.col("participant_id").alias("who"), F.col("paragraph").alias("item"), "ff"), "who", "item", "ff")
+    return keep(cells.withColumnRenamed("value", "ff"))
 
 
 @query(_SCORES + """ SELECT CASE WHEN grouping(L1) = 1 THEN 'All' ELSE L1 END AS "L1", count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(eye_score, score), 6) + 0.0 END AS pearson_r
