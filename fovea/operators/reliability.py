@@ -97,18 +97,20 @@ def icc_crossed_reml(df: DataFrame, who: str, item: str, value: str, groups: Seq
         if np_ > 1 and ni > 1 and n > np_ + ni:
             table = np.zeros((np_, ni))
             np.add.at(table, (p, i), 1)
-            zz = np.zeros((1 + np_ + ni,) * 2)
-            zz[0, 0], zz[0, 1 : 1 + np_], zz[0, 1 + np_ :] = n, table.sum(1), table.sum(0)
-            zz[1 : 1 + np_, 1 : 1 + np_], zz[1 + np_ :, 1 + np_ :] = np.diag(table.sum(1)), np.diag(table.sum(0))
-            zz[1 : 1 + np_, 1 + np_ :] = table
-            zz = np.triu(zz) + np.triu(zz, 1).T
-            zy = np.concatenate([[y.sum()], np.bincount(p, y, np_), np.bincount(i, y, ni)])
+            # the people's block is diagonal: it is eliminated, and a round costs people times items squared
+            rest = np.column_stack([table.sum(1), table])
+            inner = np.diag(np.concatenate([[float(n)], table.sum(0)]))
+            inner[0, 1:] = inner[1:, 0] = table.sum(0)
+            by_p, by_i = np.bincount(p, y, np_), np.concatenate([[y.sum()], np.bincount(i, y, ni)])
             va = vb = ve = y.var() / 3
             for _ in range(rounds):
-                c = np.linalg.inv(zz + np.diag(np.concatenate([[0.0], np.full(np_, ve / va), np.full(ni, ve / vb)])))
-                s = c @ zy
-                a, b = s[1 : 1 + np_], s[1 + np_ :]
-                new = ((a @ a + ve * np.trace(c[1 : 1 + np_, 1 : 1 + np_])) / np_, (b @ b + ve * np.trace(c[1 + np_ :, 1 + np_ :])) / ni, max(1e-12, (y @ y - s @ zy) / (n - 1)))
+                d = 1 / (table.sum(1) + ve / va)
+                scaled = rest * d[:, None]
+                c = np.linalg.inv(inner + np.diag(np.concatenate([[0.0], np.full(ni, ve / vb)])) - rest.T @ scaled)
+                items = c @ (by_i - scaled.T @ by_p)
+                a, b = d * by_p - scaled @ items, items[1:]
+                trace_p = d.sum() + ((scaled @ c) * scaled).sum()
+                new = ((a @ a + ve * trace_p) / np_, (b @ b + ve * np.trace(c[1:, 1:])) / ni, max(1e-12, (y @ y - items @ by_i - a @ by_p) / (n - 1)))
                 done = max(abs(x - z) for x, z in zip(new, (va, vb, ve), strict=True)) < 1e-10 * y.var()
                 va, vb, ve = (max(1e-12, v) for v in new)
                 if done:
