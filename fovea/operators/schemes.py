@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fovea.operators import splits
-from fovea.operators.models import ALPHAS, MODELS, _ridge_path, _scale, tree_predictions
+from fovea.operators.models import ALPHAS, MODELS, _ridge_path, _scale, crossfit_ridge, press, tree_predictions
 from fovea.operators.stats import pearson
 
 INNER = ("none", "holdout", "kfold")
@@ -161,12 +161,14 @@ def _by_window(train: DataFrame, folded: DataFrame, who: str, target: str, colum
 
 def per_item(rows: DataFrame, who: str, target: str, columns: Sequence[str], item: str, pool: str, fold: str = "fold", model: str = "ols") -> DataFrame:
     """item, fold, who, true, pred of every item: INDEPENDENT is cross-validated inside the item over `fold`; SEEN leaves
-    one participant out of the item (the fold is the participant); UNSEEN learns from the participant folds' other items."""
+    one participant out of the item, by the hat matrix (least squares whatever the model; the fold is the participant);
+    UNSEEN learns from the participant folds' other items."""
+    if pool == "SEEN":
+        return press(rows, who, target, columns, [item]).select(item, F.col(who).cast("string").alias("fold"), who, "true", "pred")
     if pool == "UNSEEN":
         # outside both the item and the fold: all less the item, less the fold, plus what is in both
         return _outside_both(rows, who, target, columns, item, fold)
-    frame = rows.withColumn("_fold", F.col(who).cast("string")) if pool == "SEEN" else rows.withColumn("_fold", F.col(fold).cast("string"))
-    return predicted_by_fold(frame, who, target, columns, "_fold", [item], model).withColumnRenamed("_fold", "fold")
+    return predicted_by_fold(rows.withColumn("_fold", F.col(fold).cast("string")), who, target, columns, "_fold", [item], model).withColumnRenamed("_fold", "fold")
 
 
 def _outside_both(rows: DataFrame, who: str, target: str, columns: Sequence[str], item: str, fold: str) -> DataFrame:
@@ -258,8 +260,6 @@ def direct_ridge(rows: DataFrame, who: str, target: str, columns: Sequence[str],
 
 def ridge_leave_one_out(mode: str, rows: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str], stratum: str) -> DataFrame:
     """'nested' is exact, 'crossfit' is fast; 'auto' nests segments of under fifty people."""
-    from fovea.operators.models import crossfit_ridge
-
     if mode == "auto":
         size = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
         sized = rows.join(F.broadcast(size), list(groups))

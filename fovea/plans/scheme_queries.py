@@ -165,9 +165,7 @@ l AS (SELECT paragraph, participant_id, it.y, it.x AS fx, n - 1 AS n, t.x - it.x
 SELECT paragraph, participant_id, y AS "true", round((s - (n * xy - x * s) / (n * xx - x * x) * x) / n + (n * xy - x * s) / (n * xx - x * x) * fx, 2) + 0.0 AS pred FROM l""")
 def items_seen(spark: SparkSession, sf: str) -> DataFrame:
     """Leave one participant out inside each item: exact, by the hat matrix of the item."""
-    from fovea.operators.models import press
-
-    out = press(_items(spark, sf), "participant_id", "y", ["x"], ["paragraph"])
+    out = schemes.per_item(_items(spark, sf), "participant_id", "y", ["x"], "paragraph", "SEEN")
     return out.select("paragraph", "participant_id", "true", rounded("pred", 2).alias("pred"))
 
 
