@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fovea.llm import htmltext, jaccard, langid, license_scan, packing, piecelattice, secret_scan, simhash, topk, toxicity
+from fovea.llm import htmltext, importance, jaccard, langid, license_scan, manifest, packing, piecelattice, secret_scan, simhash, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,74 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs.select("doc_id", F.concat_ws("/", "source", shelf, F.col("doc_id").cast("string")).alias("path"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece, op4_licenses, near_fingerprints)}
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, longest=1)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), changed={"text": lowered}, where=tampered)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece, op4_licenses, op12_importance, op13_manifest, near_fingerprints)}
+# DuckDB has no CRC-32: eight steps a byte over a list of bytes, the byte joining at the first.
+_CRC = "xor(4294967295, list_reduce(flatten(list_transform({bytes}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0])), lambda a, v: xor(xor(a, v) >> 1, (xor(a, v) & 1) * 3988292384), 4294967295))"
+
+
+def _crc(text: str) -> str:
+    return _CRC.format(bytes=f"list_transform(range(1, len(hex({text})), 2), lambda i: CAST('0x' || substr(hex({text}), i, 2) AS BIGINT))")
+
+
+def _manifest_sql(levels: int, tops: int) -> str:
+    """Trees of at most 16 ** levels leaves and 16 ** tops groups: a table for each level, then joins down a document's path."""
+    field = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-'))"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""d AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, {leaf.format("text")} AS leaf,
+  CASE WHEN ({_crc("CAST(doc_id AS VARCHAR)")}) % 5 = 0 THEN {leaf.format(lowered)} END AS changed FROM documents)""",
+        "n0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS i FROM d)",
+        "r0 AS (SELECT tree, i // 16 AS run, list(leaf ORDER BY i) AS h, any_value(w) AS w FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS w FROM n0) GROUP BY ALL)",
+    ]
+    for k in range(1, levels):
+        parts.append(f"r{k} AS (SELECT tree, run // 16 AS run, list(CASE WHEN w = 1 THEN h[1] ELSE sha256(array_to_string(h, '')) END ORDER BY run) AS h, any_value((w + 15) // 16) AS w FROM r{k - 1} GROUP BY tree, run // 16)")
+    parts.append(f"s AS (SELECT tree, CASE WHEN w = 1 THEN h[1] ELSE sha256(array_to_string(h, '')) END AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS j, count(*) OVER () AS w FROM r{levels - 1})")
+    parts.append("t0 AS (SELECT j // 16 AS run, list(subroot ORDER BY j) AS h, any_value(w) AS w FROM s GROUP BY j // 16)")
+    for k in range(1, tops):
+        parts.append(f"t{k} AS (SELECT run // 16 AS run, list(CASE WHEN w = 1 THEN h[1] ELSE sha256(array_to_string(h, '')) END ORDER BY run) AS h, any_value((w + 15) // 16) AS w FROM t{k - 1} GROUP BY run // 16)")
+    parts.append(f"z AS (SELECT CASE WHEN w = 1 THEN h[1] ELSE sha256(array_to_string(h, '')) END AS root FROM t{tops - 1})")
+    last = "n0.doc_id, n0.leaf, s.subroot, z.root, coalesce(n0.changed, n0.leaf) AS f0, '' AS p0, n0.tree, n0.i, s.j"
+    parts.append(f"f0 AS (SELECT {last} FROM n0 JOIN s USING (tree) CROSS JOIN z)")
+    steps = [(f"r{k}", "i", f"f.i // {16 ** (k + 1)}", 16**k, "r.tree = f.tree AND ") for k in range(levels)] + [(f"t{k}", "j", f"f.j // {16 ** (k + 1)}", 16**k, "") for k in range(tops)]
+    for n, (name, at, run, unit, tree) in enumerate(steps):
+        here = f"(f.{at} // {unit} % 16)"
+        sides = f"array_to_string(r.h[1:{here}], ''), array_to_string(r.h[{here} + 2:], '')"
+        left, right = sides.split(", array", 1)[0], "array" + sides.split(", array", 1)[1]
+        parts.append(f"f{n + 1} AS (SELECT f.doc_id, f.leaf, f.subroot, f.root, CASE WHEN r.w = 1 THEN f.f0 ELSE sha256({left} || f.f0 || {right}) END AS f0, CASE WHEN r.w = 1 THEN f.p0 ELSE f.p0 || {left} || {right} END AS p0, f.tree, f.i, f.j FROM f{n} f JOIN {name} r ON {tree}r.run = {run})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256(p0) AS proof_sha256, f0 AS folded_root, f0 = root AS verified FROM f{len(steps)}"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_importance": rf"""
+WITH x AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+y AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM benchmark),
+c AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(w) AS g FROM x) GROUP BY ALL),
+b AS (SELECT g, ({_crc("g")}) % 10000 AS b FROM (SELECT g FROM c UNION SELECT g FROM y)),
+s AS (SELECT b, sum(n) AS s FROM c JOIN b USING (g) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM y JOIN b USING (g) GROUP BY b),
+k AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * ((SELECT CAST(sum(s) AS DOUBLE) FROM s) + 10000) / ((CAST(s AS DOUBLE) + 1) * ((SELECT CAST(coalesce(sum(t), 0) AS DOUBLE) FROM t) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)),
+m AS (SELECT doc_id, sum(n) AS f, sum(n * gain) AS total FROM c JOIN b USING (g) JOIN k USING (b) GROUP BY doc_id),
+d AS (
+  SELECT x.doc_id, len(w) AS n_features, CAST(coalesce(floor(CAST(total AS DOUBLE) / CAST(f AS DOUBLE)), 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('2024:' || CAST(x.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM x LEFT JOIN m USING (doc_id)),
+e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_features >= 20 QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= (SELECT count(*) // 10 FROM e WHERE n_features >= 20))
+SELECT e.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(r.rank AS BIGINT) AS rank FROM e LEFT JOIN r USING (doc_id)""",
+    "op13_manifest": _manifest_sql(levels=5, tops=2),
     "op9_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
