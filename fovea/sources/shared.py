@@ -44,8 +44,22 @@ def _root(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back, so no later step recomputes it."""
-    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = place(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """keep(), in so many buckets by hash of `key`: what groups or joins by the key later reads the table without a shuffle."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", place(spark)).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry alone: the files stay, and the frame knows them
+    return table
