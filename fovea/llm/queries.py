@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fovea.llm import htmltext, importance, jaccard, langid, license_scan, manifest, packing, piecelattice, secret_scan, simhash, topk, toxicity
+from fovea.llm import htmltext, importance, jaccard, langid, license_scan, manifest, packing, piecelattice, secret_scan, simhash, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs.select("doc_id", F.concat_ws("/", "source", shelf, F.col("doc_id").cast("string")).alias("path"), "text"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, longest=1)
 
@@ -81,7 +86,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"), changed={"text": lowered}, where=tampered)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece, op4_licenses, op12_importance, op13_manifest, near_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_packing, op10_langid, op2_toxicity, op9_jaccard, op6_secrets, op8_fingerprints, op7_topk, op5_html, op3_sentencepiece, op4_licenses, op11_substrings, op12_importance, op13_manifest, near_fingerprints)}
 # DuckDB has no CRC-32: eight steps a byte over a list of bytes, the byte joining at the first.
 _CRC = "xor(4294967295, list_reduce(flatten(list_transform({bytes}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0])), lambda a, v: xor(xor(a, v) >> 1, (xor(a, v) & 1) * 3988292384), 4294967295))"
 
@@ -120,6 +125,18 @@ def _manifest_sql(levels: int, tops: int) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, x.i AS i, x.g AS g
+  FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 'g': sha256(array_to_string(w[i:i + 12], ' '))})) AS x FROM w)),
+m AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN m USING (g) WHERE first < doc_id),
+a AS (SELECT doc_id, list(p) AS p FROM r GROUP BY doc_id),
+k AS (
+  SELECT w.doc_id, len(w) AS n, coalesce(len(p), 0) AS gone, CASE WHEN p IS NULL THEN w ELSE list_select(w, list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(p, i)))) END AS kept
+  FROM w LEFT JOIN a ON a.doc_id = w.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(gone AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     "op12_importance": rf"""
 WITH x AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 500_000
+PIECE_BYTES = 4_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -30,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             factors = np.full(n, base, np.uint64)
@@ -81,7 +82,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """A 64-bit hash for each word; `lower` folds A-Z only."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _power_table(len(data) + 1)
+    if len(data) > 2 * PIECE_BYTES and len(starts) > 1:  # arrays of eight bytes a byte: a long text goes piece by piece
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), PIECE_BYTES)))
+        cuts = np.unique(np.concatenate([[0], cuts, [len(starts)]]))
+        pieces = [(a, b, starts[a], ends[b - 1]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return np.concatenate([_hashes(data[s:e], starts[a:b] - s, ends[a:b] - s, lower) for a, b, s, e in pieces])
+    return _hashes(data, starts, ends, lower)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    up, down = powers(len(data) + 1)
     value = (_LOWER[data] if lower else data).astype(np.uint64)
     value += np.uint64(1)
     value *= up[: len(data)]
