@@ -1,8 +1,8 @@
 """Removal of passages that repeat across documents, by FM-indexes over shards of the corpus.
 
 A window is `window` consecutive words. A window's anchor is the least hash of the `gram`-word runs inside it, so
-equal windows have equal anchors, wherever they stand, and neighbours mostly share one. Documents lie in chunks of
-CHUNK_BYTES, in a table bucketed by their task.
+equal windows have equal anchors, wherever they stand, and neighbours mostly share one. Documents lie in parts of
+PART_BYTES at most, in a table bucketed by part, and are worked on in chunks of CHUNK_BYTES.
 
 1. Each chunk tells its distinct anchors once, with how many windows have them and whether several documents do.
    Anchors of one document alone are done with: no window of theirs repeats.
@@ -15,20 +15,23 @@ CHUNK_BYTES, in a table bucketed by their task.
    `window` words, its interval's smallest key tells whether an earlier document has it.
 4. The windows found go back to their chunks, which drop the words that they cover.
 
-Main cost: three passes over the texts without a shuffle of them. About a third of the words' anchors, four bytes
-each, and the segments move. Words and windows are compared by 64-bit hashes, anchors may collide without harm.
-Memory: a chunk, a bucket of anchors, or SHARD_BYTES of segments and one more key of at most HOT windows.
+Main cost: three passes over the texts without a shuffle of them. Anchors, four bytes each, about one for four
+words, and the packed segments move. Words and windows are compared by 64-bit hashes, anchors may collide without harm.
+Memory: a part's texts and a chunk's arrays, or a bucket of anchors or segments (buckets are four times the parts)
+and an index over SHARD_BYTES of them or one key of at most HOT windows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, PandasCogroupedOps
 from pyspark.sql import functions as F
 
 from fovea.llm import textbytes
@@ -36,6 +39,7 @@ from fovea.llm.storage import keep
 from fovea.sources.shared import keep_bucketed
 
 CHUNK_BYTES = 8_000_000
+PART_BYTES = 64_000_000
 SHARD_BYTES = 2_500_000
 HOT = 10_000
 SEGMENT_WINDOWS = 64
@@ -275,41 +279,78 @@ def search_shard(shard: pa.Table, window: int) -> pa.Table:
     order = np.lexsort((chunk[:, 1], chunk[:, 0]))
     chunk, hashes, firsts = chunk[order], hashes[order], firsts[order]
     new = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]).any(axis=1)])) if len(chunk) else np.zeros(0, np.int64)
-    stop = np.append(new[1:], len(chunk))
+    stop = np.append(new[1:], len(chunk))[: len(new)]
     pieces = list(zip(new.tolist(), stop.tolist(), strict=True))
     return pa.table({"part": pa.array(chunk[new, 0], pa.int64()), "slice": pa.array(chunk[new, 1], pa.int32()), "windows": pa.array([hashes[a:b].tobytes() for a, b in pieces], pa.binary()), "firsts": pa.array([firsts[a:b].tobytes() for a, b in pieces], pa.binary())})
 
 
-def _joined(column: pa.ChunkedArray, field: str, kind: type) -> np.ndarray:
-    """A chunk's payload stands in one of its rows: the bytes of `field` of all its entries."""
-    held = [x for rows in column.drop_null().to_pylist() for x in sorted(rows, key=lambda x: x.get("bucket") or 0)]
-    return np.frombuffer(b"".join(x[field] for x in held), kind)
+def _blob(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The documents with part, slice (chunk of the part) and head (first row of its chunk), bucketed by part without a shuffle."""
+def _joined(table: pa.Table, piece: int, field: str, kind: type) -> np.ndarray:
+    """What all rows of a chunk hold in `field`, by bucket where there are several."""
+    rows = table.filter(pc.equal(table.column("slice"), piece))
+    if "bucket" in rows.column_names:
+        rows = rows.sort_by("bucket")
+    return np.frombuffer(b"".join(rows.column(field).to_pylist()), kind)
+
+
+def _packed(part: int, piece: int, shard: np.ndarray, low: np.ndarray, high: np.ndarray, words: list[bytes], buckets: int) -> pa.Table:
+    """A chunk's segments, a row a bucket of shard keys."""
+    order = np.argsort(shard, kind="stable")
+    shard, low, high, words = shard[order], low[order], high[order], [words[k] for k in order.tolist()]
+    starts, sizes = _groups(_bucket(shard, buckets))
+    spans = list(zip(starts.tolist(), (starts + sizes).tolist(), strict=True))
+    sizes = np.array([len(w) for w in words], np.int64)
+    numbers = [_blob(shard[a:b], low[a:b], high[a:b] - low[a:b], sizes[a:b]) for a, b in spans]
+    return pa.table({"bucket": pa.array(_bucket(shard[starts], buckets).astype(np.int32)), "part": pa.array([part] * len(spans), pa.int64()), "slice": pa.array([piece] * len(spans), pa.int32()), "numbers": pa.array(numbers, pa.binary()), "words": pa.array([zstandard.compress(b"".join(words[a:b]), 1) for a, b in spans], pa.binary())})
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """The segments of a bucket, by shard key."""
+    shard, low, high, words, part, piece = [], [], [], [], [], []
+    for p, s, numbers, text in zip(*(table.column(c).to_pylist() for c in ("part", "slice", "numbers", "words")), strict=True):
+        own, first, wide, sizes = np.split(np.frombuffer(zstandard.decompress(numbers), np.int64), 4)
+        shard.append(own.view(np.uint64))
+        low.append(first)
+        high.append(first + wide)
+        text, ends = zstandard.decompress(text), np.cumsum(sizes)
+        words += [text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        part.append(np.full(len(own), p))
+        piece.append(np.full(len(own), s, np.int32))
+    shard, low, high, part, piece = (np.concatenate(c) for c in (shard, low, high, part, piece))
+    order = np.argsort(shard, kind="stable")
+    return pa.table({"shard": pa.array(shard[order]), "part": pa.array(part[order]), "slice": pa.array(piece[order]), "low": pa.array(low[order]), "high": pa.array(high[order]), "words": pa.array([words[k] for k in order.tolist()], pa.binary())})
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
+    """The documents with part and slice (a chunk of the part), bucketed by part without a shuffle; and the number of buckets."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = max(1, min(source.rdd.getNumPartitions(), MAX_BUCKETS))
     numbers = dict(spark.range(64 * buckets).groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("bucket")).agg(F.min("id")).collect())
-    parts = list(numbers.values())  # one in each bucket, so buckets get equally many tasks' rows
+    first = list(numbers.values())  # one in each bucket, so buckets get equally many tasks' rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        part, base, before = parts[number % len(parts)], (number // len(parts)) << 16, -1
-        size = 0
+        number, size = TaskContext.get().partitionId(), 0
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            slices = (size + np.cumsum(lengths) - lengths) // chunk_bytes
+            before = size + np.cumsum(lengths) - lengths
             size += int(lengths.sum())
-            head = np.diff(slices, prepend=before) != 0
-            before = slices[-1] if len(slices) else before
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slices), part)), pa.array((base + slices).astype(np.int32)), pa.array(head), *batch.columns], names=["part", "slice", "head", "doc_id", "text"])
+            part = before // part_bytes + ((number + 1) << 30)
+            if number < len(first):
+                part = np.where(before < part_bytes, first[number], part)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array((before // chunk_bytes).astype(np.int32)), *batch.columns], names=["part", "slice", "doc_id", "text"])
 
-    return keep_bucketed(source.mapInArrow(cut, "part long, slice int, head boolean, doc_id long, text string"), "part", buckets)
+    return keep_bucketed(source.mapInArrow(cut, "part long, slice int, doc_id long, text string"), "part", buckets), buckets
 
 
-def without_repeats(docs: DataFrame, window: int = 13, gram: int = 8, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 13, gram: int = 7, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """One row a row of docs: doc_id, n_words, n_removed, kept (its remaining words, joined by one space).
 
     A word is a run without ASCII white space, unchanged. It goes if a window of `window` words covers it that also
@@ -317,23 +358,25 @@ def without_repeats(docs: DataFrame, window: int = 13, gram: int = 8, id_col: st
     window lose nothing. Rows with equal keys don't take words from each other; a null key comes after all others
     and stays null. An empty table gives no rows. Other columns are ignored.
     """
-    held = chunks(docs, id_col, text_col, chunk_bytes)
-    tasks = 2 * max(1, docs.rdd.getNumPartitions())
-
-    def chunk(table: pa.Table) -> Chunk:
-        return Chunk(table.column("doc_id").fill_null(_LAST).to_numpy(), table.column("text"), window, gram)
+    held, parts = chunks(docs, id_col, text_col, chunk_bytes, part_bytes)
+    buckets = 4 * parts
 
-    def place(table: pa.Table) -> tuple[int, int]:
-        return table.column("part")[0].as_py(), table.column("slice")[0].as_py()
+    def cut(table: pa.Table) -> Iterator[tuple[int, int, pa.Table, Chunk]]:
+        part = table.column("part")[0].as_py() if table.num_rows else 0
+        for piece in sorted(pc.unique(table.column("slice")).to_pylist()):
+            own = table.filter(pc.equal(table.column("slice"), piece))
+            yield part, piece, own, Chunk(own.column("doc_id").fill_null(_LAST).to_numpy(), own.column("text"), window, gram)
 
     def tell(table: pa.Table) -> pa.Table:
-        anchors, codes = chunk(table).told()
-        bucket = (anchors >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)
-        starts, sizes = _groups(bucket)
-        low = anchors.astype("<u4")
-        part, piece = place(table)
-        spans = list(zip(starts.tolist(), (starts + sizes).tolist(), strict=True))
-        return pa.table({"bucket": pa.array(bucket[starts].astype(np.int32)), "part": pa.array([part] * len(spans), pa.int64()), "slice": pa.array([piece] * len(spans), pa.int32()), "anchors": pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), "codes": pa.array([codes[a:b].tobytes() for a, b in spans], pa.binary())})
+        out = []
+        for part, piece, _, chunk in cut(table):
+            anchors, codes = chunk.told()
+            bucket = _bucket(anchors, buckets)
+            starts, sizes = _groups(bucket)
+            low = anchors.astype("<u4")
+            spans = list(zip(starts.tolist(), (starts + sizes).tolist(), strict=True))
+            out.append(pa.table({"bucket": pa.array(bucket[starts].astype(np.int32)), "part": pa.array([part] * len(spans), pa.int64()), "slice": pa.array([piece] * len(spans), pa.int32()), "anchors": pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), "codes": pa.array([codes[a:b].tobytes() for a, b in spans], pa.binary())}))
+        return pa.concat_tables(out)
 
     def compare(table: pa.Table) -> pa.Table:
         rows = [np.frombuffer(x, "<u4") for x in table.column("anchors").to_pylist()]
@@ -349,46 +392,42 @@ def without_repeats(docs: DataFrame, window: int = 13, gram: int = 8, id_col: st
         ends = np.cumsum([len(r) for r in rows]).tolist()
         return pa.table({"part": table.column("part"), "slice": table.column("slice"), "bucket": table.column("bucket"), "flags": pa.array([flags[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
 
-    def segment(table: pa.Table) -> pa.Table:
-        shard, low, high, words = chunk(table).segments(_joined(table.column("given"), "flags", np.uint8))
-        part, piece = place(table)
-        return pa.table({"shard": pa.array(shard.view(np.int64)), "part": pa.array([part] * len(words), pa.int64()), "slice": pa.array([piece] * len(words), pa.int32()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()), "words": pa.array(words, pa.binary())})
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
-        for batch in batches:
-            waiting.append(batch)
-            size += batch.nbytes
-            if size >= shard_bytes:  # all but the last key, which may go on
-                table = pa.Table.from_batches(waiting)
-                cut = int(_groups(table.column("shard").to_numpy())[0][-1])
-                if cut:
-                    yield from search_shard(table.slice(0, cut), window).to_batches()
-                rest = table.slice(cut).combine_chunks()
-                waiting, size = rest.to_batches(), rest.nbytes
-        if waiting:
-            yield from search_shard(pa.Table.from_batches(waiting), window).to_batches()
-
-    def drop(table: pa.Table) -> pa.Table:
-        given = table.column("given")
-        own = chunk(table)
-        gone = own.covered(_joined(given, "windows", np.uint64), _joined(given, "firsts", np.int64))
-        removed = np.concatenate([[0], np.cumsum(gone)])[own.counts]
-        kept = []
-        for text, a, b, lost in zip(table.column("text"), own.counts[:-1].tolist(), own.counts[1:].tolist(), np.diff(removed).tolist(), strict=True):
-            words = (text.as_py() or "").encode().split()
-            kept.append(b" ".join(w for w, g in zip(words, gone[a:b].tolist(), strict=True) if not g) if lost else b" ".join(words))
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(own.counts), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
-
-    def with_given(side: DataFrame, *fields: str) -> DataFrame:
-        """The chunks' rows; each chunk's first one has what belongs to it."""
-        lists = side.groupBy("part").agg(F.collect_list(F.struct("slice", *fields)).alias("given"))
-        own = F.filter("given", lambda x: x["slice"] == F.col("slice"))
-        return held.join(lists, "part", "left").withColumn("given", F.when(F.col("head"), own))
-
-    by_chunk = ("part", "slice")
-    told = held.groupBy(*by_chunk).applyInArrow(tell, "bucket int, part long, slice int, anchors binary, codes binary")
-    flags = keep(told.groupBy("bucket").applyInArrow(compare, "part long, slice int, bucket int, flags binary"))
-    segments = with_given(flags, "bucket", "flags").groupBy(*by_chunk).applyInArrow(segment, "shard long, part long, slice int, low long, high long, words binary")
-    found = segments.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "part long, slice int, windows binary, firsts binary")
-    return with_given(keep(found), "windows", "firsts").groupBy(*by_chunk).applyInArrow(drop, "doc_id long, n_words long, n_removed long, kept string")
+    def segment(table: pa.Table, flags: pa.Table) -> pa.Table:
+        out = [_packed(0, 0, *(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)), [], buckets)]
+        for part, piece, _, chunk in cut(table):
+            out.append(_packed(part, piece, *chunk.segments(_joined(flags, piece, "flags", np.uint8)), buckets))
+        return pa.concat_tables(out)
+
+    def search(table: pa.Table) -> pa.Table:
+        rows, out, at = _unpacked(table), [], 0
+        ends = np.cumsum(pc.binary_length(rows.column("words")).to_numpy())
+        cuts = np.append(_groups(rows.column("shard").to_numpy())[0][1:], rows.num_rows)
+        while at < rows.num_rows:  # whole keys, up to shard_bytes or one key
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + shard_bytes, side="right"))
+            fit = int(np.searchsorted(cuts, most, side="right"))
+            stop = int(cuts[fit - 1]) if fit and cuts[fit - 1] > at else int(cuts[np.searchsorted(cuts, at, side="right")])
+            out.append(search_shard(rows.slice(at, stop - at), window))
+            at = stop
+        return pa.concat_tables(out)
+
+    def drop(table: pa.Table, found: pa.Table) -> pa.Table:
+        out = []
+        for _, piece, own, chunk in cut(table):
+            gone = chunk.covered(_joined(found, piece, "windows", np.uint64), _joined(found, piece, "firsts", np.int64))
+            removed = np.concatenate([[0], np.cumsum(gone)])[chunk.counts]
+            kept = []
+            for text, a, b, lost in zip(own.column("text"), chunk.counts[:-1].tolist(), chunk.counts[1:].tolist(), np.diff(removed).tolist(), strict=True):
+                words = (text.as_py() or "").encode().split()
+                kept.append(b" ".join(itertools.compress(words, (~gone[a:b]).tolist()) if lost else words))
+            out.append(pa.table({"doc_id": own.column("doc_id"), "n_words": pa.array(np.diff(chunk.counts), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())}))
+        return pa.concat_tables(out)
+
+    def beside(side: DataFrame) -> PandasCogroupedOps:
+        """The texts by part with what belongs to it: dealt as they lie, so that they stay where they are."""
+        return held.groupBy("part").cogroup(side.repartition(parts, "part").groupBy("part"))
+
+    told = held.groupBy("part").applyInArrow(tell, "bucket int, part long, slice int, anchors binary, codes binary")
+    flags = told.groupBy("bucket").applyInArrow(compare, "part long, slice int, bucket int, flags binary")
+    segments = beside(flags).applyInArrow(segment, "bucket int, part long, slice int, numbers binary, words binary")
+    found = segments.groupBy("bucket").applyInArrow(search, "part long, slice int, windows binary, firsts binary")
+    return beside(keep(found)).applyInArrow(drop, "doc_id long, n_words long, n_removed long, kept string")
