@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ _ARROW = pa.schema([(name.split()[0], pa.int64()) for name in PIECE.split(", ")]
 # Fixed value: the vocabulary's added token, one id wherever a text spells it; its id follows those of the ranks.
 END_OF_TEXT = "<|endoftext|>"
 _encoders: dict[str, tiktoken.Encoding] = {}
+_plain: dict[str, tokenizers.Tokenizer] = {}
 
 
 def encoder(path: str | None = None) -> tiktoken.Encoding:
@@ -46,6 +48,26 @@ def encoder(path: str | None = None) -> tiktoken.Encoding:
     return _encoders[path]
 
 
+def ids_of(text: str | None, ranks: str | None = None) -> np.ndarray:
+    """The text's ids. The fast library's pattern gives up on white space of some hundred thousand characters; such texts go to the slower one."""
+    if not text:
+        return np.zeros(0, np.uint32)
+    try:
+        return encoder(ranks).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(plain_encoder(ranks).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def plain_encoder(ranks: str | None = None) -> tokenizers.Tokenizer:
+    """The same vocabulary from its tokenizers file, beside the rank file."""
+    import public_tokenizers
+
+    path = f"{ranks.removesuffix('.tiktoken')}.json" if ranks else public_tokenizers.path("byte_bpe_50k.json")
+    if path not in _plain:
+        _plain[path] = tokenizers.Tokenizer.from_file(path)
+    return _plain[path]
+
+
 class _Windows:
     """The open windows of one task, ordered by fill."""
 
@@ -104,12 +126,10 @@ def pack(docs: DataFrame, window: int = 1024, open_windows: int = 64, merge_task
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, state = encoder(ranks), _Windows(window, open_windows, (TaskContext.get().partitionId() + 1) << 36)
+        state = _Windows(window, open_windows, (TaskContext.get().partitionId() + 1) << 36)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                ids = encode.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
-                state.add(doc, np.append(ids, end_id).astype("<u4"))
+                state.add(doc, np.append(ids_of(text.as_py(), ranks), end_id).astype("<u4"))
                 if len(state.done) >= 20_000:
                     yield _batches(state.done)
                     state.done = []

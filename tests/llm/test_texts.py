@@ -106,6 +106,12 @@ def test_ids_are_those_of_the_tokenizers_file(spark, sf):
         assert packing.encoder().encode(t, allowed_special="all") == tok.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\r", "\v", "\f", " \t\r\n"])
+def test_runs_of_white_space_of_any_length(space):
+    text = "a" + space * (2_000_000 // len(space)) + "b"
+    assert np.array_equal(packing.ids_of(text), packing.plain_encoder().encode(text, add_special_tokens=False).ids)
+
+
 # -- language ----------------------------------------------------------------------------------------------------------
 
 
