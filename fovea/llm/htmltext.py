@@ -50,10 +50,9 @@ ASIDE_WORDS = frozenset(
 NEUTRAL_WORDS = ("row", "col", "wrap", "wrapper", "container", "inner", "outer", "box", "block", "item", "list", "left", "right", "top", "grid", "home", "site", "js", "lazy", "clearfix", "theme", "dark", "hentry", "x1", "u7")
 ARTICLE_WORDS = ("article", "post", "entry", "content", "story", "main", "body", "text", "page", "section", "blog", "news", "prose", "chapter")
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_EDGE = re.compile(r"""[>"']""")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[^\W_]+")
 _slot_cache: dict[str, int] = {}
@@ -68,41 +67,115 @@ def _slot(name: str) -> int:
     return at
 
 
+class Element:
+    """An element with those around it: tag, class and id words, and what follows from them."""
+
+    __slots__ = ("tag", "words", "above", "depth", "label", "_path")
+
+    def __init__(self, tag: str, words: tuple[str, ...], above: Element | None):
+        self.tag, self.words, self.above = tag, words, above
+        self.depth = above.depth + 1 if above else 1
+        aside = tag in ASIDE_TAGS or (tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(words))
+        self.label = 0 if aside or (above and not above.label) else 1
+        self._path: np.ndarray | None = None
+
+    def path(self) -> np.ndarray:
+        """Counts of hashed tags and words from the root on."""
+        chain, at = [], self
+        while at is not None and at._path is None:
+            chain.append(at)
+            at = at.above
+        path = at._path if at else np.zeros(PATH_DIMS, np.float32)
+        for at in reversed(chain):
+            path = path.copy()
+            path[_slot(at.tag)] += 1
+            for w in at.words:
+                path[_slot("." + w)] += 1
+            if at is not self:  # kept for those below
+                at._path = path
+        return path
+
+
+def chain(names: tuple[tuple[str, tuple[str, ...]], ...]) -> Element | None:
+    at = None
+    for tag, words in names:
+        at = Element(tag, words, at)
+    return at
+
+
 @dataclass
 class Block:
     text: str
-    names: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, class and id words) from the root
-    path: np.ndarray
+    element: Element | None
     linked: int
 
+    @property
+    def names(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """(tag, class and id words) from the root."""
+        out, at = [], self.element
+        while at is not None:
+            out.append((at.tag, at.words))
+            at = at.above
+        return tuple(reversed(out))
+
 
 def _names(attrs: str) -> tuple[str, ...]:
     return tuple(w.lower() for m in _NAMES.finditer(attrs) for w in _WORDS.findall(m[1] or m[2] or m[3] or ""))
 
 
-def path_vector(names: tuple[tuple[str, tuple[str, ...]], ...], above: np.ndarray | None = None) -> np.ndarray:
-    """`above` is the vector of all but the last element."""
-    if above is None:
-        above = np.zeros(PATH_DIMS, np.float32)
-        for k in range(1, len(names)):
-            above = path_vector(names[:k], above)
-    if not names:
-        return above
-    out = above.copy()
-    tag, words = names[-1]
-    out[_slot(tag)] += 1
-    for w in words:
-        out[_slot("." + w)] += 1
-    return out
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Markup in page order: start, end, tag (none for comments and raw elements), whether it ends one, attributes.
+
+    Quotes hide a tag's end; one that is never closed doesn't. Raw elements go to their end tag or the page's end, a
+    self-closed svg is empty. Every place is looked at a bounded number of times, whatever stays open.
+    """
+    last = {c: page.rfind(c) for c in ">\"'"}
+    open_quotes: set[int] = set()  # quotes from which no tag's end is reached
+
+    def tag_end(at: int) -> tuple[int, bool]:
+        """Where the tag ends, -1 if nowhere; whether its quotes are closed."""
+        first, met = at, []
+        while at <= last[">"]:
+            m = _EDGE.search(page, at)
+            at = m.start()
+            if page[at] == ">":
+                return at + 1, True
+            if at in open_quotes or last[page[at]] == at:
+                break
+            met.append(at)
+            at = page.find(page[at], at + 1) + 1
+        open_quotes.update(met)
+        return page.find(">", first) + 1 or -1, False
+
+    at, n = page.find("<"), len(page)
+    while at >= 0:
+        tag, ends, attrs, stop = None, False, "", -1
+        m = _TAG.match(page, at)
+        if m:
+            stop, whole = tag_end(m.end()) if last[">"] >= m.end() else (-1, False)
+            tag, ends, attrs = m[2].lower(), bool(m[1]), page[m.end() : max(stop - 1, m.end())]
+            if stop > 0 and whole and not ends and tag in _RAW_END and attrs[:1] in ("", " ", "\t", "\n", "\r", "\f", "\v", "/"):
+                if not (tag == "svg" and attrs.endswith("/")):
+                    end = _RAW_END[tag].search(page, stop)
+                    stop = end.end() if end else n
+                tag = None
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4) + 3
+            stop = stop if stop > 2 else n
+        elif page[at + 1 : at + 2] in ("!", "?", "/") and at < last[">"]:
+            stop = page.find(">", at) + 1
+        if stop > 0:
+            yield at, stop, tag, ends, attrs
+        at = page.find("<", stop if stop > 0 else at + 1)
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks with text, in page order. Raw elements and comments have none; a self-closed svg is empty."""
+    """The leaf blocks with text, in page order. Raw elements and comments have none."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple, np.ndarray]] = []
+    stack: list[Element] = []
+    opened: dict[str, int] = {}
     parts: list[str] = []
     links = linked = 0
-    empty = np.zeros(PATH_DIMS, np.float32)
 
     def flush() -> None:
         nonlocal linked
@@ -110,30 +183,32 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, stack[-1][1] if stack else (), stack[-1][2] if stack else empty, min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
         linked = 0
 
     def close(tags: tuple[str, ...], bounds: frozenset) -> None:
+        if not any(opened.get(t) for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
+            if stack[k].tag in tags:
                 flush()
+                for e in stack[k:]:
+                    opened[e.tag] -= 1
                 del stack[k:]
                 return
-            if stack[k][0] in bounds:
+            if stack[k].tag in bounds:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, end, tag, ends, attrs in tokens(page):
+        if start > at:
+            parts.append(page[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        tag = m["tag"] or m["tag2"]  # the second form: a quote is left open, the tag ends at the next >
+                linked += start - at
+        at = end
         if tag is None:
             continue
-        tag, attrs = tag.lower(), m["attrs"] or m["attrs2"]
-        if m["end"] or m["end2"]:
+        if ends:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK:
@@ -149,8 +224,8 @@ def blocks(page: str) -> list[Block]:
                 close(("p",), SCOPE)
             if tag in SIBLINGS:
                 close(SIBLINGS[tag], SCOPE)
-            names = (*(stack[-1][1] if stack else ()), (tag, _names(attrs) if attrs else ()))
-            stack.append((tag, names, path_vector(names, stack[-1][2] if stack else empty)))
+            stack.append(Element(tag, _names(attrs) if attrs else (), stack[-1] if stack else None))
+            opened[tag] = opened.get(tag, 0) + 1
         elif tag == "a":
             links += 1
     if at < len(page):
@@ -161,10 +236,7 @@ def blocks(page: str) -> list[Block]:
 
 def named_label(block: Block) -> int:
     """What the names of a block's elements say: 1 article, 0 not."""
-    for tag, words in block.names:
-        if tag in ASIDE_TAGS or (tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(words)):
-            return 0
-    return 1
+    return block.element.label if block.element else 1
 
 
 def is_prose(b: Block) -> bool:
@@ -222,11 +294,11 @@ def vectors(found: list[Block]) -> np.ndarray:
     for first, end in link_runs(found):
         in_run[first:end] = min(1.0, (end - first) / 8)
     for k, b in enumerate(found):
-        x[k, :PATH_DIMS] = np.minimum(b.path, 2)
+        x[k, :PATH_DIMS] = np.minimum(b.element.path(), 2) if b.element else 0
         words = b.text.split()
         hashed = np.bincount([(ord(w[0]) * 31 + ord(w[-1]) * 7 + len(w)) % WORD_DIMS for w in words], minlength=WORD_DIMS)
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = hashed / max(1, len(words))
-        x[k, -MEASURES:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), k / len(found), len(b.names) / 10, named[k], prose[k], outside, in_run[k])
+        x[k, -MEASURES:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), k / len(found), (b.element.depth if b.element else 0) / 10, named[k], prose[k], outside, in_run[k])
     return x
 
 
@@ -343,7 +415,7 @@ def _composed(rng: np.random.Generator, texts: list[str]) -> tuple[list[Block],
     def leaf(names: tuple, label: int, words: int | None, linked: float = 0.0) -> None:
         text = pick(texts if words else prose)
         text = " ".join(text.split()[:words]) if words else text
-        out.append(Block(text, names, path_vector(names), int(len(text) * linked)))
+        out.append(Block(text, chain(names), int(len(text) * linked)))
         labels.append(label)
 
     def few(most: int = 12) -> int:
