@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fovea.functions.scalars import clipped
+from fovea.operators import gram
 
 ALPHAS = tuple(np.logspace(-3, 4, 10))
 
@@ -122,63 +123,23 @@ def cross_validated(rows: DataFrame, who: str, target: str, columns: Sequence[st
 def press(df: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
     """groups, who, true, pred: exact leave-one-out least squares by the hat matrix.
 
-    X'X is a Spark aggregate and a (columns + 1)-square matrix a group; leverages are then row arithmetic, so the
-    people of a group may lie anywhere. Null where X'X is singular or a row decides its own fit.
+    One system a group comes from sums; leverages are then row arithmetic, so the people of a group may lie anywhere.
+    Rows with gaps are left out. Null where X'X is singular or a row decides its own fit.
     """
-    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
-    k = len(terms)
     clean = df.dropna(subset=[target, *columns])
-    sums = clean.groupBy(*groups).agg(*[F.sum(a * b).alias(f"_m{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)], *[F.sum(a * F.col(target)).alias(f"_r{i}") for i, a in enumerate(terms)])
-    keys = [f for f in sums.schema.fields if f.name in groups]
-
-    def invert(batches):
-        for g in batches:
-            out = []
-            for m, r in zip(g[[f"_m{i}_{j}" for i in range(k) for j in range(k)]].to_numpy(float).reshape(-1, k, k), g[[f"_r{i}" for i in range(k)]].to_numpy(float), strict=True):
-                good = np.isfinite(m).all() and np.linalg.matrix_rank(m) == k
-                inverse = np.linalg.inv(m) if good else np.full((k, k), np.nan)
-                out.append([*inverse.ravel(), *(inverse @ r)])
-            yield pd.concat([g[[f.name for f in keys]].reset_index(drop=True), pd.DataFrame(out, columns=[*(f"_i{i}_{j}" for i in range(k) for j in range(k)), *(f"_b{i}" for i in range(k))])], axis=1)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), *(f"_i{i}_{j} double" for i in range(k) for j in range(k)), *(f"_b{i} double" for i in range(k))])
-    fits = sums.mapInPandas(invert, schema)
-    joined = clean.join(F.broadcast(fits), list(groups)) if groups else clean.crossJoin(F.broadcast(fits))
-    leverage = sum(terms[i] * terms[j] * F.col(f"_i{i}_{j}") for i in range(k) for j in range(k))
-    fitted = sum(terms[i] * F.col(f"_b{i}") for i in range(k))
-    left = 1 - leverage
-    loo = F.col(target) - F.try_divide(F.col(target) - fitted, F.when(left > 1e-10, left))
-    return joined.select(*groups, who, F.col(target).cast("double").alias("true"), F.nanvl(loo, F.lit(None)).alias("pred"))
+    return gram.predicted(clean, clean, who, target, columns, groups, left_out=True, strict=True)
 
 
 def crossfit_ridge(rows: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str], stratum: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """groups, who, true, pred: leave-one-out ridge whose alpha and scaling come from the other half of the segment.
 
     Halves are dealt in turn inside each stratum. Predictions are closed-form on all rows, so a segment costs two
-    decompositions instead of one a person. One task fits one segment.
+    decompositions instead of one a person. Without three rows in the other half pred is null.
     """
-    fields = [f for f in rows.schema.fields if f.name in (*groups, who)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", true double, pred double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([stratum, who]).reset_index(drop=True)
-        x, y = g[list(columns)].to_numpy(float), g[target].to_numpy(float)
-        side = (g.groupby(stratum).cumcount() % 2).to_numpy()
-        pred = np.full(len(g), np.nan)
-        for h in (0, 1):
-            other = side != h
-            if other.sum() < 3 or not (side == h).any():
-                continue
-            mean, sd = _scale(x, other)
-            z = np.nan_to_num((x - mean) / sd, posinf=0, neginf=0)
-            a, _, _ = _ridge_path(z[other], y[other], alphas)
-            u, s, _ = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
-            d = s * s / (s * s + a)
-            fitted = y.mean() + u @ (d * (u.T @ (y - y.mean())))
-            left = 1 - 1 / len(y) - (u * u) @ d
-            pred[side == h] = (y - (y - fitted) / np.where(np.abs(left) > 1e-12, left, np.nan))[side == h]
-        return g[[f.name for f in fields]].assign(true=y, pred=pred).replace({np.nan: None})
-
-    return rows.dropna(subset=[target]).select(*[f.name for f in fields], *({stratum} - {f.name for f in fields}), target, *columns).groupBy(*groups).applyInPandas(run, schema)
+    half = "_half"
+    place = F.row_number().over(Window.partitionBy(*groups, stratum).orderBy(who))
+    dealt = rows.dropna(subset=[target]).withColumn(half, ((place - 1) % 2).cast("int"))
+    return gram.crossfitted(dealt, who, target, columns, groups, half, alphas).drop(half)
 
 
 def tree_model(kind: str, seed: int = 42, depth: int = 6, trees: int = 200, least: int = 1, rate: float = 0.1, share: float | None = None):

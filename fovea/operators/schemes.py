@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fovea.operators import splits
-from fovea.operators.models import ALPHAS, MODELS, _ridge_path, _scale, crossfit_ridge, press, tree_predictions
+from fovea.operators import gram, splits
+from fovea.operators.models import ALPHAS, MODELS, _scale, crossfit_ridge, press, tree_predictions
 from fovea.operators.stats import pearson
 
 INNER = ("none", "holdout", "kfold")
@@ -27,104 +27,20 @@ GRIDS = {
 # -- least squares and ridge by fold, from sums ------------------------------------------------------------------------
 
 
-def _pair_sums(columns: Sequence[str], target: str) -> dict:
-    """What scaling, X'X and X'y need when a gap counts as the mean: sums over rows where both cells are there."""
-    x = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns]
-    y = F.col(target).cast("double")
-    out = {"n": F.count(F.lit(1)).cast("double"), "y": F.sum(y), "yy": F.sum(y * y)}
-    for i, a in enumerate(x):
-        out |= {f"xy{i}": F.sum(a * y), f"yn{i}": F.sum(F.when(a.isNotNull(), y))}
-        for j, b in enumerate(x):
-            both = a.isNotNull() & b.isNotNull()
-            out |= {f"n{i}_{j}": F.count(F.when(both, 1)).cast("double"), f"s{i}_{j}": F.sum(F.when(both, a)), f"p{i}_{j}": F.sum(a * b)}
-    return {k: F.coalesce(v, F.lit(0.0)).alias(k) for k, v in out.items()}
-
-
-def fold_systems(rows: DataFrame, target: str, columns: Sequence[str], fold: str, groups: Sequence[str] = ()) -> DataFrame:
-    """groups, fold and the sums of all rows outside the fold: one aggregate, all sums less the own. A row a fold."""
-    sums = _pair_sums(columns, target)
-    own = rows.where(F.col(target).isNotNull()).groupBy(*groups, fold).agg(*sums.values())
-    by = Window.partitionBy(*(groups or [F.lit(0)]))
-    return own.select(*groups, fold, *[(F.sum(k).over(by) - F.col(k)).alias(k) for k in sums])
-
-
-def _system(r: Mapping, k: int) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n, mean of y, means, spreads, Z'Z and Z'y of scaled columns whose gaps are 0."""
-    pick = lambda name: np.array([[r[f"{name}{i}_{j}"] for j in range(k)] for i in range(k)], float)
-    both, s, p = pick("n"), pick("s"), pick("p")
-    count, total = np.diag(both), np.diag(s)
-    mean = np.divide(total, count, out=np.zeros(k), where=count > 0)
-    var = np.divide(np.diag(p) - mean * total, count - 1, out=np.zeros(k), where=count > 1)
-    sd = np.where(var > 1e-12 * np.maximum(1.0, mean * mean), np.sqrt(np.maximum(var, 0)), 1.0)
-    square = (p - mean[None, :] * s - mean[:, None] * s.T + np.outer(mean, mean) * both) / np.outer(sd, sd)
-    with_y = (np.array([r[f"xy{i}"] for i in range(k)]) - mean * np.array([r[f"yn{i}"] for i in range(k)])) / sd
-    return r["n"], r["y"] / r["n"] if r["n"] else 0.0, mean, sd, square, with_y
+def penalties(model: str, alphas: Sequence[float] = ALPHAS) -> tuple[float, ...]:
+    """The penalties that a model chooses from; models that don't come from sums are refused."""
+    if model not in ("ridge", "ols"):
+        raise ValueError(f"{model!r} can't be learned from sums")
+    return tuple(alphas) if model == "ridge" else (0.0,)
 
 
 def predicted_by_fold(rows: DataFrame, who: str, target: str, columns: Sequence[str], fold: str, groups: Sequence[str] = (), model: str = "ridge", alphas: Sequence[float] = ALPHAS, test: DataFrame | None = None) -> DataFrame:
     """groups, fold, who, true, pred by ridge, or least squares, learned on the rows outside the test row's fold.
 
     `test`: the rows to predict, if they aren't the training rows themselves. Features are scaled on the training
-    rows, gaps are 0 after that. Ridge takes the alpha of least exact leave-one-out error over the training rows: each
-    task adds up its rows' errors for every fold and alpha. Folds by language, item or window are few; their systems
-    (a square of the columns each) reach every task, rows are never gathered.
+    rows, gaps are 0 after that. Ridge takes the alpha of least exact leave-one-out error over the training rows.
     """
-    k, given = len(columns), [*groups, fold]
-    test = rows if test is None else test
-    fits = fold_systems(rows, target, columns, fold, groups).where("n >= 2").collect()  # a row a fold
-    systems = {tuple(r[c] for c in given): _system(r, k) for r in fits}
-    kinds = {f.name: f.dataType.simpleString() for f in test.schema.fields}
-    field = lambda c: f"`{c}` {kinds[c]}"
-    shared = rows.sparkSession.sparkContext.broadcast(systems)
-
-    def scaled(g: pd.DataFrame, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
-        return np.nan_to_num((g[list(columns)].to_numpy(float) - mean) / sd, posinf=0, neginf=0)
-
-    if model == "ridge":
-        key_fields = ", ".join(f"`{c}` {kinds[c]}" for c in given)
-
-        def errors(batches):
-            total: dict = {}
-            for g in batches:
-                g = g[g[target].notna()]
-                y = g[target].to_numpy(float)
-                for key, (n, middle, mean, sd, square, with_y) in shared.value.items():
-                    use = (g[fold] != key[-1]).to_numpy()
-                    for c, v in zip(groups, key, strict=False):
-                        use &= (g[c] == v).to_numpy()
-                    if use.any():
-                        z = scaled(g[use], mean, sd)
-                        for a in alphas:
-                            inverse = np.linalg.inv(square + a * np.eye(k))
-                            left = 1 - 1 / n - np.einsum("ij,jk,ik->i", z, inverse, z)
-                            off = (y[use] - middle - z @ (inverse @ with_y)) / np.where(np.abs(left) > 1e-12, left, np.nan)
-                            total[*key, a] = total.get((*key, a), 0.0) + float((off * off).sum())
-            if total:
-                yield pd.DataFrame([[*key, e] for key, e in total.items()], columns=[*given, "alpha", "error"])
-
-        found = rows.select(*given, target, *columns).mapInPandas(errors, f"{key_fields}, alpha double, error double")
-        best = found.groupBy(*given, "alpha").agg(F.sum("error").alias("error")).where(~F.isnan("error")).groupBy(*given).agg(F.min(F.struct("error", "alpha"))["alpha"].alias("alpha"))
-        chosen = {tuple(r[c] for c in given): r["alpha"] for r in best.collect()}
-    else:
-        chosen = dict.fromkeys(systems, 0.0)
-    weights = {}
-    for key, (_, middle, mean, sd, square, with_y) in systems.items():
-        w = np.linalg.lstsq(square + chosen.get(key, alphas[0]) * np.eye(k), with_y, rcond=None)[0]
-        weights[key] = (middle, mean, sd, w)
-    fitted = rows.sparkSession.sparkContext.broadcast(weights)
-
-    def predict(batches):
-        for g in batches:
-            out = np.full(len(g), np.nan)
-            keys = pd.Series(list(zip(*(g[c] for c in given), strict=True)), index=range(len(g)), dtype=object)
-            for key in keys.unique():
-                if key in fitted.value:
-                    middle, mean, sd, w = fitted.value[key]
-                    at = (keys == key).to_numpy()
-                    out[at] = middle + scaled(g[at], mean, sd) @ w
-            yield g[[*given, who]].assign(true=g[target].to_numpy(float), pred=out).replace({np.nan: None})
-
-    return test.select(*given, who, target, *columns).mapInPandas(predict, ", ".join(map(field, [*given, who])) + ", true double, pred double")
+    return gram.predicted(rows, rows if test is None else test, who, target, columns, groups, [fold], penalties(model, alphas))
 
 
 # -- segments of two frames, windows and items -------------------------------------------------------------------------
@@ -159,42 +75,23 @@ def _by_window(train: DataFrame, folded: DataFrame, who: str, target: str, colum
     return found.join(back, "_who").select(window, "fold", who, "true", "pred")
 
 
-def per_item(rows: DataFrame, who: str, target: str, columns: Sequence[str], item: str, pool: str, fold: str = "fold", model: str = "ols") -> DataFrame:
-    """item, fold, who, true, pred of every item: INDEPENDENT is cross-validated inside the item over `fold`; SEEN leaves
-    one participant out of the item, by the hat matrix (least squares whatever the model; the fold is the participant);
-    UNSEEN learns from the participant folds' other items."""
+def per_item(rows: DataFrame, who: str, target: str, columns: Sequence[str], item: str, pool: str, fold: str = "fold", model: str = "ols", alphas: Sequence[float] = ALPHAS) -> DataFrame:
+    """item, fold, who, true, pred of every item by 'ols' or 'ridge'.
+
+    INDEPENDENT is cross-validated inside the item over `fold`; SEEN leaves one participant out of the item, exactly
+    (the fold is the participant; ridge takes the item's alpha of least summed leave-one-out error); UNSEEN learns
+    from the participant folds' other items.
+    """
     if pool == "SEEN":
-        return press(rows, who, target, columns, [item]).select(item, F.col(who).cast("string").alias("fold"), who, "true", "pred")
+        if model == "ols":
+            out = press(rows, who, target, columns, [item])
+        else:
+            valid = rows.dropna(subset=[target])
+            out = gram.predicted(valid, valid, who, target, columns, [item], (), penalties(model, alphas), left_out=True)
+        return out.select(item, F.col(who).cast("string").alias("fold"), who, "true", "pred")
     if pool == "UNSEEN":
-        # outside both the item and the fold: all less the item, less the fold, plus what is in both
-        return _outside_both(rows, who, target, columns, item, fold)
-    return predicted_by_fold(rows.withColumn("_fold", F.col(fold).cast("string")), who, target, columns, "_fold", [item], model).withColumnRenamed("_fold", "fold")
-
-
-def _outside_both(rows: DataFrame, who: str, target: str, columns: Sequence[str], item: str, fold: str) -> DataFrame:
-    sums = _pair_sums(columns, target)
-    own = rows.where(F.col(target).isNotNull()).groupBy(item, fold).agg(*sums.values())
-    by_item, by_fold, all_rows = Window.partitionBy(item), Window.partitionBy(fold), Window.partitionBy(F.lit(0))  # a row an item and fold
-    left = own.select(item, fold, *[(F.sum(k).over(all_rows) - F.sum(k).over(by_item) - F.sum(k).over(by_fold) + F.col(k)).alias(k) for k in sums])
-    weights = {}
-    for r in left.where("n >= 2").collect():
-        _, middle, mean, sd, square, with_y = _system(r, len(columns))
-        weights[(r[item], r[fold])] = (middle, mean, sd, np.linalg.lstsq(square, with_y, rcond=None)[0])
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
-    kinds = dict(rows.dtypes)
-
-    def predict(batches):
-        for g in batches:
-            out = np.full(len(g), np.nan)
-            keys = pd.Series(list(zip(g[item], g[fold], strict=True)), index=range(len(g)), dtype=object)
-            for key in keys.unique():
-                if key in shared.value:
-                    middle, mean, sd, w = shared.value[key]
-                    at = (keys == key).to_numpy()
-                    out[at] = middle + np.nan_to_num((g[at][list(columns)].to_numpy(float) - mean) / sd, posinf=0, neginf=0) @ w
-            yield g[[item, fold, who]].assign(true=g[target].to_numpy(float), pred=out).replace({np.nan: None})
-
-    return rows.select(item, fold, who, target, *columns).mapInPandas(predict, f"`{item}` {kinds[item]}, `{fold}` {kinds[fold]}, `{who}` {kinds[who]}, true double, pred double")
+        return gram.predicted(rows, rows, who, target, columns, (), [item, fold], penalties(model, alphas))
+    return predicted_by_fold(rows.withColumn("_fold", F.col(fold).cast("string")), who, target, columns, "_fold", [item], model, alphas).withColumnRenamed("_fold", "fold")
 
 
 def cross_validation(kind: str, rows: DataFrame, who: str, target: str, columns: Sequence[str], stratum: str, window: str | None = None, full: DataFrame | None = None, train_on_full: bool = False, k: int = 5, model: str = "ridge") -> DataFrame:
@@ -212,50 +109,19 @@ def cross_validation(kind: str, rows: DataFrame, who: str, target: str, columns:
 # -- ridge inside one segment ------------------------------------------------------------------------------------------
 
 
-def _segment(rows: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str], predict, more: Sequence[str] = ()) -> DataFrame:
-    fields = [f for f in rows.schema.fields if f.name in (*groups, who)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", true double, pred double"
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([who, *more])
-        out = predict(g, g[list(columns)].to_numpy(float), g[target].to_numpy(float))
-        test = g if out[0] is None else g[out[0]]
-        return test[[f.name for f in fields]].assign(true=test[target].to_numpy(float), pred=out[1]).replace({np.nan: None})
-
-    return rows.dropna(subset=[target]).select(*[f.name for f in fields], target, *more, *columns).groupBy(*groups).applyInPandas(run, schema)
-
-
-def _ridge(x: np.ndarray, y: np.ndarray, z: np.ndarray, alphas: Sequence[float]) -> np.ndarray:
-    mean, sd = _scale(x, np.ones(len(x), bool))
-    fill = lambda v: np.nan_to_num((v - mean) / sd, posinf=0, neginf=0)
-    _, w, b = _ridge_path(fill(x), y, alphas)
-    return fill(z) @ w + b
-
-
 def nested_ridge(rows: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str], alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """groups, who, true, pred: leave-one-out ridge that chooses alpha and scales anew for every participant held out.
 
-    Exact and dear: a decomposition a participant; one task has a segment, a few hundred people.
+    Exact and dear: a system a participant, from the segment's sums less the own, held against all others' rows.
     """
-
-    def predict(_: pd.DataFrame, x: np.ndarray, y: np.ndarray):
-        out = np.full(len(y), np.nan)
-        for i in range(len(y)) if len(y) > 2 else ():
-            rest = np.arange(len(y)) != i
-            out[i] = _ridge(x[rest], y[rest], x[i : i + 1], alphas)[0]
-        return None, out
-
-    return _segment(rows, who, target, columns, groups, predict)
+    valid = rows.dropna(subset=[target])
+    return gram.predicted(valid, valid, who, target, columns, groups, [who], alphas)
 
 
 def direct_ridge(rows: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str], role: str = "role", alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """groups, who, true, pred of the 'test' rows by one ridge on the segment's 'train' rows, whose people are others."""
-
-    def predict(g: pd.DataFrame, x: np.ndarray, y: np.ndarray):
-        train = (g[role] == "train").to_numpy()
-        return ~train, _ridge(x[train], y[train], x[~train], alphas) if train.sum() > 1 else np.full((~train).sum(), np.nan)
-
-    return _segment(rows, who, target, columns, groups, predict, [role])
+    valid = rows.dropna(subset=[target])
+    return gram.predicted(valid.where(F.col(role) == "train"), valid.where(F.col(role) != "train"), who, target, columns, groups, (), alphas)
 
 
 def ridge_leave_one_out(mode: str, rows: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str], stratum: str) -> DataFrame:
