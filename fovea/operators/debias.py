@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fovea.functions.special import correlation_t, f_p_value, t_p_value
+from fovea.operators import resampling
 from fovea.operators.features import linear_coefficients
 from fovea.operators.stats import pearson
 
@@ -172,63 +173,50 @@ def without_effects(df: DataFrame, effects: DataFrame, score: str, lang: str = "
     return df.join(F.broadcast(effects.select(lang, "effect")), lang, "left").withColumn("debiased", F.col(score) - F.col("effect")).drop("effect")
 
 
-def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[str], lang: str = "L1", centre: bool = True, draws: int = 10_000, seed: int = 42, statistic: str = "r") -> DataFrame:
+def delta_r_bootstrap(df: DataFrame, score: str, target: str, groups: Sequence[str], lang: str = "L1", centre: bool = True, draws: int = 10_000, seed: int = 42, statistic: str = "r", who: str | None = None) -> DataFrame:
     """groups, n, r_raw, r_debiased, delta_r, low, high, p: what debiasing does to the correlation with the target, or
     (statistic 'b', columns b_...) to the two-step slope on distance.
 
-    `lang` is the fold that is left out: the language, or a stratified fold. Each draw resamples people and refits
-    every fold's alpha from the sums of the others. p doubles the smaller tail of the draws centred on no change, at
-    least 1 / draws. One task handles one result cell.
+    `lang` is the fold that is left out: the language, or a stratified fold. Each draw reweights people and refits
+    every fold's alpha from the sums of the others; the corrected scores' sums follow from the fold's, so no row is
+    read twice. p doubles the smaller tail of the draws centred on no change, at least 1 / draws. `who` as in
+    `stats.bootstrap`. Null under six rows or three folds.
     """
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups)
-
-    def correlation(w, x, t):
-        n = w.sum(axis=1)
-        mx, mt = (w * x).sum(axis=1) / n, (w * t).sum(axis=1) / n
-        cx, ct = x - mx[:, None], t - mt[:, None]
-        with np.errstate(all="ignore"):
-            return (w * cx * ct).sum(axis=1) / np.sqrt((w * cx * cx).sum(axis=1) * (w * ct * ct).sum(axis=1))
-
-    def slope(w, x, t, d):
-        n = w.sum(axis=1)
-        c = lambda a, b: (w * a * b).sum(axis=1) - (w * a).sum(axis=1) * (w * b).sum(axis=1) / n
-        with np.errstate(all="ignore"):
-            return (c(x, d) - c(x, t) / c(t, t) * c(t, d)) / c(d, d)
-
-    def both(w, y, t, d, of):
-        member = np.eye(of.max() + 1)[of]
-        sums = {k: w @ (member * v[:, None]) for k, v in {"n": np.ones_like(y), "y": y, "t": t, "d": d, "tt": t * t, "dd": d * d, "yt": y * t, "yd": y * d, "td": t * d}.items()}
-        o = {k: v.sum(axis=1, keepdims=True) - v for k, v in sums.items()}
+    values = [score, target, "distance"]
+    rows = resampling.usable(df, values).where(F.col(lang).isNotNull())
+    rows = rows.select(*groups, lang, *values, resampling.row_key([*groups, lang], values, who).alias("_row"))
+    rows = resampling.centred(rows, groups, [score, target])
+    y, t, d = F.col(f"_c_{score}"), F.col(f"_c_{target}"), F.col("distance").cast("double")
+    terms = [F.lit(1.0), y, t, d, y * y, t * t, d * d, y * t, y * d, t * d]
+
+    def finish(held: np.ndarray) -> list:
+        own = dict(zip(("n", "y", "t", "d", "yy", "tt", "dd", "yt", "yd", "td"), held.transpose(1, 0, 2), strict=True))
+        n = int(own["n"][:, 0].sum())
+        if len(held) < 3 or n < 6:
+            return [n, *[None] * 6]
+        total = {k: v.sum(axis=0) for k, v in own.items()}
+        rest = {k: total[k] - v for k, v in own.items()}
         with np.errstate(all="ignore"):
-            c = lambda a, b, ab: o[ab] - o[a] * o[b] / o["n"]
-            alpha = (c("y", "d", "yd") - c("y", "t", "yt") / c("t", "t", "tt") * c("t", "d", "td")) / c("d", "d", "dd")
-            middle = o["d"] / o["n"] if centre else np.zeros_like(alpha)
-        fixed = y - alpha[:, of] * (d - middle[:, of])
-        if statistic == "b":
-            return slope(w, np.broadcast_to(y, fixed.shape), t, d), slope(w, fixed, t, d)
-        return correlation(w, y[None], t), correlation(w, fixed, t)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([lang, score, target])
-        y, t, d = (g[c].to_numpy(float) for c in (score, target, "distance"))
-        of = pd.factorize(g[lang], sort=True)[0]
-        out = [len(g), *[None] * 6]
-        if of.max(initial=0) >= 2 and len(g) >= 6:
-            raw, fixed = (float(v[0]) for v in both(np.ones((1, len(g))), y, t, d, of))
-            rng, found = np.random.default_rng(seed), []
-            for k in range(0, draws, 100):
-                w = rng.multinomial(len(g), np.full(len(g), 1 / len(g)), min(100, draws - k)).astype(float)
-                a, b = both(w, y, t, d, of)
-                found.append(b - a)
-            delta = np.concatenate(found)
-            delta = delta[np.isfinite(delta)]
-            if len(delta) and np.isfinite(fixed - raw):
-                moved = delta - (fixed - raw)
-                p = 2 * min((moved >= fixed - raw).mean(), (moved <= fixed - raw).mean())
-                out = [len(g), raw, fixed, fixed - raw, *np.percentile(delta, [2.5, 97.5]), float(min(1.0, max(1 / draws, p)))]
-        return pd.DataFrame([[*key, *out]], columns=[*groups, "n", f"{statistic}_raw", f"{statistic}_debiased", f"delta_{statistic}", "low", "high", "p"])
-
-    return df.dropna(subset=[score, target, "distance"]).select(*groups, lang, score, target, "distance").groupBy(*groups).applyInPandas(run, f"{keys}, n long, {statistic}_raw double, {statistic}_debiased double, delta_{statistic} double, low double, high double, p double")
+            c = lambda s, a, b, ab: s[ab] - s[a] * s[b] / s["n"]
+            slope = lambda s: (c(s, "y", "d", "yd") - c(s, "y", "t", "yt") / c(s, "t", "t", "tt") * c(s, "t", "d", "td")) / c(s, "d", "d", "dd")
+            alpha = np.where(own["n"] > 0, slope(rest), 0.0)  # a fold without anybody in a draw corrects nobody
+            middle = np.where(own["n"] > 0, rest["d"] / rest["n"], 0.0) if centre else 0.0
+            moved = {"y": own["d"] - middle * own["n"], "yt": own["td"] - middle * own["t"], "yd": own["dd"] - middle * own["d"]}
+            fixed = total | {k: (own[k] - alpha * m).sum(axis=0) for k, m in moved.items()}
+            square = own["dd"] - 2 * middle * own["d"] + middle * middle * own["n"]
+            fixed["yy"] = (own["yy"] - 2 * alpha * (own["yd"] - middle * own["y"]) + alpha * alpha * square).sum(axis=0)
+            r = lambda s: resampling.correlation(s["n"], s["y"], s["t"], s["yy"], s["tt"], s["yt"])
+            raw, after = (slope(total), slope(fixed)) if statistic == "b" else (r(total), r(fixed))
+        gain, delta = after[0] - raw[0], (after - raw)[1:]
+        delta = delta[np.isfinite(delta)]
+        if not len(delta) or not np.isfinite(gain):
+            return [n, *[None] * 6]
+        p = 2 * min((delta - gain >= gain).mean(), (delta - gain <= gain).mean())
+        return [n, raw[0], after[0], gain, *np.percentile(delta, [2.5, 97.5]), min(1.0, max(1 / draws, p))]
+
+    names = ["n", f"{statistic}_raw", f"{statistic}_debiased", f"delta_{statistic}", "low", "high", "p"]
+    sums = resampling.weighted_sums(rows, [*groups, lang], F.col("_row"), terms, draws, seed)
+    return resampling.finished(sums, groups, len(terms), [lang], names, finish)
 
 
 def slope_test(df: DataFrame, y: str, x: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -89,3 +89,9 @@ def by_membership(df: DataFrame, members: DataFrame, key: str) -> tuple[DataFram
     """The rows whose key is among the members, and the others."""
     ids = members.select(key).distinct()
     return df.join(ids, key, "left_semi"), df.join(ids, key, "left_anti")
+
+
+def with_cells(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with their long-form cells (keys, feature, value): the per-text columns of a subset, of which each row has its
+    own few. Rows without cells stay once, their feature null."""
+    return rows.join(cells, list(keys), "left")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fovea.functions.special import correlation_t, t_p_value, z_p_value
+from fovea.operators import resampling
 from fovea.operators.windows import average_rank
 
 
@@ -117,53 +117,58 @@ def matrix(long: DataFrame, who: str, name: str, value: str, groups: Sequence[st
     return both.groupBy(*groups, "a", "b").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("pearson_r"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"))
 
 
-def _rows_r(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-    below = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
-    return np.divide((x * y).sum(axis=1), below, out=np.full(len(x), np.nan), where=below > 0)
+def bootstrap(df: DataFrame, groups: Sequence[str], x: str, y: str, draws: int = 100_000, seed: int = 42, who: str | None = None, mae: bool = False) -> DataFrame:
+    """groups, n, r, boot_mean, boot_sd, low, high (percentiles 2.5 and 97.5); with `mae` the same of the mean absolute
+    difference: mae, mae_mean, mae_sd, mae_low, mae_high. A group is one cell of a result table.
 
-
-def _draws(n: int, draws: int, seed: int, block_mb: int = 64):
-    """Resampled row numbers in blocks; the stream doesn't depend on the block size."""
-    rng = np.random.default_rng(seed)
-    rows = max(1, block_mb * 2**20 // (8 * max(1, n)))
-    for k in range(0, draws, rows):
-        yield rng.integers(0, n, (min(rows, draws - k), n))
-
-
-def bootstrap(df: DataFrame, groups: Sequence[str], x: str, y: str, draws: int = 100_000, seed: int = 42) -> DataFrame:
-    """groups, n, r, boot_mean, boot_sd, low, high (percentiles 2.5 and 97.5). A group is one cell of a result table."""
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([x, y])
-        a, b = g[x].to_numpy(float), g[y].to_numpy(float)
-        out = [len(g), *[None] * 5]
-        if len(g) >= 3 and a.std() > 0 and b.std() > 0:
-            r = np.concatenate([_rows_r(a[i], b[i]) for i in _draws(len(g), draws, seed)])
-            r = r[np.isfinite(r)]
-            out = [len(g), float(_rows_r(a[None], b[None])[0]), r.mean(), r.std(ddof=1), *np.percentile(r, [2.5, 97.5])]
-        return pd.DataFrame([[*key, *out]], columns=[*groups, "n", "r", "boot_mean", "boot_sd", "low", "high"])
-
-    return df.dropna(subset=[x, y]).select(*groups, x, y).groupBy(*groups).applyInPandas(run, f"{keys}, n long, r double, boot_mean double, boot_sd double, low double, high double")
-
-
-def bootstrap_difference(df: DataFrame, groups: Sequence[str], target: str, x: str, y: str, draws: int = 100_000, seed: int = 42) -> DataFrame:
-    """groups, n, delta_r = r(x, target) - r(y, target), its interval, and p centred on no difference, at least 1/draws."""
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([target, x, y])
-        t, a, b = (g[c].to_numpy(float) for c in (target, x, y))
-        out = [len(g), *[None] * 4]
-        if len(g) >= 3 and min(t.std(), a.std(), b.std()) > 0:
-            delta = float((_rows_r(a[None], t[None]) - _rows_r(b[None], t[None]))[0])
-            d = np.concatenate([_rows_r(a[i], t[i]) - _rows_r(b[i], t[i]) for i in _draws(len(g), draws, seed)])
-            d = d[np.isfinite(d)]
-            out = [len(g), delta, *np.percentile(d, [2.5, 97.5]), max(1 / draws, float((np.abs(d - delta) >= abs(delta)).mean()))]
-        return pd.DataFrame([[*key, *out]], columns=[*groups, "n", "delta_r", "low", "high", "p"])
-
-    return df.dropna(subset=[target, x, y]).select(*groups, target, x, y).groupBy(*groups).applyInPandas(run, f"{keys}, n long, delta_r double, low double, high double, p double")
+    Null under three rows or where a side is constant (the mean absolute difference under three rows alone). `who`
+    names the row's person, whose weights are the same in every cell; without it equal rows are told apart.
+    """
+    a, b = F.col(f"_c_{x}"), F.col(f"_c_{y}")
+    rows = resampling.centred(resampling.usable(df, [x, y]).select(*groups, x, y, resampling.row_key(groups, [x, y], who).alias("_row")), groups, [x, y])
+    terms = [F.lit(1.0), a, b, a * a, b * b, a * b, F.abs(F.col(x) - F.col(y))]
+    names = ["n", "r", "boot_mean", "boot_sd", "low", "high", *(["mae", "mae_mean", "mae_sd", "mae_low", "mae_high"] if mae else [])]
+
+    def finish(held: np.ndarray) -> list:
+        n, off = held[0, 0], held[0, 6]
+        if n[0] < 3:
+            return [int(n[0]), *[None] * (len(names) - 1)]
+        r = resampling.correlation(*held[0, :6])
+        with np.errstate(all="ignore"):
+            off = off / n
+        sides = [r, off] if mae else [r]
+        return [int(n[0]), *(v for side in sides for v in ([side[0], *resampling.interval(side[1:])] if np.isfinite(side[0]) else [None] * 5))]
+
+    sums = resampling.weighted_sums(rows, groups, F.col("_row"), terms, draws, seed)
+    return resampling.finished(sums, groups, len(terms), [], names, finish)
+
+
+def bootstrap_difference(df: DataFrame, groups: Sequence[str], target: str, x: str, y: str, draws: int = 100_000, seed: int = 42, who: str | None = None, mae: bool = False) -> DataFrame:
+    """groups, n, delta_r = r(x, target) - r(y, target), its interval, and p centred on no difference, at least 1/draws;
+    with `mae` the same of the mean absolute errors: delta_mae, mae_low, mae_high, mae_p. `who` as in `bootstrap`."""
+    t, a, b = (F.col(f"_c_{c}") for c in (target, x, y))
+    three = [target, x, y]
+    rows = resampling.centred(resampling.usable(df, three).select(*groups, *three, resampling.row_key(groups, three, who).alias("_row")), groups, three)
+    terms = [F.lit(1.0), t, a, b, t * t, a * a, b * b, t * a, t * b, F.abs(F.col(target) - F.col(x)), F.abs(F.col(target) - F.col(y))]
+    names = ["n", "delta_r", "low", "high", "p", *(["delta_mae", "mae_low", "mae_high", "mae_p"] if mae else [])]
+
+    def tested(d: np.ndarray) -> list:
+        drawn = d[1:][np.isfinite(d[1:])]
+        if not np.isfinite(d[0]) or not len(drawn):
+            return [None] * 4
+        return [d[0], *np.percentile(drawn, [2.5, 97.5]), max(1 / draws, float((np.abs(drawn - d[0]) >= abs(d[0])).mean()))]
+
+    def finish(held: np.ndarray) -> list:
+        n, t, a, b, tt, aa, bb, ta, tb, off_a, off_b = held[0]
+        if n[0] < 3:
+            return [int(n[0]), *[None] * (len(names) - 1)]
+        r = resampling.correlation(n, a, t, aa, tt, ta) - resampling.correlation(n, b, t, bb, tt, tb)
+        with np.errstate(all="ignore"):
+            off = (off_a - off_b) / n
+        return [int(n[0]), *tested(r), *(tested(off) if mae else [])]
+
+    sums = resampling.weighted_sums(rows, groups, F.col("_row"), terms, draws, seed)
+    return resampling.finished(sums, groups, len(terms), [], names, finish)
 
 
 def composite(df: DataFrame, columns: Sequence[str], name: str = "composite") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fovea.functions import scalars
-from fovea.operators import budgets, debias, features, filters, reliability, schemes, scoring, splits, stats
+from fovea.operators import budgets, debias, features, filters, joins, kernel, reliability, schemes, scoring, splits, stats
 from fovea.plans import roles
 from fovea.plans.registry import query, rounded, rounded_all
 from fovea.plans.score_queries import _ACROSS, _SCORES, _WIDE, FEATURES, feature_rows, scores, wide_rows, with_distance
@@ -111,14 +111,14 @@ def bias_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def delta_b(spark: SparkSession, sf: str) -> DataFrame:
-    return debias.delta_r_bootstrap(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"], statistic="b")
+    return debias.delta_r_bootstrap(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"], statistic="b", who="participant_id")
 
 
 @query()
 def debias_gain_stratified(spark: SparkSession, sf: str) -> DataFrame:
     df = with_distance(scores(spark, sf))
     folds = splits.stratified_folds(df, "participant_id", "L1", 5).select("participant_id", "fold")
-    return debias.delta_r_bootstrap(df.join(folds, "participant_id"), "eye_score", "score", ["content_group"], lang="fold")
+    return debias.delta_r_bootstrap(df.join(folds, "participant_id"), "eye_score", "score", ["content_group"], lang="fold", who="participant_id")
 
 
 @query()
@@ -177,6 +177,29 @@ def items_unseen(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("paragraph", "participant_id", "true", rounded("pred", 3).alias("pred"))
 
 
+def _cells_of_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Long form: a row a reader, paragraph and part that they met there: the mean dwell."""
+    w = roles.words(spark, sf, numbered=False).where("rr is not null")
+    return w.groupBy("participant_id", "paragraph", "part_key").agg(F.avg("fp").alias("value"))
+
+
+@query(W + """, it AS (SELECT DISTINCT participant_id, paragraph FROM words0 JOIN meta USING (participant_id) WHERE NOT native),
+c AS (SELECT participant_id, paragraph, part_key, avg(fp) AS value FROM words0 WHERE rr IS NOT NULL GROUP BY 1, 2, 3)
+SELECT participant_id, paragraph, part_key, round(value, 6) + 0.0 AS value FROM it LEFT JOIN c USING (participant_id, paragraph)""")
+def per_text_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item of a subset's readers with its text's cells as long rows; items without any stay."""
+    out = joins.with_cells(_items(spark, sf).select("participant_id", "paragraph"), _cells_of_items(spark, sf), ["participant_id", "paragraph"])
+    return out.select("participant_id", "paragraph", "part_key", rounded("value", 6).alias("value"))
+
+
+@query()
+def per_text_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item and language: its readers from all others by the text's cells, of which there are more than readers."""
+    people = _items(spark, sf).select("paragraph", "L1", "participant_id", "y")
+    cells = joins.with_cells(people.drop("y"), _cells_of_items(spark, sf), ["participant_id", "paragraph"])
+    return kernel.ridge(cells, people, "participant_id", "part_key", "value", "y", ["paragraph", "L1"])
+
+
 def _windowed(spark: SparkSession, sf: str) -> DataFrame:
     """Readers of the first two paragraphs, a row a paragraph as the window."""
     rows = _items(spark, sf).where("paragraph <= 2")

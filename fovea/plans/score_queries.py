@@ -239,4 +239,4 @@ def crossfit_ridge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def debias_gain(spark: SparkSession, sf: str) -> DataFrame:
-    return debias.delta_r_bootstrap(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"])
+    return debias.delta_r_bootstrap(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"], who="participant_id")

@@ -205,12 +205,12 @@ def first_component(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_by_region(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap(_model_rows(spark, sf), ["region"], "ff", "score")
+    return stats.bootstrap(_model_rows(spark, sf), ["region"], "ff", "score", who="participant_id", mae=True)
 
 
 @query()
 def bootstrap_pair_by_region(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap_difference(_model_rows(spark, sf), ["region"], "score", "ff", "tf")
+    return stats.bootstrap_difference(_model_rows(spark, sf), ["region"], "score", "ff", "tf", who="participant_id", mae=True)
 
 
 @query(W + """, p AS (SELECT participant_id, paragraph, sum(ff) s, count(*) c FROM words0 GROUP BY 1, 2), k AS (SELECT *, sum(s) OVER w / sum(c) OVER w m, row_number() OVER w AS upto FROM p WINDOW w AS (PARTITION BY participant_id ORDER BY paragraph))
