@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fovea.operators.features import logistic_fit
+from fovea.operators import discriminants
 
 
 def long_features(wide: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -124,68 +122,22 @@ def fold_scores(readers: DataFrame, natives: DataFrame, who: str, fold: str, gro
 def discriminative_scores(rows: DataFrame, who: str, native: str, fold: str, columns: Sequence[str], groups: Sequence[str] = (), how: str = "logistic") -> DataFrame:
     """groups, who, eye_score: out-of-fold log-odds of being native, design standardised inside each fit.
 
-    rows: wide, with a 0/1 native column and a fold. One task fits one group's folds; a group is a segment of
-    participants, thousands of rows.
+    rows: wide, with a 0/1 native column and a fold. Fits come from rounds of sums, rows are never gathered.
     """
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in groups)
-    kind = dict(rows.dtypes)[who]
-    fit = FITS[how]
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(who)
-        x, y, f = g[list(columns)].to_numpy(float), g[native].to_numpy(float), g[fold].to_numpy()
-        x = np.where(np.isfinite(x), x, np.nan)
-        out = np.full(len(g), np.nan)
-        for k in np.unique(f):
-            train, test = f != k, f == k
-            if len(np.unique(y[train])) < 2:
-                continue
-            mean = np.nan_to_num(np.nanmean(x[train], axis=0))
-            sd = np.nan_to_num(np.nanstd(x[train], axis=0, ddof=1))
-            z = np.nan_to_num((x - mean) / np.where(sd > 0, sd, 1))
-            w = fit(np.column_stack([np.ones(train.sum()), z[train]]), y[train])
-            if w is not None:
-                out[test] = np.column_stack([np.ones(test.sum()), z[test]]) @ w
-        return pd.DataFrame({**{c: v for c, v in zip(groups, key, strict=True)}, who: g[who].to_numpy(), "eye_score": out}).replace({np.nan: None})
-
-    return rows.select(*groups, who, native, fold, *columns).groupBy(*groups).applyInPandas(run, f"{keys}`{who}` {kind}, eye_score double")
+    return discriminants.scores(rows, rows, who, native, fold, columns, groups, how)
 
 
 def paired_scores(natives: DataFrame, fit: DataFrame, targets: DataFrame, who: str, fold: str, columns: Sequence[str], groups: Sequence[str] = (), how: str = "logistic") -> DataFrame:
     """groups, who, eye_score of target rows by fits whose second-language rows are others: natives against the fit rows
-    of everyone outside the target's fold. People that fit and targets don't share need no fold: one fit serves.
+    of everyone outside the target's fold. People that fit and targets don't share are in no fold: they train for all.
 
-    Wide frames; one task has one group's fits, a segment of thousands of rows.
+    Wide frames; the fold is the targets'.
     """
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in targets.schema.fields if f.name in groups)
-    kind, learn = dict(targets.dtypes)[who], FITS[how]
-    part = lambda df, side: df.select(*groups, who, F.col(fold).cast("long").alias("_fold") if fold in df.columns else F.lit(None).cast("long").alias("_fold"), F.lit(side).alias("_side"), *[F.col(c).cast("double").alias(c) for c in columns])
-
-    def scored(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
-        if len(np.unique(y)) < 2:
-            return np.full(len(t), np.nan)
-        mean = np.nan_to_num(np.nanmean(x, axis=0))
-        sd = np.nan_to_num(np.nanstd(x, axis=0, ddof=1))
-        z = lambda v: np.column_stack([np.ones(len(v)), np.nan_to_num((v - mean) / np.where(sd > 0, sd, 1))])
-        w = learn(z(x), y)
-        return np.full(len(t), np.nan) if w is None else z(t) @ w
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["_side", who])
-        native, other, target = (g[g["_side"] == k] for k in (0, 1, 2))
-        x = lambda f: np.where(np.isfinite(v := f[list(columns)].to_numpy(float)), v, np.nan)
-        out = np.full(len(target), np.nan)
-        folds = target["_fold"].to_numpy()
-        shared = other[who].isin(target[who]).any()
-        for k in np.unique(folds) if shared else [None]:
-            test = np.ones(len(target), bool) if k is None else folds == k
-            held = other[~other[who].isin(target[who][test])] if shared else other
-            both = np.concatenate([x(native), x(held)])
-            out[test] = scored(both, np.concatenate([np.ones(len(native)), np.zeros(len(held))]), x(target)[test])
-        return pd.DataFrame({**dict(zip(groups, key, strict=True)), who: target[who].to_numpy(), "eye_score": out}).replace({np.nan: None})
-
-    rows = part(natives, 0).unionByName(part(fit, 1)).unionByName(part(targets, 2))
-    return rows.groupBy(*groups).applyInPandas(run, f"{keys}`{who}` {kind}, eye_score double")
+    of_targets = targets.select(*groups, who, F.col(fold).cast("long").alias("_fold")).distinct()
+    part = lambda df, side: df.select(*groups, "_fold", F.lit(side).alias("_native"), *[F.col(c).cast("double").alias(c) for c in columns])
+    others = part(fit.drop("_fold").join(of_targets, [*groups, who], "left"), 0.0)
+    train = part(natives.withColumn("_fold", F.lit(None).cast("long")), 1.0).unionByName(others)
+    return discriminants.scores(train, targets.withColumn("_fold", F.col(fold).cast("long")), who, "_native", "_fold", columns, groups, how)
 
 
 def require_prototype(how: str) -> str:
@@ -195,34 +147,5 @@ def require_prototype(how: str) -> str:
     return how
 
 
-def _balanced_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
-    """Penalty of one for each feature (C = 1 / p); classes weigh the same."""
-    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([0.0] + [float(x.shape[1] - 1)] * (x.shape[1] - 1))
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.lstsq((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w, rcond=None)[0]
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w if np.isfinite(w).all() else None
-
-
-def _lda(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
-    """Linear discriminant with the pooled covariance shrunk to its mean variance by the Ledoit-Wolf share."""
-    z = x[:, 1:]
-    a, b = z[y == 1].mean(axis=0), z[y == 0].mean(axis=0)
-    centred = z - np.where(y[:, None] == 1, a, b)
-    n, p = centred.shape
-    s = centred.T @ centred / n
-    mu = np.trace(s) / p
-    spread = ((s - mu * np.eye(p)) ** 2).sum() / p
-    noise = (((centred**2).T @ (centred**2) / n - s**2).sum() / n) / p
-    shrink = min(1.0, noise / spread) if spread > 0 else 1.0
-    w = np.linalg.lstsq((1 - shrink) * s + shrink * mu * np.eye(p), a - b, rcond=None)[0]
-    return np.concatenate([[-(a + b) @ w / 2 + np.log(y.mean() / (1 - y.mean()))], w])
-
-
-FITS: dict[str, Callable] = {"logistic": _balanced_logistic, "lda": _lda, "plain_logistic": logistic_fit}
+FITS = discriminants.FITS
 PROTOTYPES: dict[str, Callable] = {"cosine": cosine, "euclidean": euclidean}
