@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fovea.operators import crossed
 from fovea.operators.stats import pearson
 
 
@@ -83,42 +82,35 @@ def icc_all_readers(df: DataFrame, who: str, item: str, value: str, groups: Sequ
 
 
 def icc_crossed_reml(df: DataFrame, who: str, item: str, value: str, groups: Sequence[str] = (), rounds: int = 300) -> DataFrame:
-    """groups, var_person, var_item, var_error, icc: person and item as crossed random effects, gaps allowed, by REML EM.
+    """groups, var_person, var_item, var_error, icc: person and item as crossed random effects, gaps allowed, by REML.
 
-    One task fits one group's people by items, a table of thousands of cells.
+    People are added up by how many items they have, in one pass; null where the variances aren't determined.
     """
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in groups)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        y = g["value"].to_numpy(float)
-        p, i = pd.factorize(g[who], sort=True)[0], pd.factorize(g[item], sort=True)[0]
-        np_, ni, n = p.max() + 1, i.max() + 1, len(y)
-        out = [None] * 4
-        if np_ > 1 and ni > 1 and n > np_ + ni:
-            table = np.zeros((np_, ni))
-            np.add.at(table, (p, i), 1)
-            # the people's block is diagonal: it is eliminated, and a round costs people times items squared
-            rest = np.column_stack([table.sum(1), table])
-            inner = np.diag(np.concatenate([[float(n)], table.sum(0)]))
-            inner[0, 1:] = inner[1:, 0] = table.sum(0)
-            by_p, by_i = np.bincount(p, y, np_), np.concatenate([[y.sum()], np.bincount(i, y, ni)])
-            va = vb = ve = y.var() / 3
-            for _ in range(rounds):
-                d = 1 / (table.sum(1) + ve / va)
-                scaled = rest * d[:, None]
-                c = np.linalg.inv(inner + np.diag(np.concatenate([[0.0], np.full(ni, ve / vb)])) - rest.T @ scaled)
-                items = c @ (by_i - scaled.T @ by_p)
-                a, b = d * by_p - scaled @ items, items[1:]
-                trace_p = d.sum() + ((scaled @ c) * scaled).sum()
-                new = ((a @ a + ve * trace_p) / np_, (b @ b + ve * np.trace(c[1:, 1:])) / ni, max(1e-12, (y @ y - items @ by_i - a @ by_p) / (n - 1)))
-                done = max(abs(x - z) for x, z in zip(new, (va, vb, ve), strict=True)) < 1e-10 * y.var()
-                va, vb, ve = (max(1e-12, v) for v in new)
-                if done:
-                    break
-            out = [va, vb, ve, va / (va + vb + ve)]
-        return pd.DataFrame([[*key, *out]], columns=[*groups, "var_person", "var_item", "var_error", "icc"])
-
-    return one_per_cell(df, who, item, value, groups).groupBy(*groups).applyInPandas(run, f"{keys}var_person double, var_item double, var_error double, icc double")
+
+    def answer(parts, levels, items):
+        found = crossed.variances(parts, levels, items, rounds=rounds)
+        return [*found, found[0] / sum(found)] if found else [None] * 4
+
+    cells = one_per_cell(df, who, item, value, groups)
+    return crossed.solved(crossed.sums(cells, who, item, groups), groups, ["var_person", "var_item", "var_error", "icc"], answer)
+
+
+def icc_pooled_mixed(df: DataFrame, who: str, item: str, value: str, group: str, keys: Sequence[str] = (), rounds: int = 300) -> DataFrame:
+    """keys, icc2, icc3, icc2k, icc3k over all groups at once, each group with its own level.
+
+    icc2: people and items random and crossed; icc3: items fixed, which holds the groups' levels. The k forms average
+    over as many items as a person has met, on average. Null where a variance isn't determined.
+    """
+
+    def answer(parts, levels, items):
+        people = sum(p[0] for _, p in parts)
+        k = round(sum(n * p[0] for n, p in parts) / people)
+        two, three = (crossed.variances(parts, levels, items, random_items, rounds) if k > 1 else None for random_items in (True, False))
+        share = lambda v, n: v[0] / (v[0] + sum(x for x in v[1:] if x is not None) / n) if v else None
+        return [share(two, 1), share(three, 1), share(two, k), share(three, k)]
+
+    cells = one_per_cell(df, who, item, value, [*keys, group])
+    return crossed.solved(crossed.sums(cells, who, item, keys, group), keys, ["icc2", "icc3", "icc2k", "icc3k"], answer)
 
 
 def standard_error(sd: Column, reliability: Column) -> Column:

@@ -312,6 +312,12 @@ def icc_pooled(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_all(reliability.icc_pooled(_grouped_cells(spark, sf), "who", "item", "ff", "content_group"), 6, "icc1", "icc1k")
 
 
+@query()
+def icc_pooled_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The coefficients that no single analysis of variance gives over groups."""
+    return reliability.icc_pooled_mixed(_grouped_cells(spark, sf), "who", "item", "ff", "content_group")
+
+
 @query(_GC + """, i AS (SELECT g, item, var_samp(value) v FROM gc GROUP BY 1, 2), ii AS (SELECT g, count(*) k, sum(v) v FROM i GROUP BY 1), t AS (SELECT g, who, sum(value) t, avg(value) m FROM gc GROUP BY 1, 2),
 tt AS (SELECT g, count(*) n, var_samp(t) v, stddev_samp(m) s FROM t GROUP BY 1), h AS (SELECT g, who, avg(value) FILTER (item % 2 = 0) x, avg(value) FILTER (item % 2 = 1) y FROM gc GROUP BY 1, 2),
 r AS (SELECT g, corr(x, y) r FROM h WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1), a AS (SELECT g, k, n, k / (k - 1.0) * (1 - ii.v / tt.v) a, s, 2 * r / (1 + r) b FROM ii JOIN tt USING (g) JOIN r USING (g))
