@@ -69,17 +69,17 @@ def corrected(score: str | Column, alpha: str | Column, centre: str | Column | f
     return col(score) - col(alpha) * (F.col("distance") - col(centre))
 
 
-def debias_by_fold(df: DataFrame, score: str, target: str, fold: str, how: str = "two_step", centre: bool = False) -> DataFrame:
-    """Every row corrected by the alpha of all rows outside its fold: all sums less the fold's own.
+def debias_by_fold(df: DataFrame, score: str, target: str, fold: str, how: str = "two_step", centre: bool = False, groups: Sequence[str] = ()) -> DataFrame:
+    """Every row corrected by the alpha of all rows of its groups outside its fold: all sums less the fold's own.
 
     With the language as the fold this is the across-languages scheme, with stratified folds the inside one.
     """
-    names = list(_sums(score, target))
-    own = df.groupBy(fold).agg(*[c.alias(k) for k, c in _sums(score, target).items()])
-    by = Window.partitionBy(F.lit(0))  # a row a fold: languages or a few strata
-    left = own.select(fold, *[(F.sum(k).over(by) - F.col(k)).alias(k) for k in names])
-    fits = left.select(fold, F.when(F.col("n") >= 3, FITS[how]()).alias("alpha"), (F.col("d") / F.col("n")).alias("_centre"))
-    return df.join(fits, fold).withColumn("debiased", corrected(score, "alpha", "_centre" if centre else 0.0)).drop("_centre")
+    names, keys = list(_sums(score, target)), [*groups, fold]
+    own = df.groupBy(*keys).agg(*[c.alias(k) for k, c in _sums(score, target).items()])
+    by = Window.partitionBy(*(groups or [F.lit(0)]))  # a row a fold: languages or a few strata
+    left = own.select(*keys, *[(F.sum(k).over(by) - F.col(k)).alias(k) for k in names])
+    fits = left.select(*keys, F.when(F.col("n") >= 3, FITS[how]()).alias("alpha"), (F.col("d") / F.col("n")).alias("_centre"))
+    return df.join(fits, keys).withColumn("debiased", corrected(score, "alpha", "_centre" if centre else 0.0)).drop("_centre")
 
 
 def interaction_by_fold(df: DataFrame, score: str, target: str, fold: str, centre: bool = False) -> DataFrame:

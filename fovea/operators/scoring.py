@@ -63,13 +63,13 @@ def leave_one_out_cosine(readers: DataFrame, natives: DataFrame, who: str) -> Da
     Features without spread among the others drop out for that reader.
     """
     totals = readers.where("value is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count(F.lit(1))).alias("m2"))
-    raw = natives.where("value is not null").groupBy("feature").agg(F.avg("value").alias("native"))
+    raw = natives.where("value is not null").groupBy("feature").agg(F.avg("value").alias("_native"))
     own = readers.join(totals, "feature").join(raw, "feature").where("value is not null")
     others = F.col("n") - 1
     mean = (F.col("mean") * F.col("n") - F.col("value")) / others
     rest = F.col("m2") - (F.col("value") - F.col("mean")) * (F.col("value") - mean)
     own = own.where("n > 2").withColumns({"_mean": mean, "_sd": F.sqrt(F.greatest(rest, F.lit(0.0)) / (others - 1))}).where(F.col("_sd") > 1e-12)
-    own = own.withColumns({"z": (F.col("value") - F.col("_mean")) / F.col("_sd"), "p": (F.col("native") - F.col("_mean")) / F.col("_sd")})
+    own = own.withColumns({"z": (F.col("value") - F.col("_mean")) / F.col("_sd"), "p": (F.col("_native") - F.col("_mean")) / F.col("_sd")})
     norm = F.sqrt(F.sum(F.col("z") * F.col("z")) * F.sum(F.col("p") * F.col("p")))
     return own.groupBy(who).agg(F.when(F.count(F.lit(1)) == 1, F.first("z")).otherwise(F.try_divide(F.sum(F.col("z") * F.col("p")), F.when(norm > 0, norm))).alias("eye_score"))
 
@@ -98,6 +98,55 @@ def pooled(readers: DataFrame, natives: DataFrame, who: str, group: str, pool: s
     return cosine(scaled(readers.select(who, group, "feature", "value"), stats, [group]), proto, [who, group], [group])
 
 
+POOLS = ("SEEN", "UNSEEN")
+
+
+def _directions(rows: DataFrame, side: str, pools: Sequence[str]) -> DataFrame:
+    """A row for each pool with the half whose natives it meets: its own where the texts are seen, else the other."""
+    met = F.explode(F.array(*[F.struct(F.lit(p).alias("pool"), (F.col(side) if p == "SEEN" else 1 - F.col(side)).alias("direction")) for p in pools]))
+    return rows.withColumn("_met", met).select(*[c for c in rows.columns if c not in ("pool", "direction")], "_met.*")
+
+
+def direction_scores(readers: DataFrame, natives: DataFrame, who: str, side: str, groups: Sequence[str] = (), pools: Sequence[str] = POOLS, how: str = "cosine") -> DataFrame:
+    """groups, pool, direction, who, eye_score in both directions between halves of a text.
+
+    Long rows with a half (0 or 1, such as a parity) in `side`. The direction is the half whose natives make the
+    prototype and whose readers give the statistics; it is scored on the same half (SEEN) or on the other (UNSEEN).
+    Splits, parts and other repetitions are `groups`: all are keys of one job.
+    """
+    keys = [*groups, "direction"]
+    own = lambda df: df.withColumn("direction", F.col(side))
+    return prototype_scores(_directions(readers, side, pools), own(natives), [*groups, "pool", "direction", who], keys, fit=own(readers), how=require_prototype(how))
+
+
+def item_direction_scores(readers: DataFrame, natives: DataFrame, who: str, item: str, side: str, groups: Sequence[str] = (), pools: Sequence[str] = POOLS) -> DataFrame:
+    """groups, pool, direction, item, who, eye_score: each item of a reader by statistics that leave the reader out.
+
+    SEEN: readers and natives of the same item; UNSEEN: readers of all items of the half, natives of the other half.
+    Statistics are all sums less the reader's own. Features without spread among the others drop out.
+    """
+    out = None
+    for pool in pools:
+        keys = [*groups, "direction", *([item] if pool == "SEEN" else [])]
+        tested = _directions(readers.where("value is not null"), side, [pool])
+        met = natives.withColumn("direction", F.col(side)).groupBy(*keys, "feature").agg(F.avg("value").alias("_native"))
+        n, square = F.count(F.lit(1)), F.var_pop("value") * F.count(F.lit(1))
+        own = tested.groupBy(*keys, "feature", who).agg(n.alias("own_n"), F.avg("value").alias("own_m"), square.alias("own_q"))
+        whole = tested.groupBy(*keys, "feature").agg(n.alias("all_n"), F.avg("value").alias("all_m"), square.alias("all_q"))
+        rest = F.col("all_n") - F.col("own_n")
+        left = own.join(whole, [*keys, "feature"]).join(met, [*keys, "feature"]).where("all_n - own_n > 1")
+        left = left.withColumn("_mean", (F.col("all_n") * F.col("all_m") - F.col("own_n") * F.col("own_m")) / rest)
+        apart = F.col("own_n") * rest / F.col("all_n") * (F.col("own_m") - F.col("_mean")) * (F.col("own_m") - F.col("_mean"))
+        left = left.withColumn("_sd", F.sqrt(F.greatest(F.lit(0.0), F.col("all_q") - F.col("own_q") - apart) / (rest - 1))).where("_sd > 1e-12")
+        cells = tested.join(left.select(*keys, "feature", who, "_native", "_mean", "_sd"), [*keys, "feature", who])
+        cells = cells.withColumns({"z": (F.col("value") - F.col("_mean")) / F.col("_sd"), "p": (F.col("_native") - F.col("_mean")) / F.col("_sd")})
+        norm = F.sqrt(F.sum(F.col("z") * F.col("z")) * F.sum(F.col("p") * F.col("p")))
+        score = F.when(F.count(F.lit(1)) == 1, F.first("z")).otherwise(F.try_divide(F.sum(F.col("z") * F.col("p")), F.when(norm > 0, norm)))
+        one = cells.groupBy(*groups, "pool", "direction", item, who).agg(score.alias("eye_score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fold_scores(readers: DataFrame, natives: DataFrame, who: str, fold: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups, who, fold, eye_score without leaks: z statistics of the readers outside the reader's fold, from all sums
     less the fold's own; the prototype is the natives' in those terms.

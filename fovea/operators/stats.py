@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fovea.functions.special import correlation_t, t_p_value, z_p_value
 from fovea.operators import resampling
+from fovea.operators.ranks import average_ranks
 from fovea.operators.windows import average_rank
 
 
@@ -31,7 +32,10 @@ def correlations(df: DataFrame, x: str, y: str, groups: Sequence[str] = (), with
 def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups, n, spearman_r: the correlation of average ranks over complete pairs."""
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = complete.withColumns({"_x": average_rank(x, groups), "_y": average_rank(y, groups)})
+    if groups:
+        ranked = complete.withColumns({"_x": average_rank(x, groups), "_y": average_rank(y, groups)})
+    else:
+        ranked = average_ranks(average_ranks(complete.select(x, y), x, "_x"), y, "_y")
     return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), pearson("_x", "_y").alias("spearman_r"))
 
 

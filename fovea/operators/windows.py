@@ -95,7 +95,7 @@ def parity_split(df: DataFrame, who: Sequence[str], order: Sequence[str], name:
 
 
 def average_rank(value: str, groups: Sequence[str] = ()) -> Column:
-    """Rank with ties at their mean, null for null. Without groups the rank runs in one task: give groups for large tables."""
+    """Rank with ties at their mean, null for null. Over whole tables: `ranks.average_ranks`."""
     scope = [F.col(value).isNull(), *map(F.col, groups)]
     rank = F.rank().over(Window.partitionBy(*scope).orderBy(value))
     ties = F.count(F.lit(1)).over(Window.partitionBy(*scope, value))

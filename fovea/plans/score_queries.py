@@ -240,3 +240,64 @@ def crossfit_ridge(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def debias_gain(spark: SparkSession, sf: str) -> DataFrame:
     return debias.delta_r_bootstrap(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"], who="participant_id")
+
+
+# -- both directions between halves --------------------------------------------------------------------------------------
+
+_PARTED = roles.SQL + """, h AS (SELECT participant_id, CASE WHEN paragraph <= 3 THEN 1 ELSE 2 END AS part, paragraph % 2 AS side, avg(ff) ff, avg(fp) fp, avg(tf) tf, avg(rp) rp, avg(sk) sk, avg(rr) rr FROM words0 GROUP BY 1, 2, 3),
+l AS (SELECT native, L1, score, lang_no, u.* FROM (UNPIVOT h ON ff, fp, tf, rp, sk, rr INTO NAME feature VALUE value) u JOIN meta USING (participant_id)),
+st AS (SELECT part, side, feature, avg(value) m, stddev_samp(value) s FROM l WHERE NOT native GROUP BY 1, 2, 3 HAVING stddev_samp(value) > 0),
+pr AS (SELECT part, side, feature, (avg(value) - any_value(m)) / any_value(s) p FROM l JOIN st USING (part, side, feature) WHERE native GROUP BY 1, 2, 3),
+z AS (SELECT participant_id, L1, score, lang_no, l.part, pool, pr.side AS direction, (value - m) / s AS z, p
+  FROM l, (VALUES ('SEEN'), ('UNSEEN')) v(pool), pr, st WHERE NOT native AND l.part = pr.part AND l.feature = pr.feature AND pr.side = CASE pool WHEN 'SEEN' THEN l.side ELSE 1 - l.side END
+  AND st.part = pr.part AND st.side = pr.side AND st.feature = pr.feature),
+d AS (SELECT participant_id, L1, score, lang_no, part, pool, direction, sum(z * p) / sqrt(sum(z * z) * sum(p * p)) AS e, ((lang_no * 7) % 25) / 25.0 AS distance FROM z GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+
+
+def _directions(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of second-language readers by part of the text, pool and direction between its odd and even paragraphs."""
+    w = roles.words(spark, sf, numbered=False).withColumns({"part": F.when(F.col("paragraph") <= 3, 1).otherwise(2), "side": F.col("paragraph") % 2})
+    wide = keep(features.metric_means(w, ["participant_id", "part", "side"], {m: m for m in FEATURES}).join(roles.readers(spark, sf).select("participant_id", "native"), "participant_id"))
+    long = scoring.long_features(wide, ["participant_id", "part", "side", "native"], FEATURES).where("value is not null")
+    return scoring.direction_scores(long.where("not native"), long.where("native"), "participant_id", "side", ["part"])
+
+
+@query(_PARTED + " SELECT participant_id, part, pool, count(e) AS directions, round(avg(e), 6) + 0.0 AS eye_score FROM d GROUP BY 1, 2, 3")
+def direction_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Seen and unseen halves in both directions, averaged to one row a reader, part and pool."""
+    found = _directions(spark, sf).groupBy("participant_id", "part", "pool").agg(F.count("eye_score").alias("directions"), F.avg("eye_score").alias("eye_score"))
+    return rounded_all(found, 6, "eye_score")
+
+
+@query(_PARTED + """, k AS (SELECT DISTINCT L1 AS fold FROM d), x AS (SELECT fold, d.* FROM k JOIN d ON d.L1 <> fold WHERE e IS NOT NULL),
+a AS (SELECT part, pool, direction, fold, regr_slope(e, score) b, regr_intercept(e, score) c FROM x GROUP BY 1, 2, 3, 4),
+r AS (SELECT part, pool, direction, fold, regr_slope(e - c - b * score, distance) AS alpha FROM x JOIN a USING (part, pool, direction, fold) GROUP BY 1, 2, 3, 4)
+SELECT participant_id, part, pool, round(avg(e - alpha * distance), 5) + 0.0 AS debiased FROM (SELECT *, L1 AS fold FROM d) d JOIN r USING (part, pool, direction, fold) GROUP BY 1, 2, 3""")
+def direction_debiased(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrected inside each direction by fits outside the reader's language, then averaged over directions."""
+    found = keep(_directions(spark, sf).where("eye_score is not null").join(roles.readers(spark, sf), "participant_id"))
+    out = debias.debias_by_fold(with_distance(found), "eye_score", "score", "L1", groups=["part", "pool", "direction"])
+    return rounded_all(out.groupBy("participant_id", "part", "pool").agg(F.avg("debiased").alias("debiased")), 5, "debiased")
+
+
+_BY_ITEM = roles.SQL + """, h AS (SELECT participant_id, paragraph, avg(ff) ff, avg(fp) fp, avg(tf) tf, avg(rp) rp, avg(sk) sk, avg(rr) rr FROM words0 GROUP BY 1, 2),
+l AS (SELECT native, u.*, paragraph % 2 AS side FROM (UNPIVOT h ON ff, fp, tf, rp, sk, rr INTO NAME feature VALUE value) u JOIN meta USING (participant_id)),
+r AS (SELECT * FROM l WHERE NOT native),
+seen AS (SELECT participant_id, paragraph, feature, value, count(*) OVER w - 1 AS n, (sum(value) OVER w - value) / (count(*) OVER w - 1) AS m, sum(value * value) OVER w - value * value AS q FROM r WINDOW w AS (PARTITION BY paragraph, feature)),
+own AS (SELECT participant_id, side, feature, count(*) c, sum(value) t, sum(value * value) u FROM r GROUP BY 1, 2, 3),
+tot AS (SELECT side, feature, count(*) c, sum(value) t, sum(value * value) u FROM r GROUP BY 1, 2),
+unseen AS (SELECT r.participant_id, r.paragraph, r.side, r.feature, r.value, tot.c - own.c AS n, (tot.t - own.t) / (tot.c - own.c) AS m, tot.u - own.u AS q FROM r JOIN own USING (participant_id, side, feature) JOIN tot USING (side, feature) WHERE tot.c - own.c > 1),
+ns AS (SELECT paragraph, feature, avg(value) p FROM l WHERE native GROUP BY 1, 2), nu AS (SELECT side, feature, avg(value) p FROM l WHERE native GROUP BY 1, 2),
+c AS (SELECT 'SEEN' AS pool, participant_id, paragraph, value, m, sqrt((q - n * m * m) / (n - 1)) AS s, p FROM seen JOIN ns USING (paragraph, feature) WHERE n > 1
+  UNION ALL SELECT 'UNSEEN', participant_id, paragraph, value, m, sqrt((q - n * m * m) / (n - 1)), p FROM unseen JOIN nu ON nu.side = 1 - unseen.side AND nu.feature = unseen.feature)"""
+
+
+@query(_BY_ITEM + """, e AS (SELECT pool, participant_id, paragraph, sum((value - m) / s * (p - m) / s) / sqrt(sum(((value - m) / s) * ((value - m) / s)) * sum(((p - m) / s) * ((p - m) / s))) AS e FROM c GROUP BY 1, 2, 3 HAVING count(*) > 1)
+SELECT pool, participant_id, count(*) AS items, round(avg(e), 5) + 0.0 AS eye_score FROM e GROUP BY 1, 2""")
+def item_direction_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Items by parity, each scored without its reader, averaged over items and directions."""
+    w = roles.words(spark, sf, numbered=False)
+    wide = keep(features.metric_means(w, ["participant_id", "paragraph"], {m: m for m in FEATURES}).join(roles.readers(spark, sf).select("participant_id", "native"), "participant_id").withColumn("side", F.col("paragraph") % 2))
+    long = scoring.long_features(wide, ["participant_id", "paragraph", "side", "native"], FEATURES).where("value is not null")
+    found = scoring.item_direction_scores(long.where("not native"), long.where("native"), "participant_id", "paragraph", "side")
+    return rounded_all(found.groupBy("pool", "participant_id").agg(F.count(F.lit(1)).alias("items"), F.avg("eye_score").alias("eye_score")), 5, "eye_score")

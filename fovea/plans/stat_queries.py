@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fovea import sources
 from fovea.functions import report
-from fovea.operators import filters, joins, reliability, splits, stats
+from fovea.operators import filters, joins, ranks, reliability, splits, stats
 from fovea.operators.windows import average_rank
 from fovea.plans import roles
 from fovea.plans.registry import query, rounded_all
@@ -44,6 +44,23 @@ def spearman_avg_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_all(stats.spearman(scores(spark, sf), "eye_score", "score", ["content_group"]), 6, "spearman_r")
 
 
+@query("""
+SELECT o_orderkey, rank() OVER (ORDER BY o_orderpriority) + (count(*) OVER (PARTITION BY o_orderpriority) - 1) / 2.0::DOUBLE AS place,
+  row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders""")
+def overall_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all orders: the rank of the priority, whose ties are a fifth of the rows, and the place by price."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    out = ranks.positions(ranks.average_ranks(orders, "o_orderpriority", "place"), F.desc("o_totalprice"), "o_orderkey")
+    return out.select("o_orderkey", "place", "position")
+
+
+@query(W + """, k AS (SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 a, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 b FROM lineitem)
+SELECT count(*) AS n, round(corr(a, b), 6) + 0.0 AS spearman_r FROM k""")
+def spearman_overall(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all line items at once; the quantity has fifty values."""
+    return rounded_all(stats.spearman(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity"), 6, "spearman_r")
+
+
 @query("""
 SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) + (count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1) / 2.0::DOUBLE AS place FROM orders""")
 def average_ranks(spark: SparkSession, sf: str) -> DataFrame:
