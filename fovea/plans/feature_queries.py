@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fovea import sources
 from fovea.functions import scalars as S
 from fovea.operators import features, filters, joins, windows
 from fovea.plans import roles
@@ -309,3 +310,12 @@ def turn_order(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 2""")
 def second_order(spark: SparkSession, sf: str) -> DataFrame:
     return windows.nth(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 2).select("o_custkey", "o_orderkey", "o_orderdate")
+
+
+_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, count({c}) AS filled FROM lineitem""" for c in _NUMBERS))
+def footer_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """What the files' footers say of the line items' numbers."""
+    return sources.column_ranges(spark, f"{sf}/lineitem.parquet", _NUMBERS)

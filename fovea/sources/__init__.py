@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import contextlib
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,8 +103,66 @@ def aligned_union(a: DataFrame, b: DataFrame, tag: str, names: tuple[str, str],
     return side(a, names[0]).unionByName(side(b, names[1]))
 
 
+_FOOTERS = {"spark.sql.parquet.aggregatePushdown": "true", "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text"}
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def column_ranges(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """column, low, high (doubles), filled (values that are there) of a Parquet table's numeric columns, from the files' footers.
+
+    Spark answers minima, maxima and counts from the statistics of row groups, in tasks, without reading data pages.
+    Files may lack them, as for columns that hold a NaN: such columns are found by halving the list and read
+    themselves; NaN then is no value. The driver gets a line a column.
+    """
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+    rows: list[tuple] = []
+
+    def asked(df: DataFrame, names: Sequence[str], clean: bool) -> list[tuple]:
+        value = lambda c: F.nanvl(F.col(c), F.lit(None)) if clean and kinds[c] in ("float", "double") else F.col(c)
+        one = df.agg(*[f(value(c)).alias(f"{i}_{j}") for i, c in enumerate(names) for j, f in enumerate((F.min, F.max, F.count))]).first()
+        number = lambda v: None if v is None else float(v)
+        return [(c, number(one[3 * i]), number(one[3 * i + 1]), one[3 * i + 2]) for i, c in enumerate(names)]
+
+    def from_footers(names: Sequence[str]) -> list[str]:
+        """Adds the columns whose statistics are complete; the others."""
+        try:
+            rows.extend(asked(table, names, False))
+            return []
+        except Exception as missing:  # the reader stops where a row group lacks statistics
+            if "spark.sql.parquet.aggregatePushdown" not in str(missing):
+                raise
+            half = len(names) // 2
+            return list(names) if not half else from_footers(names[:half]) + from_footers(names[half:])
+
+    with _settings(spark, _FOOTERS):
+        table = spark.read.parquet(path)
+        kinds = dict(table.dtypes)
+        wanted = [c for c in (columns or table.columns) if kinds[c] in numeric]
+        left = from_footers(wanted) if wanted else []
+    if left:
+        rows.extend(asked(spark.read.parquet(path), left, True))
+    order = {c: i for i, c in enumerate(wanted)}
+    return spark.createDataFrame(sorted(rows, key=lambda r: order[r[0]]), "column string, low double, high double, filled long")
+
+
+def live_columns(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> list[str]:
+    """The numeric columns with any value but 0 and NaN, by `column_ranges`."""
+    return [r["column"] for r in column_ranges(spark, path, columns).collect() if r["filled"] and r["low"] is not None and (r["low"] != 0 or r["high"] != 0)]
+
+
 def live_features(long: DataFrame, corpus: str, feature: str = "feature", value: str = "value") -> DataFrame:
-    """corpus, features: how many have any non-zero value."""
+    """corpus, features: how many of a long table have any non-zero value. For wide Parquet: `live_columns`."""
     return long.where(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(corpus).agg(F.countDistinct(feature).alias("features"))
 
 
