@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fovea.plans import feature_queries, scheme_queries, score_queries, stat_queries  # noqa: F401  they register themselves
+from fovea.plans import feature_queries, line_queries, scheme_queries, score_queries, stat_queries  # noqa: F401  they register themselves
 from fovea.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP = "prototype_cosine"

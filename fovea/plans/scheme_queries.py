@@ -201,10 +201,9 @@ def per_text_ridge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _windowed(spark: SparkSession, sf: str) -> DataFrame:
-    """Readers of the first two paragraphs, a row a paragraph as the window."""
-    rows = _items(spark, sf).where("paragraph <= 2")
-    both = rows.groupBy("participant_id").agg(F.count(F.lit(1)).alias("c")).where("c = 2").select("participant_id")
-    return keep(rows.join(both, "participant_id"))
+    """A row a reader and paragraph as the window, of all readers of the first paragraph."""
+    rows = _items(spark, sf)
+    return keep(rows.join(rows.where("paragraph = 1").select("participant_id"), "participant_id", "left_semi"))
 
 
 @query()
@@ -254,12 +253,12 @@ def window_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT c_custkey AS k, 'f' || (c_custkey % 3) AS fs, 'm' || (c_nationkey % 2) AS model FROM customer WHERE c_custkey <= 60)
+WITH e AS (SELECT DISTINCT c_nationkey * 3 + c_custkey % 3 AS k, 'f' || (c_custkey % 3) AS fs, 'm' || (c_nationkey % 2) AS model FROM customer)
 SELECT a.k AS a, b.k AS b, a.fs = 'f0' OR b.fs = 'f0' AS is_baseline, a.fs = b.fs AND (a.model = 'm0') <> (b.model = 'm0') AS is_ridge FROM e a JOIN e b ON a.k < b.k""")
 def pair_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of the sixty result entries that a sweep compares."""
-    c = table(spark, sf, "customer").where("c_custkey <= 60")
-    e = c.select(F.col("c_custkey").alias("k"), F.concat(F.lit("f"), (F.col("c_custkey") % 3).cast("string")).alias("fs"), F.concat(F.lit("m"), (F.col("c_nationkey") % 2).cast("string")).alias("model"))
+    """Pairs of the result entries that a sweep compares: one for each nation and feature set."""
+    c = table(spark, sf, "customer")
+    e = c.select((F.col("c_nationkey") * 3 + F.col("c_custkey") % 3).alias("k"), F.concat(F.lit("f"), (F.col("c_custkey") % 3).cast("string")).alias("fs"), F.concat(F.lit("m"), (F.col("c_nationkey") % 2).cast("string")).alias("model")).distinct()
     a, b = (e.select(*[F.col(c).alias(f"{c}_{side}") for c in e.columns]) for side in "ab")
     pairs = a.join(F.broadcast(b), F.col("k_a") < F.col("k_b"))
     return stats.pair_kinds(pairs, "fs_a", "fs_b", "model_a", "model_b", "f0", "m0").select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "is_baseline", "is_ridge")
