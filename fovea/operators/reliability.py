@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fovea.operators import crossed
 from fovea.operators.stats import pearson
+from fovea.sources.shared import keep
 
 
 def one_per_cell(df: DataFrame, who: str, item: str, value: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -23,12 +24,22 @@ def complete_only(cells: DataFrame, who: str, item: str, groups: Sequence[str] =
     return cells.join(joined.where("_n = _k").select(*groups, who), [*groups, who], "left_semi")
 
 
+def margins(cells: DataFrame, who: str, item: str, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, side (0 person, 1 item, 2 all), c, s, ss, v of the cells by person, by item and in all: one pass over them."""
+    sets = [[F.col(c) for c in (*groups, *more)] for more in ((who,), (item,), ())]
+    value = F.col("value")
+    rows = cells.groupingSets(sets, *groups, who, item).agg(F.grouping(who).alias("_w"), F.grouping(item).alias("_i"), F.count(F.lit(1)).alias("c"), F.sum(value).alias("s"), F.sum(value * value).alias("ss"), F.var_samp(value).alias("v"))
+    return rows.select(*groups, F.when(F.col("_w") == 0, 0).when(F.col("_i") == 0, 1).otherwise(2).alias("side"), "c", "s", "ss", "v")
+
+
+def _of(side: int, c: str | Column) -> Column:
+    return F.when(F.col("side") == side, F.col(c) if isinstance(c, str) else c)
+
+
 def cronbach_alpha(df: DataFrame, who: str, item: str, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups, items, people, alpha = k/(k-1) * (1 - sum of item variances / variance of totals of what people have)."""
-    cells = one_per_cell(df, who, item, value, groups)
-    items = cells.groupBy(*groups, item).agg(F.var_samp("value").alias("v")).groupBy(*groups).agg(F.count(F.lit(1)).alias("items"), F.sum("v").alias("parts"))
-    totals = cells.groupBy(*groups, who).agg(F.sum("value").alias("t")).groupBy(*groups).agg(F.count(F.lit(1)).alias("people"), F.var_samp("t").alias("whole"))
-    both = items.join(totals, list(groups)) if groups else items.crossJoin(F.broadcast(totals))
+    both = margins(one_per_cell(df, who, item, value, groups), who, item, groups).groupBy(*groups)
+    both = both.agg(F.count(_of(1, "c")).alias("items"), F.count(_of(0, "c")).alias("people"), F.sum(_of(1, "v")).alias("parts"), F.var_samp(_of(0, "s")).alias("whole")).where("people > 0")
     k = F.col("items")
     return both.select(*groups, "items", "people", F.when((k > 1) & (F.col("people") > 1), k / (k - 1) * (1 - F.try_divide(F.col("parts"), F.when(F.col("whole") > 0, F.col("whole"))))).alias("alpha"))
 
@@ -56,13 +67,12 @@ def split_half(df: DataFrame, halves: DataFrame, who: str, item: str, value: str
 
 def icc(df: DataFrame, who: str, item: str, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups, items, people and the six coefficients icc1, icc2, icc3, icc1k, icc2k, icc3k over complete people."""
-    cells = complete_only(one_per_cell(df, who, item, value, groups), who, item, groups)
-    square = lambda keys: cells.groupBy(*groups, *keys).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("c")).groupBy(*groups)
-    people = square([who]).agg(F.count(F.lit(1)).alias("people"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("by_who"))
-    items = square([item]).agg(F.count(F.lit(1)).alias("items"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("by_item"))
-    whole = cells.groupBy(*groups).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count(F.lit(1)).alias("c"))
-    j = (lambda a, b: a.join(b, list(groups))) if groups else (lambda a, b: a.crossJoin(F.broadcast(b)))
-    t = j(j(people, items), whole)
+    cells = complete_only(keep(one_per_cell(df, who, item, value, groups)), who, item, groups)
+    square = F.col("s") * F.col("s") / F.col("c")
+    t = margins(cells, who, item, groups).groupBy(*groups).agg(
+        F.count(_of(0, "c")).alias("people"), F.sum(_of(0, square)).alias("by_who"), F.count(_of(1, "c")).alias("items"), F.sum(_of(1, square)).alias("by_item"),
+        F.max(_of(2, "s")).alias("s"), F.max(_of(2, "ss")).alias("ss"), F.max(_of(2, "c")).alias("c"),
+    )
     n, k, base = F.col("people"), F.col("items"), F.col("s") * F.col("s") / F.col("c")
     t = t.where("people > 1 and items > 1").withColumns({"msr": (F.col("by_who") - base) / (n - 1), "msc": (F.col("by_item") - base) / (k - 1), "msw": (F.col("ss") - F.col("by_who")) / (n * (k - 1)), "mse": (F.col("ss") - F.col("by_who") - F.col("by_item") + base) / ((n - 1) * (k - 1))})
     r, c, w, e = (F.col(x) for x in ("msr", "msc", "msw", "mse"))

@@ -31,12 +31,14 @@ def prototype(natives: DataFrame, stats: DataFrame, groups: Sequence[str] = ())
     return scaled(means, stats, groups).select(*groups, "feature", F.col("z").alias("p"))
 
 
-def cosine(z: DataFrame, proto: DataFrame, keys: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """keys, eye_score: cosine over cells that both have; with a single feature the z itself; null without overlap."""
+def cosine(z: DataFrame, proto: DataFrame, keys: Sequence[str], groups: Sequence[str] = (), kinds: Sequence[str] = ()) -> DataFrame:
+    """keys, eye_score: cosine over cells that both have; with a single feature the z itself; null without overlap.
+
+    `kinds`: keys that tell several prototypes of a group apart."""
     both = z.join(proto, [*groups, "feature"]).where("z is not null and p is not null")
     sums = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("z").alias("one"), F.sum(F.col("z") * F.col("p")).alias("zp"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.col("p") * F.col("p")).alias("pp"))
-    width = proto.groupBy(*groups).agg(F.count("p").alias("_w"))
-    sums = sums.join(width, list(groups)) if groups else sums.crossJoin(F.broadcast(width))
+    width = proto.groupBy(*groups, *kinds).agg(F.count("p").alias("_w"))
+    sums = sums.join(width, [*groups, *kinds]) if groups or kinds else sums.crossJoin(F.broadcast(width))
     norm = F.sqrt(F.col("zz") * F.col("pp"))
     return sums.select(*keys, F.when(F.col("_w") == 1, F.col("one")).otherwise(F.try_divide(F.col("zp"), F.when(norm > 0, norm))).alias("eye_score"))
 
@@ -74,28 +76,33 @@ def leave_one_out_cosine(readers: DataFrame, natives: DataFrame, who: str) -> Da
     return own.groupBy(who).agg(F.when(F.count(F.lit(1)) == 1, F.first("z")).otherwise(F.try_divide(F.sum(F.col("z") * F.col("p")), F.when(norm > 0, norm))).alias("eye_score"))
 
 
-def pooled(readers: DataFrame, natives: DataFrame, who: str, group: str, pool: str, batch: str | None = None) -> DataFrame:
-    """Scores against natives of all groups (ALL), the reader's own group (SEEN), or other batches or groups (UNSEEN).
+def by_pool(readers: DataFrame, natives: DataFrame, who: str, group: str, pools: Sequence[str], batch: str | None = None) -> DataFrame:
+    """who, group, pool, eye_score against natives of all groups (ALL), the reader's own group (SEEN), or other batches or
+    groups (UNSEEN).
 
-    Natives are summed once by feature and group or batch; UNSEEN is all sums less the own.
+    Natives are summed once by feature and group; the pools' means are those sums, all of them and all less the own
+    batch's, and readers are scaled once for all pools.
     """
-    side = group if pool == "SEEN" else batch or group
-    sums = natives.groupBy(side, "feature").agg(F.sum("value").alias("own"), F.count("value").alias("own_n"))
+    sides = F.broadcast(readers.select(group, *([batch] if batch else [])).distinct())
+    sums = natives.groupBy(group, *([batch] if batch else []), "feature").agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+    whole = sums.groupBy("feature").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
+    total = lambda key, name: sums.groupBy(key, "feature").agg(F.sum("s").alias(f"{name}_s"), F.sum("n").alias(f"{name}_n"))
+    means = whole.crossJoin(sides).join(total(group, "own"), [group, "feature"], "left")  # a row a feature and group, as the prototypes are
+    if batch:
+        means = means.join(total(batch, "side"), [batch, "feature"], "left")
+    side = "side" if batch else "own"
+    rest = lambda c: F.col(f"all_{c}") - F.coalesce(f"{side}_{c}", F.lit(0))
+    value = {"ALL": F.try_divide("all_s", "all_n"), "SEEN": F.try_divide("own_s", "own_n"), "UNSEEN": F.try_divide(rest("s"), rest("n"))}
+    means = means.withColumn("_m", F.explode(F.array(*[F.struct(F.lit(p).alias("pool"), value[p].alias("value")) for p in pools])))
+    means = means.select(group, "feature", "_m.pool", "_m.value").where("value is not null").distinct()
     stats = feature_stats(readers, [group])
-    if pool == "SEEN":
-        means = sums.select(group, "feature", F.try_divide("own", "own_n").alias("value"))
-    else:
-        whole = sums.groupBy("feature").agg(F.sum("own").alias("all"), F.sum("own_n").alias("all_n"))
-        sides = F.broadcast(readers.select(group, *[c for c in (side,) if c != group]).distinct())
-        means = whole.crossJoin(sides)  # a row a feature and group, as the prototypes are
-        if pool == "UNSEEN":
-            means = means.join(sums, [side, "feature"], "left")
-            value = F.try_divide(F.col("all") - F.coalesce("own", F.lit(0.0)), F.col("all_n") - F.coalesce("own_n", F.lit(0)))
-        else:
-            value = F.try_divide("all", "all_n")
-        means = means.select(group, "feature", value.alias("value")).where("value is not null").distinct()
-    proto = scaled(means, stats, [group]).select(group, "feature", F.col("z").alias("p"))
-    return cosine(scaled(readers.select(who, group, "feature", "value"), stats, [group]), proto, [who, group], [group])
+    proto = scaled(means, stats, [group]).select(group, "feature", "pool", F.col("z").alias("p"))
+    return cosine(scaled(readers.select(who, group, "feature", "value"), stats, [group]), proto, [who, group, "pool"], [group], ["pool"])
+
+
+def pooled(readers: DataFrame, natives: DataFrame, who: str, group: str, pool: str, batch: str | None = None) -> DataFrame:
+    """who, group, eye_score of one pool."""
+    return by_pool(readers, natives, who, group, [pool], batch).drop("pool")
 
 
 POOLS = ("SEEN", "UNSEEN")

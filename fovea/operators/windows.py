@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,24 +62,33 @@ def id_windows(df: DataFrame, who: str, item: str, size: int) -> DataFrame:
 def go_past(df: DataFrame, trial: Sequence[str], order: Sequence[str], word: str, duration: str) -> DataFrame:
     """For each fixated word: the time from its first fixation up to the first fixation to its right.
 
-    Fixations without a word or off the text (negative) are left out. A trial's fixations are one ordered array, which
-    is folded once for each distinct word; only the word and its time leave the row, the path is never copied.
+    Fixations without a word or off the text (negative) are left out. A trial's fixations are one ordered array, walked
+    once from its end with a stack of the words that still lie to the right.
     """
     on_text = df.where(F.col(word).isNotNull() & (F.col(word) >= 0))
     path = F.array_sort(F.collect_list(F.struct(*order, F.col(word).alias("_word"), F.coalesce(F.col(duration).cast("double"), F.lit(0.0)).alias("_time"))))
-    trials = on_text.groupBy(*trial).agg(path.alias("_path")).withColumn("_words", F.array_distinct(F.transform("_path", lambda f: f["_word"])))
-    start = F.struct(F.lit(False).alias("begun"), F.lit(False).alias("over"), F.lit(0.0).alias("time"))
-
-    def time_of(w: Column) -> Column:
-        def step(state: Column, fixation: Column) -> Column:
-            begun = state["begun"] | (fixation["_word"] == w)
-            over = state["over"] | (state["begun"] & (fixation["_word"] > w))
-            return F.struct(begun.alias("begun"), over.alias("over"), (state["time"] + F.when(begun & ~over, fixation["_time"]).otherwise(0.0)).alias("time"))
-
-        return F.struct(w.alias("word"), F.aggregate("_path", start, step, lambda s: s["time"]).alias("time"))
-
-    found = trials.select(*trial, F.explode(F.transform("_words", time_of)).alias("_f"))
-    return found.select(*trial, F.col("_f.word").alias(word), F.col("_f.time").alias("go_past"))
+    trials = on_text.groupBy(*trial).agg(path.alias("_path"))
+    trials = trials.select(*trial, F.col("_path._word").alias("_word"), F.col("_path._time").alias("_time"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, times = (batch.column(batch.schema.get_field_index(c)) for c in ("_word", "_time"))
+            row, found, past = [], [], []
+            for k, (own, spent) in enumerate(zip(words.to_pylist(), times.to_pylist(), strict=True)):
+                so_far, ends, right = [0.0, *itertools.accumulate(spent)], {}, []
+                for i in range(len(own) - 1, -1, -1):
+                    while right and own[right[-1]] <= own[i]:
+                        right.pop()
+                    ends[own[i]] = (i, right[-1] if right else len(own))  # the earliest place stays
+                    right.append(i)
+                row += [k] * len(ends)
+                found += ends
+                past += [so_far[end] - so_far[first] for first, end in ends.values()]
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).take(at) for c in trial), pa.array(found, words.type.value_type), pa.array(past, pa.float64())], names=[*trial, word, "go_past"])
+
+    kinds = dict(df.dtypes)
+    return trials.mapInArrow(walk, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*trial, word)), "go_past double"]))
 
 
 def running_number(df: DataFrame, who: Sequence[str], order: Sequence[str], name: str = "window_index") -> DataFrame:

@@ -80,10 +80,7 @@ SELECT participant_id, zz.g AS content_group, pool, round(sum(z * p) / sqrt(sum(
 FROM zz JOIN pr ON zz.g = pr.g AND zz.feature = pr.feature GROUP BY 1, 2, 3""")
 def seen_unseen_cosine(spark: SparkSession, sf: str) -> DataFrame:
     second, native = feature_rows(spark, sf)
-    out = None
-    for pool in ("ALL", "SEEN", "UNSEEN"):
-        one = scoring.pooled(second, native, "participant_id", "content_group", pool).withColumn("pool", F.lit(pool))
-        out = one if out is None else out.unionByName(one)
+    out = scoring.by_pool(second, native, "participant_id", "content_group", ("ALL", "SEEN", "UNSEEN"))
     return rounded_all(out, 6, "eye_score")
 
 
