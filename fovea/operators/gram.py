@@ -351,16 +351,16 @@ def _answered(found: DataFrame, test: DataFrame, keys: Sequence[str], who: str,
     return out.select(*names, "true", "pred")
 
 
-def predicted(rows: DataFrame, test: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str] = (), apart: Sequence[str] = (), alphas: Sequence[float] = (0.0,), left_out: bool = False, strict: bool = False) -> DataFrame:
+def predicted(rows: DataFrame, test: DataFrame, who: str, target: str, columns: Sequence[str], groups: Sequence[str] = (), apart: Sequence[str] = (), alphas: Sequence[float] = (0.0,), left_out: bool = False, strict: bool = False, sums: Callable[..., DataFrame] | None = None) -> DataFrame:
     """groups, apart, who, true, pred of all test rows.
 
     A test row is predicted from the rows of its groups that differ from it in every `apart` column (one or two), by
     ridge with the alpha of least exact leave-one-out error among them; alpha 0 is least squares. `left_out`: from all
     other rows of its groups instead. `strict`: null where the system is singular, else the least solution. Without
-    two rows to learn from, pred is null.
+    two rows to learn from, pred is null. `sums` replaces `sums_by`, such as a store's.
     """
     keys, k = [*groups, *apart], len(columns)
-    own = sums_by(rows, keys, target, columns)
+    own = (sums or sums_by)(rows, keys, target, columns)
     if apart:
         own = outside(keep(own), groups, apart)
     found = keep(systems(own, keys, k))
