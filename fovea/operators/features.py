@@ -6,9 +6,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fovea.operators import gram
+
 
 def reading_speed(words: DataFrame, who: Sequence[str], trial: str, duration: str) -> DataFrame:
     """Words per minute: all words over the sum of the trials' durations (milliseconds, one value a trial)."""
@@ -56,11 +59,34 @@ def _solve(moments: Sequence[str], response: Sequence[str], size: int, names: Se
     return run
 
 
+NARROW = 8
+
+
+def _wide_coefficients(full: DataFrame, who: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
+    k, names = len(xs), ["b_0", *[f"b_{x}" for x in xs]]
+    blocks = gram.sums_by(full, who, y, xs)
+    kept = [f for f in blocks.schema.fields if f.name in who]
+
+    def solve(table: pa.Table) -> pa.Table:
+        sums = gram.Sums.unpacked(k, zip(*(table.column(c).to_pylist() for c in ("i", "j", "payload")), strict=True))
+        n, total, _ = sums.head
+        square = np.block([[np.array([[n]]), np.diag(sums.first)[None, :]], [np.diag(sums.first)[:, None], sums.product]])
+        fits = np.linalg.matrix_rank(square) == k + 1
+        found = np.linalg.solve(square, np.concatenate([[total], sums.xy])) if fits else [None] * (k + 1)
+        return pa.table({f.name: table.column(f.name).slice(0, 1) for f in kept} | {"n_rows": pa.array([int(n)])} | {c: pa.array([v], pa.float64()) for c, v in zip(names, found, strict=True)})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_rows long", *(f"`{n}` double" for n in names)])
+    return blocks.groupBy(*who).applyInArrow(solve, schema)
+
+
 def linear_coefficients(df: DataFrame, who: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """Least squares of y on xs with an intercept for each group: b_0 and one b_<x>; null if not determined.
 
     Sums of products are Spark aggregates with partial sums in the map side; only a small system a group is solved.
+    Beyond NARROW columns the sums are blocks (`gram`), so the plan doesn't grow with their square.
     """
+    if len(xs) > NARROW:
+        return _wide_coefficients(df.dropna(subset=[y, *xs]), who, y, xs)
     terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
     full = df.dropna(subset=[y, *xs])
     moments, response = [], []

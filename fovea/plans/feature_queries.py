@@ -9,7 +9,7 @@ from fovea import sources
 from fovea.functions import scalars as S
 from fovea.operators import features, filters, joins, windows
 from fovea.plans import roles
-from fovea.plans.registry import query, rounded, rounded_all
+from fovea.plans.registry import least_squares, query, rounded, rounded_all
 from fovea.sources import table
 
 W = roles.SQL
@@ -285,9 +285,12 @@ def wp_coefs_ols(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_all(df.where("b_0 is not null"), 4, "b_0", "b_word_length")
 
 
-@query()
+@query(W + ", " + least_squares("words0", "participant_id", "fp", ["word_length", "frequency", "surprisal"]) + """
+SELECT participant_id, n AS n_rows, round(b_0, 3) + 0.0 AS b_0, round(b_1, 3) + 0.0 AS b_word_length, round(b_2, 2) + 0.0 AS b_frequency, round(b_3, 2) + 0.0 AS b_surprisal FROM ls WHERE n >= 8""")
 def wp_coefs_three(spark: SparkSession, sf: str) -> DataFrame:
-    return features.linear_coefficients(roles.words(spark, sf, numbered=False), ["participant_id"], "fp", ["word_length", "frequency", "surprisal"])
+    """Of readers with twice as many words as coefficients."""
+    out = features.linear_coefficients(roles.words(spark, sf, numbered=False), ["participant_id"], "fp", ["word_length", "frequency", "surprisal"]).where("n_rows >= 8")
+    return rounded_all(rounded_all(out, 3, "b_0", "b_word_length"), 2, "b_frequency", "b_surprisal")
 
 
 @query()

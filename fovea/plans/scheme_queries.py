@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fovea.functions import scalars
 from fovea.operators import budgets, debias, features, filters, joins, kernel, reliability, schemes, scoring, splits, stats
 from fovea.plans import roles
-from fovea.plans.registry import query, rounded, rounded_all
+from fovea.plans.registry import least_squares, query, rounded, rounded_all
 from fovea.plans.score_queries import _ACROSS, _SCORES, _WIDE, FEATURES, feature_rows, scores, wide_rows, with_distance
 from fovea.plans.stat_queries import _CELLS, _WIDE2, _cells
 from fovea.sources import table
@@ -63,9 +63,11 @@ def random_l1_by_fold(spark: SparkSession, sf: str) -> DataFrame:
     return debias.effects_by_fold(_folded(spark, sf), "eye_score", "score", "fold", how="random").select("participant_id", "L1", "debiased")
 
 
-@query()
+@query(_ACROSS + """, q AS (SELECT fold, eye_score AS y, score AS t, distance AS d, score * distance AS td FROM tr), """ + least_squares("q", "fold", "y", ["t", "d", "td"]) + """, c AS (SELECT fold, avg(t) AS mt, avg(d) AS md FROM q GROUP BY 1)
+SELECT participant_id, L1, round(b_2 + b_3 * mt, 6) + 0.0 AS alpha, round(eye_score - (b_2 + b_3 * mt) * (distance - md), 6) + 0.0 AS debiased FROM ds JOIN ls ON L1 = ls.fold JOIN c ON c.fold = ls.fold""")
 def interaction_by_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return debias.interaction_by_fold(_folded(spark, sf), "eye_score", "score", "L1", centre=True).select("participant_id", "L1", "alpha", "debiased")
+    out = debias.interaction_by_fold(_folded(spark, sf), "eye_score", "score", "L1", centre=True)
+    return rounded_all(out.select("participant_id", "L1", "alpha", "debiased"), 6, "alpha", "debiased")
 
 
 CORRECTIONS = (

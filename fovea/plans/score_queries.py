@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fovea.operators import debias, distances, features, models, schemes, scoring, splits
 from fovea.plans import roles
-from fovea.plans.registry import query, rounded, rounded_all
+from fovea.plans.registry import least_squares, query, rounded, rounded_all
 from fovea.sources import table
 from fovea.sources.shared import keep
 
@@ -129,9 +129,11 @@ def debias_inside(spark: SparkSession, sf: str) -> DataFrame:
     return debias.debias_by_fold(df.join(folds.select("participant_id", "fold"), "participant_id"), "eye_score", "score", "fold").select("participant_id", "L1", "fold", "alpha", "debiased")
 
 
-@query()
+@query(_SCORES + """, q AS (SELECT content_group, eye_score AS y, score - avg(score) OVER w AS t, distance - avg(distance) OVER w AS d FROM ds WINDOW w AS (PARTITION BY content_group)), q2 AS (SELECT *, t * d AS td FROM q), """
+  + least_squares("q2", "content_group", "y", ["t", "d", "td"]) + " SELECT content_group, n AS n_rows, round(b_0, 6) + 0.0 AS b_0, round(b_1, 9) + 0.0 AS b_t, round(b_2, 6) + 0.0 AS b_d, round(b_3, 9) + 0.0 AS b_td FROM ls")
 def interaction_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return debias.interaction(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"])
+    out = debias.interaction(with_distance(scores(spark, sf)), "eye_score", "score", ["content_group"])
+    return rounded_all(rounded_all(out, 6, "b_0", "b_d"), 9, "b_t", "b_td")
 
 
 @query(_SCORES + """, w AS (SELECT L1, avg(eye_score) my, avg(score) mt, regr_sxx(eye_score, score) sxx, regr_sxy(eye_score, score) sxy FROM ds GROUP BY 1),
@@ -205,9 +207,16 @@ def ridge_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return schemes.predicted_by_fold(_model_rows(spark, sf), "participant_id", "score", FEATURES, "L1")
 
 
-@query()
+_FILLED = [f"coalesce({f}, avg({f}) OVER (PARTITION BY fold)) AS {f}" for f in FEATURES]
+
+
+@query(_WIDE + ", mr AS (SELECT * FROM wide JOIN meta USING (participant_id) WHERE NOT native), tr0 AS (SELECT fold, mr.* FROM (SELECT DISTINCT L1 AS fold FROM mr) k JOIN mr ON L1 <> fold), tr AS (SELECT fold, score, " + ", ".join(_FILLED) + " FROM tr0), "
+  + least_squares("tr", "fold", "score", list(FEATURES)) + ", mn AS (SELECT fold, " + ", ".join(f"avg({f}) AS m_{f}" for f in FEATURES) + " FROM tr0 GROUP BY fold) "
+  + """SELECT L1, participant_id, score AS "true", round(b_0""" + "".join(f" + b_{i + 1} * coalesce({f}, m_{f})" for i, f in enumerate(FEATURES)) + ", 2) + 0.0 AS pred FROM mr JOIN ls ON L1 = ls.fold JOIN mn ON L1 = mn.fold")
 def ols_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    return schemes.predicted_by_fold(_model_rows(spark, sf), "participant_id", "score", FEATURES, "L1", model="ols")
+    """Least squares on all metrics for each language from all others; a gap counts as the others' mean."""
+    out = schemes.predicted_by_fold(_model_rows(spark, sf), "participant_id", "score", FEATURES, "L1", model="ols")
+    return rounded_all(out, 2, "pred")
 
 
 @query()

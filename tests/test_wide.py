@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fovea.operators import gram, models, schemes
+from fovea.operators import features, gram, models, schemes
 
 
 def wide(spark, n, k, seed=1, gaps=0.0, tasks=4):
@@ -135,3 +135,17 @@ def test_gaps_nulls_and_what_cannot_be_fitted(spark):
     assert models.press(df.limit(0), "who", "y", ["p"]).count() == 0
     pair = models.press(spark.createDataFrame([(1, 1.0, 1.0), (2, 2.0, 2.0)], "who long, y double, p double"), "who", "y", ["p"]).collect()
     assert [r["pred"] for r in pair] == [None, None]
+
+
+def test_coefficients_of_many_columns(spark):
+    df, names, x, y = wide(spark, 120, 12, seed=8)
+    short = df.withColumn("item", F.when(F.col("who") < 5, 9).otherwise(F.col("item")))  # item 9: five rows
+    got = {r["item"]: r for r in features.linear_coefficients(short, ["item"], "y", names).collect()}
+    who = np.arange(120)
+    for t in range(4):
+        at = (who % 4 == t) & (who >= 5)
+        want = np.linalg.lstsq(np.column_stack([np.ones(at.sum()), x[at]]), y[at], rcond=None)[0]
+        assert got[t]["n_rows"] == at.sum() and np.allclose([got[t][c] for c in ["b_0", *(f"b_{n}" for n in names)]], want)
+    assert got[9]["n_rows"] == 5 and got[9]["b_0"] is None
+    plans = [len(features.linear_coefficients(df, ["item"], "y", names[:k])._jdf.queryExecution().optimizedPlan().toString()) for k in (9, 12)]
+    assert plans[1] < 1.5 * plans[0]
