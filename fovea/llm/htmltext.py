@@ -9,7 +9,8 @@ The labeller is learned from a sample of at most about `max_train_pages` pages a
 blocks are labelled by several signals (`page_labels`): what their elements are called, where the page's prose
 stands, runs of links outside it. Composed pages know their labels by construction: some have speaking names, some
 have none at all, and in some the article stands in an element called like an aside, so that names alone decide
-nothing and the sequence has to. Learning is one small task; labelling is one pass without a shuffle.
+nothing and the sequence has to. They hold lists of the article's own, remarks after an article that its element has
+closed, and what pages say of themselves. Learning is one small task; labelling is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIMS, WORD_DIMS, MEASURES = 512, 24, 8
+PATH_DIMS, WORD_DIMS, MEASURES = 512, 24, 11
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
 MAX_TRAIN_PAGES = 300
-LEAST_COMPOSED = 900
+LEAST_COMPOSED = 1300
 TRAIN_WINDOW = 128
 
 # Element names of HTML.
@@ -239,6 +240,34 @@ def named_label(block: Block) -> int:
     return block.element.label if block.element else 1
 
 
+# Elements that name the article, those that list, and words of what pages say of themselves.
+MAIN = frozenset(("main", "article"))
+LISTED = frozenset("li dt dd td th figcaption".split())
+SELF_WORDS = frozenset("cookie cookies consent privacy accept copyright rights reserved subscribe newsletter advertisement sponsored comment comments reply posted login terms imprint".split())
+
+
+#: Lines for composed pages; {0} is a year, {1} a name.
+SELF_TALK = (
+    "We use cookies to improve this site. By going on you accept our use of cookies.", "This site uses cookies. Read our privacy policy.", "Your privacy matters: accept all cookies or choose.",
+    "\u00a9 {0} {1}. All rights reserved.", "Copyright {0} {1}", "\u00a9 {1} {0}", "All content copyright {1}, {0}.", "Terms of use and privacy", "Subscribe to our newsletter for more.", "Advertisement", "Sponsored by {1}",
+)
+
+
+def within_main(b: Block) -> bool:
+    at = b.element
+    while at is not None:
+        if at.tag in MAIN:
+            return True
+        at = at.above
+    return False
+
+
+def spoken(text: str) -> float:
+    """How much a block speaks of the page itself: a copyright sign or such words, as a share of its words."""
+    words = [w.lower() for w in _WORDS.findall(text)]
+    return min(1.0, (3 * ("\u00a9" in text) + sum(w in SELF_WORDS for w in words)) / max(4.0, len(words) / 4))
+
+
 def is_prose(b: Block) -> bool:
     """A dozen words or more, few of them links."""
     return b.linked < 0.3 * len(b.text) and b.text.count(" ") >= 11
@@ -293,12 +322,14 @@ def vectors(found: list[Block]) -> np.ndarray:
     in_run = np.zeros(len(found), np.float32)
     for first, end in link_runs(found):
         in_run[first:end] = min(1.0, (end - first) / 8)
+    held = [within_main(b) for b in found]
+    apart = any(h and p for h, p in zip(held, prose, strict=True))
     for k, b in enumerate(found):
         x[k, :PATH_DIMS] = np.minimum(b.element.path(), 2) if b.element else 0
         words = b.text.split()
         hashed = np.bincount([(ord(w[0]) * 31 + ord(w[-1]) * 7 + len(w)) % WORD_DIMS for w in words], minlength=WORD_DIMS)
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = hashed / max(1, len(words))
-        x[k, -MEASURES:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), k / len(found), (b.element.depth if b.element else 0) / 10, named[k], prose[k], outside, in_run[k])
+        x[k, -MEASURES:] = (np.log1p(len(b.text)) / 8, b.linked / len(b.text), k / len(found), (b.element.depth if b.element else 0) / 10, named[k], prose[k], outside, in_run[k], float(apart and not held[k]), spoken(b.text), float(bool(b.element) and b.element.tag in LISTED and not b.linked))
     return x
 
 
@@ -424,6 +455,32 @@ def _composed(rng: np.random.Generator, texts: list[str]) -> tuple[list[Block],
     def noise() -> tuple[str, ...]:
         return (pick(NEUTRAL_WORDS),) if rng.random() < 0.3 else ()
 
+    def said(text: str, names: tuple, label: int, linked: float = 0.0) -> None:
+        out.append(Block(text, chain(names), int(len(text) * linked)))
+        labels.append(label)
+
+    def listed(names: tuple) -> None:
+        """A list of the article's own: short items, now and then links."""
+        tag = pick(("ul", "ol", "ul"))
+        linked = 1.0 if rng.random() < 0.25 else 0.0
+        for _ in range(int(rng.integers(2, 6))):
+            leaf((*names, (tag, ()), ("li", ())), 1, few(7), linked)
+
+    def self_talk(names: tuple) -> None:
+        """What a page says of itself, in elements without speaking names."""
+        tag = pick(("div", "p", "section", "div"))
+        names = (*names, (tag, noise()))
+        for _ in range(1 if rng.random() < 0.6 else 2):
+            said(pick(SELF_TALK).format(pick(("2019", "2021", "2024", "2025")), " ".join(pick(texts).split()[:2])), (*names, ("p", ())) if rng.random() < 0.5 else names, 0)
+
+    def remarks(names: tuple) -> None:
+        """Readers' remarks after an article that its element closes."""
+        names = (*names, (pick(("div", "section", "div")), noise()))
+        if rng.random() < 0.5:
+            leaf((*names, (pick(("h2", "h3", "h4")), ())), 0, few(4))
+        for _ in range(int(rng.integers(1, 5))):
+            leaf((*names, (pick(("p", "div", "p")), ())), 0, None if rng.random() < 0.5 else few(14))
+
     def heading(names: tuple) -> None:
         leaf((*names, (pick(("h1", "h1", "h2")), ())), 1, few())
 
@@ -437,12 +494,17 @@ def _composed(rng: np.random.Generator, texts: list[str]) -> tuple[list[Block],
                 short = rng.random() < 0.6 or not long
                 leaf((*names, (inner, ())) if rng.random() < 0.7 else names, 0, few() if short else None, 1.0 if short and rng.random() < 0.5 else 0.0)
         else:
-            names = (*names, (pick(("div", "ul", "table", "section")), noise()))
-            inner = pick(("li", "td", "div", "p"))
+            if rng.random() < 0.4:
+                names, inner = (*names, (pick(("div", "div", "section")), noise()), ("ul", ())), "li"
+            else:
+                names, inner = (*names, (pick(("div", "ul", "table", "section")), noise())), pick(("li", "td", "div", "p"))
             for _ in range(int(rng.integers(3, 12))):
                 leaf((*names, (inner, ())), 0, few(5), 1.0)
 
+    closed = False
+
     def article(names: tuple) -> None:
+        nonlocal closed
         misled = ((pick(aside_words),) if rng.random() < 0.7 else (pick(aside_words), pick(NEUTRAL_WORDS))) if kind == "misled" else ()
         outer = rng.random() < 0.5
         if outer:
@@ -450,6 +512,7 @@ def _composed(rng: np.random.Generator, texts: list[str]) -> tuple[list[Block],
         tags = ("div", "section") if kind == "misled" else ("article", "main", "div", "section") if kind == "named" else ("div", "div", "section", "td")
         speaking = (pick(ARTICLE_WORDS),) if kind == "named" and rng.random() < 0.5 else ()
         names = (*names, (pick(tags), noise() + speaking + misled))
+        closed = names[-1][0] in MAIN
         if rng.random() < 0.5:
             names = (*names, (pick(tags), noise()))
         if not outer:
@@ -457,17 +520,25 @@ def _composed(rng: np.random.Generator, texts: list[str]) -> tuple[list[Block],
         for k in range(int(rng.integers(2 if kind == "named" else 3, 16))):
             if rng.random() < 0.2 and kind == "named":
                 aside(names)
+            if k > 1 and rng.random() < 0.1:
+                listed(names)
             leaf((*names, (pick(("p", "p", "p", "p", "li", "blockquote", "h2", "h3", "pre", "td", "div")), ())), 1, few(20) if k and rng.random() < 0.2 else None, 0.2 if rng.random() < 0.2 else 0.0)
 
     if rng.random() < 0.7:
         leaf((root[0], ("head", ()), ("title", ())), 0, few())
     if rng.random() < 0.4:
         root = (*root, ("div", noise()))
+    if rng.random() < 0.2:
+        self_talk(root)
     for _ in range(int(rng.integers(0, 5))):
         aside(root, kind != "misled")
     article(root)
+    if closed and rng.random() < 0.5:
+        remarks(root)
     for _ in range(int(rng.integers(0, 5)) if rng.random() < 0.7 else 0):
         aside(root, kind != "misled")
+    if rng.random() < 0.4:
+        self_talk(root)
     return out, np.array(labels)
 
 
