@@ -46,10 +46,10 @@ def ridge_line_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return _reported(schemes.predicted_by_fold(_model_rows(spark, sf), "participant_id", "score", ["ff"], "L1"), "L1", "participant_id")
 
 
-@query(_ridge_sql(_ONE + ", tr AS (SELECT a.participant_id, b.x, b.y FROM r a JOIN r b ON a.L1 = b.L1 AND a.participant_id <> b.participant_id)", "tr", "r", "participant_id", "L1, participant_id"))
+@query(_ridge_sql(_ONE + ", g AS (SELECT * FROM r WHERE L1 IN (SELECT L1 FROM r GROUP BY 1 HAVING count(*) >= 8)), tr AS (SELECT a.participant_id, b.x, b.y FROM g a JOIN g b ON a.L1 = b.L1 AND a.participant_id <> b.participant_id)", "tr", "g", "participant_id", "L1, participant_id"))
 def nested_line(spark: SparkSession, sf: str) -> DataFrame:
-    """Leave one reader out of the language; scale and penalty anew for each."""
-    return _reported(schemes.ridge_leave_one_out("nested", _model_rows(spark, sf), "participant_id", "score", ["ff"], ["L1"], "content_group"), "L1", "participant_id")
+    """Leave one reader out of a language of eight or more; scale and penalty anew for each."""
+    return _reported(schemes.ridge_leave_one_out("nested", splits.large_strata(_model_rows(spark, sf), "L1", 8), "participant_id", "score", ["ff"], ["L1"], "content_group"), "L1", "participant_id")
 
 
 @query(_ridge_sql(_ONE + ", tr AS (SELECT region, x, y FROM r WHERE content_group < 'F'), te AS (SELECT region, participant_id, x, y FROM r WHERE content_group >= 'F')", "tr", "te", "region", "region, participant_id"))
