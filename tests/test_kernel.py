@@ -68,3 +68,28 @@ def test_people_without_cells_targets_or_company(spark):
     assert np.isclose(got[100]["pred"], np.mean(others))  # no cell: the mean of the others
     assert kernel.ridge(cells.limit(0), everyone, "who", "f", "v", "y", ["g"]).count() == 24
     assert kernel.ridge(cells, everyone.limit(0), "who", "f", "v", "y", ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("whole", [1024, 0])
+def test_people_meet_only_along_shared_features(spark, monkeypatch, whole):
+    rng = np.random.default_rng(8)
+    people = [(int(i % 2), i, float(rng.normal()), i // 2 % 3) for i in range(80)]
+    cells = {(i, f"f{j}") for j in range(60) for i in rng.choice(80, 3, replace=False).tolist()} | {(i, f"own{i}") for i in range(80)}
+    held = spark.createDataFrame([(i % 2, i, f, float(rng.normal())) for i, f in sorted(cells)], "g int, who long, f string, v double")
+    listed = spark.createDataFrame(people, "g int, who long, y double, fold int")
+    names = sorted({f for _, f in cells})
+    flat = pivoted(held, listed)
+    monkeypatch.setattr(kernel, "BIN_PEOPLE", 6)
+    monkeypatch.setattr(kernel, "WHOLE", whole)
+    seen, real = [], kernel.summed
+
+    def spy(parts, keys):
+        seen.append(parts.agg(F.max(F.length("payload"))).first()[0])
+        return real(parts, keys)
+
+    monkeypatch.setattr(kernel, "summed", spy)
+    for fold in (None, "fold"):
+        got = {r["who"]: r["pred"] for r in kernel.ridge(held, listed, "who", "f", "v", "y", ["g"], fold, ALPHAS).collect()}
+        want = {r["who"]: r["pred"] for r in gram.predicted(flat, flat, "who", "y", names, ["g"], [fold] if fold else (), ALPHAS, left_out=not fold).collect()}
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+    assert max(seen) < 8 * 40 * 40  # no matrix of all the group's people
