@@ -60,6 +60,7 @@ _MET = 200_000
 _RUN_BYTES = 8_000_000
 _LEAST_IN_RUN = 4
 _CELLS = 4_000_000
+_NO_BOUND = 1 << 30
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -96,19 +97,19 @@ def _fine(found: np.ndarray) -> bytes:
 
 
 def _glance(point: bytes) -> bytes:
-    """The point folded to at most `GLANCE_GROUPS`; where a count has no place in a byte, no bound."""
-    groups = len(point) // 2
-    if groups <= GLANCE_GROUPS:
-        return point
-    raw = np.frombuffer(point, np.uint8).reshape(2, groups // GLANCE_GROUPS, GLANCE_GROUPS)
-    counts = raw[0].sum(axis=0, dtype=np.int32)
-    if counts.max() >= 255:
-        return b"\xff" * (2 * GLANCE_GROUPS)
-    return counts.astype(np.uint8).tobytes() + np.bitwise_xor.reduce(raw[1], axis=0).tobytes()
+    """The point folded to `GLANCE_GROUPS`, or to the fewest groups beyond whose counts have a place in a byte."""
+    groups = min(len(point) // 2, GLANCE_GROUPS)
+    if max(point[: len(point) // 2]) == 255:
+        return b"\xff" * (2 * groups)
+    raw = np.frombuffer(point, np.uint8).reshape(2, -1)
+    while (counts := raw[0].reshape(-1, groups).sum(axis=0, dtype=np.int32)).max() >= 255:
+        groups *= 2
+    return counts.astype(np.uint8).tobytes() + np.bitwise_xor.reduce(raw[1].reshape(-1, groups), axis=0).tobytes()
 
 
 def _points(cells: list[bytes], groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and checksums of points of at least so many groups, folded to that many."""
+    """Counts and checksums of points of at least so many groups, folded to that many. A count of 255 says that the point
+    is no bound: it counts as more than any set holds, without checksums."""
     lengths = np.array([len(c) for c in cells]) // 2
     counts, marks = np.empty((len(cells), groups), np.int32), np.empty((len(cells), groups), np.uint8)
     for n in np.unique(lengths):
@@ -116,6 +117,8 @@ def _points(cells: list[bytes], groups: int) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join([cells[k] for k in at]), np.uint8).reshape(len(at), 2, n // groups, groups)
         counts[at] = raw[:, 0].sum(axis=1, dtype=np.int32)
         marks[at] = np.bitwise_xor.reduce(raw[:, 1], axis=1)
+        none = at[(raw[:, 0] == 255).any(axis=(1, 2))]
+        counts[none], marks[none] = _NO_BOUND, 0
     return counts, marks
 
 
@@ -451,7 +454,7 @@ def _neighbour_pairs(routes: DataFrame, percent: int, most: int = 3) -> DataFram
                     good = (token[i] == token[j]) & (own[i] != own[j]) & (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
                     i, j = i[good], j[good]
                     if len(i):
-                        shared = _shared([cells[k] for k in i], [cells[k] for k in j])
+                        shared = np.minimum(_shared([cells[k] for k in i], [cells[k] for k in j]), np.minimum(n[i], n[j]))
                         fits = may_link(shared, n[i], n[j], percent)
                         likeness[step - 1, j[fits]] = (shared / (n[i] + n[j] - shared))[fits]
                 best = np.argsort(-likeness, axis=0, kind="stable")[:most]

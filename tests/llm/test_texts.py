@@ -321,6 +321,23 @@ def test_near_duplicates_equal_brute_force(spark, seed, size, percent, dealt, mo
     assert got == brute_components(rows, size, percent)
 
 
+def test_long_near_copies_link(spark):
+    """Sets of more elements than 64 groups can count in a byte."""
+    words = [f"w{k}" for k in range(25_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:24_000], "x", *words[24_000:]])), (3, " ".join(words[12_000:])), (4, " ".join([*words[:8_000], *words[16_000:]]))]
+    rows += [(k, " ".join([*words[: 1000 * k], "y", *words[1000 * k :]])) for k in range(5, 16)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()}
+    assert got == {k: k if k in (3, 4) else 1 for k in range(1, 16)}
+
+
+def test_points_that_cannot_count_are_no_bound():
+    full, n = b"\xff" * 128, 20_000_000
+    wide = b"\xfe" * 128 + bytes(128)
+    assert jaccard._glances_link([(n, full), (n, full), (n, wide)], [(n, full), (n, wide), (n, wide)], 85).tolist() == [True, False, False]
+    assert jaccard._glances_link([(127 * 254, wide), (300, full)], [(127 * 254, full), (10, full)], 85).tolist() == [True, True]
+    assert len(jaccard._glance(b"\x10" * 4096 + bytes(4096))) == 2 * 512  # eight groups of sixteen still fit in a byte
+
+
 def test_near_duplicates_edges(docs, none):
     rows = jaccard.near_duplicates(docs, size=4, percent=85).collect()
     assert len(rows) == len(ROWS)
