@@ -188,32 +188,38 @@ def composite(df: DataFrame, columns: Sequence[str], name: str = "composite") ->
 def first_component(df: DataFrame, who: str, columns: Sequence[str], rounds: int = 500, tolerance: float = 1e-9) -> DataFrame:
     """who, component: probabilistic PCA with one factor by EM over observed cells, loadings mostly positive.
 
-    Each round is one aggregate over all rows that returns a few sums a column, so rows stay where they are.
+    One aggregate gives, for each set of columns that a row can have, the number of rows and the sums of products; all
+    rounds run on these. There are at most as many sets as rows, so many columns with scattered gaps want a plan of
+    their own; rows stay where they are.
     """
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     k = len(columns)
     z = [F.try_divide(F.col(c) - F.lit(stats[f"m_{c}"]), F.lit(stats[f"s_{c}"])) for c in columns]
-    data = df.select(who, *[e.alias(f"z{j}") for j, e in enumerate(z)]).persist()
+    data = df.select(who, *[e.alias(f"z{j}") for j, e in enumerate(z)])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    products = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs]
+    held = data.groupBy(*[F.col(f"z{j}").isNotNull().alias(f"seen{j}") for j in range(k)]).agg(F.count(F.lit(1)).alias("n"), *products).collect()
+    seen = np.array([[r[f"seen{j}"] for j in range(k)] for r in held], float).reshape(-1, k)
+    number = np.array([r["n"] for r in held], float)
+    square = np.zeros((len(held), k, k))
+    for i, j in pairs:
+        square[:, i, j] = square[:, j, i] = [r[f"p{i}_{j}"] or 0.0 for r in held]
+    own = square[:, range(k), range(k)].sum(axis=0)
     w, noise = np.full(k, 0.5), 1.0
 
-    def posterior(w: np.ndarray, noise: float) -> tuple[Column, Column]:
-        seen = [F.col(f"z{j}").isNotNull() for j in range(k)]
-        m = sum((F.when(seen[j], float(w[j] ** 2)).otherwise(0.0) for j in range(1, k)), F.when(seen[0], float(w[0] ** 2)).otherwise(0.0)) + float(noise)
-        dot = sum((F.coalesce(F.col(f"z{j}") * float(w[j]), F.lit(0.0)) for j in range(1, k)), F.coalesce(F.col("z0") * float(w[0]), F.lit(0.0)))
-        return dot / m, float(noise) / m
-
     for _ in range(rounds):
-        x, v = posterior(w, noise)
-        e = data.withColumns({"x": x, "xx": x * x + v})
-        sums = e.agg(*[F.sum(F.col(f"z{j}") * F.col("x")).alias(f"a{j}") for j in range(k)], *[F.sum(F.when(F.col(f"z{j}").isNotNull(), F.col("xx"))).alias(f"b{j}") for j in range(k)], *[F.sum(F.col(f"z{j}") * F.col(f"z{j}")).alias(f"c{j}") for j in range(k)], *[F.count(f"z{j}").alias(f"n{j}") for j in range(k)]).first()
-        new = np.array([(sums[f"a{j}"] or 0.0) / sums[f"b{j}"] if sums[f"b{j}"] else 0.0 for j in range(k)])
-        total = sum((sums[f"c{j}"] or 0.0) - 2 * new[j] * (sums[f"a{j}"] or 0.0) + new[j] ** 2 * (sums[f"b{j}"] or 0.0) for j in range(k))
-        noise_new = max(1e-9, total / max(1, sum(sums[f"n{j}"] for j in range(k))))
+        below = seen @ (w * w) + noise
+        a = ((square @ w) / below[:, None]).sum(axis=0)  # sums of z and the factor's mean
+        b = (number * noise / below + np.einsum("j,pjl,l->p", w, square, w) / below**2) @ seen  # of the factor's square, where the column is there
+        new = np.divide(a, b, out=np.zeros(k), where=b != 0)
+        total = (own - 2 * new * a + new**2 * b).sum()
+        noise_new = max(1e-9, total / max(1.0, float((number @ seen).sum())))
         done = np.abs(new - w).max() < tolerance and abs(noise_new - noise) < tolerance
         w, noise = new, noise_new
         if done:
             break
     if w.mean() < 0:
         w = -w
-    x, _ = posterior(w, noise)
-    return data.select(who, x.alias("component"))
+    below = sum((F.when(F.col(f"z{j}").isNotNull(), float(w[j] ** 2)).otherwise(0.0) for j in range(k)), F.lit(float(noise)))
+    dot = sum((F.coalesce(F.col(f"z{j}") * float(w[j]), F.lit(0.0)) for j in range(1, k)), F.coalesce(F.col("z0") * float(w[0]), F.lit(0.0)))
+    return data.select(who, (dot / below).alias("component"))

@@ -194,6 +194,31 @@ def test_bootstrap_is_repeatable_and_sane(spark):
     assert pair["delta_r"] > 0 and 1 / 500 <= pair["p"] < 0.05
 
 
+def test_first_component_equals_rounds_over_rows_in_few_jobs(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 1)) * np.array([1.0, -2.0, 0.5, 1.5]) + rng.normal(size=(60, 4))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[7] = np.nan
+    df = frame(spark, [(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "who int, a double, b double, c double, d double")
+    group = "first_component"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {r["who"]: r["component"] for r in stats.first_component(df, "who", ["a", "b", "c", "d"], rounds=40, tolerance=0.0).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    z = (x - np.nanmean(x, axis=0)) / np.nanstd(x, axis=0)
+    seen, z = ~np.isnan(z), np.nan_to_num(z)
+    w, noise = np.full(4, 0.5), 1.0
+    for _ in range(40):
+        below = seen @ (w * w) + noise
+        f = z @ w / below
+        square = f * f + noise / below
+        new = z.T @ f / (seen.T @ square)
+        noise = max(1e-9, ((z * z).sum(axis=0) - 2 * new * (z.T @ f) + new**2 * (seen.T @ square)).sum() / seen.sum())
+        w = new
+    w = -w if w.mean() < 0 else w
+    assert np.allclose([got[i] for i in range(60)], z @ w / (seen @ (w * w) + noise)) and 0 < jobs < 10
+
+
 def test_first_component_follows_the_factor(spark):
     rng = np.random.default_rng(9)
     f = rng.normal(size=80)
