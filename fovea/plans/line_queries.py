@@ -13,6 +13,7 @@ from fovea.plans.score_queries import _SCORES, _model_rows, scores, wide_rows, w
 from fovea.plans.scheme_queries import _items
 from fovea.plans.stat_queries import _WIDE2
 from fovea.sources import table
+from fovea.sources.shared import keep
 
 W = roles.SQL
 _ALPHAS = "al(alpha) AS (VALUES " + ", ".join(f"({a!r}::DOUBLE)" for a in map(float, models.ALPHAS)) + ")"
@@ -141,7 +142,10 @@ SELECT content_group, feature, n, c.feature IS NOT NULL AS everybody, round(sd,
 def feature_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Which features vary, and which everybody of the group has."""
     people = roles.readers(spark, sf).where("L1 < 'NATION_2'").select("participant_id", "content_group")
-    long = roles.words(spark, sf, numbered=False).join(people, "participant_id").groupBy("content_group", "participant_id", (F.col("part_key") % 7).alias("feature")).agg(F.avg("ff").alias("value"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("participant_id")).join(people, "participant_id")
+    cells = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 7).cast("tinyint").alias("_feature"), F.col("l_quantity").alias("ff")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # kept: the statistics and the cover each read it
+    long = keep(cells.groupBy("content_group", "participant_id", F.col("_feature").cast("long").alias("feature")).agg(F.avg("ff").alias("value")))
     full = filters.covered_features(long, "feature", "participant_id", "value", ["content_group"]).select("content_group", "feature").distinct().withColumn("everybody", F.lit(True))
     stats = filters.varying(scoring.feature_stats(long, ["content_group"]))
     out = stats.join(full, ["content_group", "feature"], "left").select("content_group", "feature", "n", F.coalesce("everybody", F.lit(False)).alias("everybody"), "sd")

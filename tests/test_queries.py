@@ -90,3 +90,8 @@ def test_registered_queries_run_the_references_numbers(spark, sf, monkeypatch, n
     with pytest.raises(InterruptedError):
         catalog.queries()[name](spark, sf)
     assert {k: seen[k] for k in want} == want
+
+
+def test_feature_cover_joins_the_line_items_once(spark, sf):
+    plan = catalog.queries()["feature_cover"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
