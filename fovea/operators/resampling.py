@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from fovea.operators.gram import _coded, summed
 
 DRAWS_A_BLOCK = 1000
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 100
 HELD_BYTES = 256_000_000
+#: Weights that a task draws at most, where there are more than cores can share.
+WEIGHTS_A_TASK = 2_000_000_000
 
 
 def _poisson_table() -> np.ndarray:
@@ -31,20 +33,28 @@ def _poisson_table() -> np.ndarray:
     return np.searchsorted(share, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float64)
 
 
-_TABLE = _poisson_table()
+#: The 16-bit numbers from which on the Poisson number is one more.
+_EDGES = [np.uint16(e) for e in np.flatnonzero(np.diff(_poisson_table())) + 1]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """In place, but for the first step."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def weights(keys: np.ndarray, first: int, draws: int, seed: int = 42) -> np.ndarray:
     """(rows, draws) Poisson numbers of the draws `first` (a multiple of four) on, by the rows' 64-bit keys."""
     quarter = np.arange(first // 4, -(-(first + draws) // 4), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = _mixed(_mixed(keys.astype(np.uint64) + np.uint64(seed))[:, None] + quarter[None, :])
-    return _TABLE[bits.view(np.uint16)[:, :draws]]
+    bits = _mixed(_mixed(keys.astype(np.uint64) + np.uint64(seed))[:, None] + quarter[None, :]).view(np.uint16)
+    out = np.zeros(bits.shape, np.uint8)
+    for edge in _EDGES:  # comparisons run on many 16-bit numbers at once, a look-up on one
+        out += (bits >= edge).view(np.uint8)
+    return out[:, :draws].astype(np.float64)
 
 
 def row_key(groups: Sequence[str], values: Sequence[str], who: str | None) -> Column:
@@ -65,10 +75,10 @@ def weighted_sums(df: DataFrame, groups: Sequence[str], key: Column, terms: Sequ
         held: dict[tuple, list[np.ndarray]] = {}
         kinds: list[pa.DataType] = []
 
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for own, blocks in held.items():
+        def flushed(*which: tuple) -> Iterator[pa.RecordBatch]:
+            for own in which or list(held):
+                blocks = held.pop(own)
                 yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(blocks), t) for v, t in zip(own, kinds, strict=True)), pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=[*names, "block", "payload"])
-            held.clear()
 
         for batch in batches:
             kinds = [batch.schema.field(n).type for n in names]
@@ -85,9 +95,14 @@ def weighted_sums(df: DataFrame, groups: Sequence[str], key: Column, terms: Sequ
                 for at in (rows[i : i + ROWS_AT_ONCE] for i in range(0, len(rows), ROWS_AT_ONCE)):
                     for total, s in zip(held[own][1:], starts, strict=True):
                         total += x[at].T @ weights(keys[at], s, total.shape[1], seed)
+            for own in [own for own in held if own != found[-1]]:  # rows come sorted
+                yield from flushed(own)
         yield from flushed()
 
     rows = df.select(*names, key.alias("_key"), F.array(*[t.cast("double") for t in terms]).alias("_terms"))
+    # a task's time is that of its weights, so rows are dealt by how many there are, not as they lie
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * draws // WEIGHTS_A_TASK))
+    rows = rows.repartition(tasks, "_key").sortWithinPartitions(*names)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "block int, payload binary"])
     return summed(rows.mapInArrow(run, schema), [*names, "block"])
 

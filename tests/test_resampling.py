@@ -111,3 +111,17 @@ def test_cells_too_small_or_constant(spark):
     assert got["c"]["r"] is None and got["c"]["mae"] == 1.4 and got["s"]["mae"] is None and got["s"]["n"] == 2
     assert got["e"]["boot_sd"] > 0  # equal rows are drawn apart
     assert stats.bootstrap(df.limit(0), ["g"], "x", "y", draws=10).count() == 0
+
+
+def test_rows_of_one_partition_are_dealt_by_the_weights_they_need(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "WEIGHTS_A_TASK", 200)
+    df, _, _ = drawn(spark)
+    seen, real = [], resampling.summed
+
+    def spy(parts, keys):
+        seen.extend(r[0] for r in parts.groupBy(F.spark_partition_id()).count().collect())
+        return real(parts, keys)
+
+    monkeypatch.setattr(resampling, "summed", spy)
+    got = stats.bootstrap(df.coalesce(1), ["g"], "x", "y", draws=60, who="who").collect()
+    assert len(got) == 2 and len(seen) > 6  # 2400 weights, 200 a task
