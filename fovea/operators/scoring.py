@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fovea.operators import discriminants
+from fovea.sources.shared import keep
 
 
 def long_features(wide: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -55,8 +56,9 @@ def prototype_scores(readers: DataFrame, natives: DataFrame, keys: Sequence[str]
 
     `groups` are keys that scoring stays inside (content group, half, item, direction).
     """
-    stats = feature_stats(readers if fit is None else fit, groups)
-    return PROTOTYPES[how](scaled(readers, stats, groups), prototype(natives, stats, groups), keys, groups)
+    # kept, so that their size is known: small ones go to the rows, which else meet by feature, a few large groups
+    stats = keep(feature_stats(readers if fit is None else fit, groups))
+    return PROTOTYPES[how](scaled(readers, stats, groups), keep(prototype(natives, stats, groups)), keys, groups)
 
 
 def leave_one_out_cosine(readers: DataFrame, natives: DataFrame, who: str) -> DataFrame:

@@ -95,3 +95,8 @@ def test_registered_queries_run_the_references_numbers(spark, sf, monkeypatch, n
 def test_feature_cover_joins_the_line_items_once(spark, sf):
     plan = catalog.queries()["feature_cover"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def test_direction_scores_join_statistics_of_known_size(spark, sf):
+    plan = catalog.queries()["direction_cosine"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev" not in plan and "Join" in plan
