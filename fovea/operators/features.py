@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +125,11 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.0, rounds: int =
     return None
 
 
-def separated(x: np.ndarray, y: np.ndarray, w: np.ndarray, steepest: float = 10.0) -> bool:
+#: A slope beyond this is no estimate.
+STEEPEST = 10.0
+
+
+def separated(x: np.ndarray, y: np.ndarray, w: np.ndarray, steepest: float = STEEPEST) -> bool:
     """Whether a likelihood has no proper maximum at w: doubling w doesn't hurt, or a slope is too steep to believe."""
 
     def likelihood(v: np.ndarray) -> float:
@@ -133,23 +139,81 @@ def separated(x: np.ndarray, y: np.ndarray, w: np.ndarray, steepest: float = 10.
     return not np.isfinite(likelihood(w)) or likelihood(2 * w) >= likelihood(w) or np.abs(w[1:]).max(initial=0) > steepest
 
 
+def logistic_fits(x: np.ndarray, y: np.ndarray, starts: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """`logistic_fit` of many groups of rows at once, a row of coefficients each; NaN where y is constant, unsettled or `separated`."""
+    sizes = np.diff([*starts, len(y)])
+    group = np.repeat(np.arange(len(starts)), sizes)
+    out = np.full((len(starts), x.shape[1]), np.nan)
+    ones = np.add.reduceat(y, starts)
+    live = (ones > 0) & (ones < sizes)
+    w = np.zeros_like(out)
+    for _ in range(rounds):
+        if not live.any():
+            break
+        rows, at = live[group], np.flatnonzero(live)
+        first = np.concatenate([[0], np.cumsum(sizes[at])[:-1]])
+        a, own = x[rows], group[rows]
+        p = 1 / (1 + np.exp(-np.clip((a * w[own]).sum(axis=1), -500, 500)))
+        hessian = np.add.reduceat(a[:, :, None] * a[:, None, :] * (p * (1 - p))[:, None, None], first)
+        slope = np.add.reduceat(a * (y[rows] - p)[:, None], first)
+        try:
+            step = np.linalg.solve(hessian, slope[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:  # some group's matrix is singular: each by itself
+            step = np.full_like(slope, np.nan)
+            for k in range(len(at)):
+                with contextlib.suppress(np.linalg.LinAlgError):
+                    step[k] = np.linalg.solve(hessian[k], slope[k])
+        w[at] += step
+        settled = np.abs(step).max(axis=1) < 1e-9
+        out[at[settled]] = w[at[settled]]
+        live[at[settled | ~np.isfinite(w[at]).all(axis=1)]] = False
+    s = (x * np.nan_to_num(out)[group]).sum(axis=1)
+    once, twice = (np.add.reduceat(y * v - np.logaddexp(0, v), starts) for v in (s, 2 * s))
+    out[~np.isfinite(once) | (twice >= once) | (np.abs(np.nan_to_num(out[:, 1:])).max(axis=1, initial=0) > STEEPEST)] = np.nan
+    return out
+
+
 def logistic_coefficients(df: DataFrame, who: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """Logistic regression of a 0/1 metric for each group: b_0, b_<x>; null where y is constant, unsettled or separated.
 
-    A group is one participant's words and is fitted in one task.
+    A group is one participant's words and is fitted in one task, thousands of groups at once.
     """
     names = ["b_0", *[f"b_{x}" for x in xs]]
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in who)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(g)), g[list(xs)].to_numpy(float)])
-        t = g[y].to_numpy(float)
-        w = logistic_fit(x, t) if 0 < t.sum() < len(t) else None
-        if w is not None and separated(x, t, w):
-            w = None
-        return pd.DataFrame([[*key, *(w if w is not None else [None] * len(names))]], columns=[*who, *names])
-
-    return df.dropna(subset=[y, *xs]).select(*who, y, *xs).groupBy(*who).applyInPandas(run, keys + "".join(f", `{n}` double" for n in names))
+    order = [f.name for f in df.schema.fields if f.name in who]
+
+    def fitted(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, target = t.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1), t.column("_y").to_numpy()
+        w = logistic_fits(np.column_stack([np.ones(len(t)), x]), target, starts)
+        columns = [pa.array(c, pa.float64(), mask=np.isnan(c)) for c in w.T.copy()]
+        yield from pa.table([*(t.column(k).take(pa.array(starts)) for k in order), *columns], names=[*order, *names]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
+            starts = _starts(t, order)
+            last = int(starts[-1])
+            if last:
+                yield from fitted(t.slice(0, last).combine_chunks(), starts[:-1])
+            held = t.slice(last).combine_chunks().to_batches()  # the last group may go on
+        if held:
+            yield from fitted(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    rows = df.dropna(subset=[y, *xs]).select(*order, F.col(y).cast("double").alias("_y"), F.array(*[F.col(x).cast("double") for x in xs]).alias("_x"))
+    dealt = rows.repartition(*order).sortWithinPartitions(*order) if order else rows.repartition(1)
+    return dealt.mapInArrow(run, ", ".join([*([keys] if keys else []), *(f"`{n}` double" for n in names)]))
+
+
+def _starts(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """The rows at which another key begins, in a table sorted by the keys."""
+    new = np.zeros(max(0, len(t) - 1), bool)
+    for k in keys:
+        a, b = t.column(k).slice(0, len(t) - 1), t.column(k).slice(1)
+        new |= pc.fill_null(pc.not_equal(a, b), False).to_numpy() | (a.is_null().to_numpy() != b.is_null().to_numpy())
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
 def transitions(fixations: DataFrame, who: Sequence[str], paragraph: str, current: str, following: str) -> DataFrame:

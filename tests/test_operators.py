@@ -194,6 +194,31 @@ def test_bootstrap_is_repeatable_and_sane(spark):
     assert pair["delta_r"] > 0 and 1 / 500 <= pair["p"] < 0.05
 
 
+def test_logistic_coefficients_equal_fits_one_by_one(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for g in range(60):
+        n = int(rng.integers(1, 40))
+        x = np.column_stack([np.ones(n), rng.normal(size=(n, 2))])
+        if g % 7 == 0:
+            x[:, 2] = 3.0  # no second slope
+        y = (x[:, 1] + rng.normal(size=n) * (g % 5 > 0) > 0).astype(float)
+        who = None if g == 11 else g
+        rows += [(who, "a", float(v), float(a), float(b)) for v, (_, a, b) in zip(y, x, strict=True)]
+        w = features.logistic_fit(x, y) if 0 < y.sum() < n else None
+        want[who] = None if w is None or features.separated(x, y, w) else w
+    df = frame(spark, rows, "who int, h string, y double, a double, b double").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)  # groups run over the ends of batches
+    try:
+        got = {r["who"]: tuple(r)[2:] for r in features.logistic_coefficients(df, ["who", "h"], "y", ["a", "b"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.keys() == want.keys() and 10 < sum(w is not None for w in want.values()) < 60
+    assert all(np.allclose(got[g], w) if w is not None else got[g] == (None, None, None) for g, w in want.items())
+    assert features.logistic_coefficients(df, [], "y", ["a", "b"]).count() == 1
+
+
 def test_first_component_equals_rounds_over_rows_in_few_jobs(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 1)) * np.array([1.0, -2.0, 0.5, 1.5]) + rng.normal(size=(60, 4))
