@@ -2,12 +2,14 @@
 
 A segmentation's score is the sum of its pieces' scores. Forward Viterbi gives, for every position, the best score
 of any prefix up to there; from the end of the text, A-star then walks backward with those scores as exact
-heuristics, so hypotheses leave the queue in order of their full score.
+heuristics, so hypotheses leave the queue in order of their full score. Of equal ways to a position both take the one
+with the shortest last piece.
 
-No piece runs over the start of a space or over a control character, so those are cut points that every path
-crosses: Viterbi runs on the distinct chunks between them, many at once in numpy. It also tells what the cheapest
-detour of a chunk costs. The N best paths of a text leave the best one in at most N - 1 chunks, all among those
-with the N - 1 cheapest detours; A-star lists the paths of these, and their sums are merged best first.
+No piece runs over the start of a space or over a control character, so those are cut points
+that every path crosses: Viterbi runs on the distinct chunks between them, many at once in numpy, whose pieces one walk
+down a tree of the vocabulary finds. It also tells what the cheapest detour of a chunk costs. The N best paths of a text
+leave the best one in at most N - 1 chunks, all among those with the N - 1 cheapest detours; A-star lists the paths of
+these, and their sums are merged best first.
 
 Characters without a piece are spelled in byte pieces. One pass, no shuffle; chunks once seen are remembered in a
 bounded cache.
@@ -19,29 +21,71 @@ import heapq
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fovea.llm.textbytes import mix
-
 SPACE = "▁"
 BYTE_PENALTY = 10.0
 _CHUNK = re.compile(rf"{SPACE}+[^{SPACE}\x00-\x1f]*|[\x00-\x1f]|[^{SPACE}\x00-\x1f]+")
 _LONGEST_IN_BATCH = 40
-_CACHE = 400_000
-_BASE = 0x9E3779B97F4A7C15
+_FEWEST_IN_BATCH = 8
+_BATCH_CHARS = 40_000
+_PART_ROWS, _PART_CHARS = 500, 2_000_000
+_HELD = 4_000_000
+_NONE = float("-inf")
 _ENCODED = "n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean"
 
 
-@dataclass
-class Chunk:
-    score: float
-    ids: bytes
-    detour: float
+class Tree:
+    """The pieces' prefixes as nodes from 1 on. A node's children lie in one table, at its base plus their characters'
+    numbers, so a step is one look-up for any number of nodes at once.
+    """
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        nodes = {"": 0}
+        for piece in pieces:
+            for k in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:k], len(nodes))
+        numbers = {c: k + 1 for k, c in enumerate(sorted({p[-1] for p in nodes if p}))}  # 0: in no piece, or the end
+        self.numbers = np.zeros(0x110000, np.int64)
+        self.numbers[[ord(c) for c in numbers]] = list(numbers.values())
+        self.ids, self.scores = np.full(len(nodes), -1, np.int64), np.zeros(len(nodes))
+        children: dict[int, list[tuple[int, int]]] = {}
+        for prefix, node in nodes.items():
+            if prefix:
+                children.setdefault(nodes[prefix[:-1]], []).append((numbers[prefix[-1]], node))
+            if prefix in pieces:
+                self.ids[node], self.scores[node] = pieces[prefix]
+        width = len(numbers) + 1
+        self.base = np.zeros(len(nodes), np.int64)
+        held: dict[int, tuple[int, int]] = {}
+        first = width
+        for node, below in sorted(children.items(), key=lambda x: -len(x[1])):
+            at, tries = first, 0
+            while any(at - below[0][0] + c in held for c, _ in below):
+                at, tries = at + 1, tries + 1
+            first += tries // 2  # where it is crowded a few places stay empty
+            self.base[node] = at - below[0][0]
+            held |= {at - below[0][0] + c: (node, child) for c, child in below}
+        self.parent, self.child = np.full((2, max(held) + width + 1), -1, np.int64)
+        self.parent[list(held)], self.child[list(held)] = np.array(list(held.values())).T
+
+    def walk(self, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length the starts and nodes of the pieces of that length, going down the columns of chars, whose last row is 0."""
+        width, chars = chars.shape[1], chars.ravel()
+        at, node, length = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        while len(at):
+            slot = self.base[node] + chars[at + length * width]
+            on = np.flatnonzero(self.parent[slot] == node)
+            at, node, length = at[on], self.child[slot[on]], length + 1
+            piece = np.flatnonzero(self.ids[node] >= 0)
+            if len(piece):
+                yield length, at[piece], node[piece]
 
 
 class Lattice:
@@ -65,89 +109,124 @@ class Lattice:
             else:
                 self.pieces[piece] = (i, read.get_score(i))
                 self.surface.append(piece.replace(SPACE, " ").encode())
-        self.longest = max(map(len, self.pieces))
         self.byte_score = min(s for _, s in self.pieces.values() if s > -1e8) - BYTE_PENALTY
-        up = np.full(64, _BASE, np.uint64)
-        up[0] = 1
-        down = np.full(64, pow(_BASE, -1, 1 << 64), np.uint64)
-        down[0] = 1
-        self.up, self.down = np.cumprod(up), np.cumprod(down)
-        keys = np.array([self._hash(p) for p in self.pieces], np.uint64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.key_ids = np.array([i for i, _ in self.pieces.values()], np.int32)[order]
-        self.key_scores = np.array([s for _, s in self.pieces.values()])[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[keys >> np.uint64(44)] = True
-        self.seen: dict[str, Chunk] = {}
-
-    def _hash(self, piece: str) -> int:
-        codes = np.array([ord(c) + 1 for c in piece], np.uint64)
-        return int(mix(np.array([(codes * self.up[: len(codes)]).sum() + np.uint64(len(codes) << 32)], np.uint64))[0])
-
-    def _batch(self, words: list[str]) -> None:
-        """Viterbi over chunks of one length at once. Chunks with characters that have no piece go the long way."""
-        n, size = len(words), len(words[0])
-        codes = np.array([list(map(ord, w)) for w in words], np.uint64) + np.uint64(1)
-        total = np.zeros((n, size + 1), np.uint64)
-        np.cumsum(codes * self.up[:size], axis=1, out=total[:, 1:])
-        best = np.full((n, size + 1), -np.inf)
-        best[:, 0] = 0
-        second = np.full((n, size + 1), -np.inf)
-        back, via = np.zeros((n, size + 1), np.int32), np.full((n, size + 1), -1, np.int32)
+        self.spelled = (-1, self.byte_score)
+        # Every ending of a piece, with the piece's id and score: what isn't here is no piece, nor is anything that ends so.
+        self.endings: dict[str, tuple[int, float]] = {}
+        for piece in self.pieces:
+            for k in range(len(piece)):
+                self.endings.setdefault(piece[k:], (-1, _NONE) if len(piece) - k > 1 else self.spelled)
+        self.endings.update(self.pieces)
+        self.tree = Tree(self.pieces)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self.scores, self.detours = np.zeros(0), np.zeros(0)
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.ways: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self.held = 0
+
+    def _batch(self, words: list[str]) -> list[np.ndarray]:
+        """Viterbi over chunks of one length at once, a column each: scores, detours, numbers of pieces, ids one chunk after another.
+
+        A column whose best path holds a character without a piece has an id of -1.
+        """
+        size, n = len(words[0]), len(words)
+        chars = np.zeros((size + 1, n), np.int64)
+        chars[:-1] = self.tree.numbers[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")].reshape(n, size).T
+        found = list(self.tree.walk(chars))
+        longest = max([length for length, *_ in found], default=1)
+        scores, ids = np.full((longest + 1, size * n), -np.inf), np.full((longest + 1, size * n), -1, np.int64)
+        scores[1] = self.byte_score
+        some = np.zeros((longest + 1, size), bool)
+        for length, at, node in found:
+            scores[length, at], ids[length, at] = self.tree.scores[node], self.tree.ids[node]
+            some[length, at // n] = True
+        best, second = np.zeros((size + 1, n)), np.full((size + 1, n), -np.inf)
+        back = np.ones((size + 1, n), np.int64)
+        scores = scores.reshape(-1, size, n)
         for i in range(1, size + 1):
-            for length in range(1, min(i, self.longest) + 1):
-                j = i - length
-                key = mix((total[:, i] - total[:, j]) * self.down[j] + np.uint64(length << 32))
-                at = np.flatnonzero(self.maybe[key >> np.uint64(44)])
-                if not len(at):
-                    continue
-                where = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-                hit = self.keys[where] == key[at]
-                at, where = at[hit], where[hit]
-                value = best[at, j] + self.key_scores[where]
-                new = value > best[at, i]
-                second[at, i] = np.maximum(second[at, i], np.where(new, best[at, i], value))
-                up = at[new]
-                best[up, i], back[up, i], via[up, i] = value[new], j, self.key_ids[where[new]]
-        ids, detour, pos = np.full((n, size), -1, np.int32), np.full(n, np.inf), np.full(n, size)
+            top, other = best[i], second[i]
+            np.add(best[i - 1], scores[1, i - 1], out=top)
+            for length in range(2, min(i, longest) + 1):
+                if some[length, i - length]:
+                    value = best[i - length] + scores[length, i - length]
+                    np.maximum(other, np.minimum(value, top), out=other)
+                    np.copyto(back[i], length, where=value > top)
+                    np.maximum(value, top, out=top)
+        best, second, back, ids = best.ravel(), second.ravel(), back.ravel(), ids.ravel()
+        detour, taken, live, row = np.full(n, np.inf), np.full((n, size), -2, np.int64), np.arange(n), np.full(n, size)
         for k in range(size - 1, -1, -1):
-            live = np.flatnonzero((pos > 0) & (best[:, size] > -np.inf))
-            if not len(live):
+            at = row * n + live
+            step = back[at]
+            detour[live] = np.minimum(detour[live], best[at] - second[at])
+            taken[live, k] = ids[step * (size * n) + at - step * n]
+            row = row - step
+            on = np.flatnonzero(row)
+            if not len(on):
                 break
-            p = pos[live]
-            detour[live] = np.minimum(detour[live], best[live, p] - second[live, p])
-            ids[live, k] = via[live, p]
-            pos[live] = back[live, p]
-        for w, row, score, cost in zip(words, ids, best[:, size].tolist(), detour.tolist(), strict=True):
-            self.seen[w] = Chunk(score, row[row >= 0].astype("<u4").tobytes(), cost) if score > -np.inf else self._alone(w)
-
-    def _alone(self, word: str) -> Chunk:
-        found = self.n_best(word, 2)
-        return Chunk(found[0][0], np.array(found[0][1], "<u4").tobytes(), found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+            live, row = live[on], row[on]
+        pieces = taken > -2
+        return [best[-n:], detour, pieces.sum(axis=1), taken[pieces]]
+
+    def _forward(self, text: str) -> tuple[array, array, array, array]:
+        """For every position the best score of the text before it and of another last piece, that piece's length and id."""
+        known, spelled = self.endings.get, self.spelled
+        best, second, lengths, last = array("d", [0.0]), array("d", [_NONE]), array("i", [0]), array("i", [-1])
+        for i in range(1, len(text) + 1):
+            piece, s = known(text[i - 1], spelled)
+            top, other, start = best[i - 1] + s, _NONE, i - 1
+            for j in range(i - 2, -1, -1):
+                found = known(text[j:i])
+                if found is None:
+                    break
+                value = best[j] + found[1]
+                if value > top:
+                    other, top, start, piece = top, value, j, found[0]
+                elif value > other:
+                    other = value
+            best.append(top)
+            second.append(other)
+            lengths.append(i - start)
+            last.append(piece)
+        return best, second, lengths, last
+
+    def _viterbi(self, text: str) -> tuple[float, float, np.ndarray]:
+        """Score of the best segmentation, how much less the next one scores, and the best one's ids."""
+        best, second, lengths, last = self._forward(text)
+        i, detour, ids = len(text), np.inf, array("i")
+        while i:
+            detour = min(detour, best[i] - second[i])
+            ids.extend((last[i],) if last[i] >= 0 else self._spell(text[i - 1])[::-1])
+            i -= lengths[i]
+        return best[-1], detour, np.array(ids, np.int64)[::-1]
+
+    def _spell(self, char: str) -> tuple[int, ...]:
+        return tuple(int(self.byte_ids[b]) for b in char.encode("utf-8", "surrogatepass"))
 
     def arcs(self, text: str, i: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """The pieces that end at position i: start, score, ids. A character without one is spelled in bytes."""
         out = []
-        for j in range(max(0, i - self.longest), i):
-            found = self.pieces.get(text[j:i])
+        for j in range(i - 1, -1, -1):
+            piece = text[j:i]
+            found = self.pieces.get(piece)
             if found:
                 out.append((j, found[1], (found[0],)))
-        if text[i - 1] not in self.pieces:
-            raw = text[i - 1].encode("utf-8", "surrogatepass")
-            out.append((i - 1, self.byte_score, tuple(int(self.byte_ids[b]) for b in raw)))
-        return out
+            elif j == i - 1:
+                out.append((j, self.byte_score, self._spell(piece)))
+            if piece not in self.endings:
+                break
+        return out[::-1]
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n segmentations of highest score, ids first to last; fewer if there are fewer.
 
         A queue entry is a partial path and the best of its extensions not tried yet, so a step adds two entries at
-        most. Of equal scores the one further left goes first, then the newest: ties are walked depth first, and n
-        paths cost about n times the text's length. Only Viterbi scores are held for every position.
+        most. Of equal scores the newest goes first: ties are walked depth first, and n paths cost about n times the
+        text's length. Only Viterbi scores are held for every position.
         """
-        best = array("d", [0.0]) + array("d", [-np.inf]) * len(text)
-        for i in range(1, len(text) + 1):
-            best[i] = max(best[j] + s for j, s, _ in self.arcs(text, i))
+        best = self._forward(text)[0]
         out: list[tuple[float, tuple[int, ...]]] = []
         order = 0
         queue: list[tuple] = []
@@ -155,20 +234,20 @@ class Lattice:
         def offer(i: int, ranked: list, k: int, after: float, path: tuple) -> None:
             nonlocal order
             order += 1
-            heapq.heappush(queue, (-(ranked[k][0] + after), ranked[k][1], -order, i, ranked, k, after, path))
+            heapq.heappush(queue, (-(ranked[k][0] + after), -order, i, ranked, k, after, path))
 
         def extensions(i: int) -> list:
             found = [(best[j] + s, j, s, ids) for j, s, ids in self.arcs(text, i)]
-            return sorted(found, key=lambda x: (-x[0], x[1]))
+            return sorted(found, key=lambda x: (-x[0], -x[1]))
 
         if not text:
             return [(0.0, ())]
         offer(len(text), extensions(len(text)), 0, 0.0, ())
         while queue and len(out) < n:
-            _, j, _, i, ranked, k, after, path = heapq.heappop(queue)
+            _, _, i, ranked, k, after, path = heapq.heappop(queue)
             if k + 1 < len(ranked):
                 offer(i, ranked, k + 1, after, path)
-            _, _, s, ids_here = ranked[k]
+            _, j, s, ids_here = ranked[k]
             if j:
                 offer(j, extensions(j), 0, s + after, (ids_here, path))
                 continue
@@ -182,46 +261,93 @@ class Lattice:
     def chunks(self, text: str) -> list[str]:
         return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def prepare(self, texts: list[list[str]]) -> None:
-        """Viterbi for every chunk that isn't in the cache."""
-        if len(self.seen) > _CACHE:
-            self.seen.clear()
-        groups: dict[int, list[str]] = {}
-        for w in set().union(*texts).difference(self.seen) if texts else ():
-            groups.setdefault(len(w), []).append(w)
-        for size, words in groups.items():
-            if size > _LONGEST_IN_BATCH:
-                for w in words:
-                    self.seen[w] = self._alone(w)
-            else:
-                for k in range(0, len(words), 5000):
-                    self._batch(words[k : k + 5000])
+    def prepare(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The number of every chunk of the texts, after Viterbi for those that aren't in the cache."""
+        if self.held > _HELD:
+            self._forget()
+        known = len(self.numbers)
+        out = [np.fromiter(map(self.numbers.__getitem__, t), np.int64, len(t)) for t in texts]
+        words = list(islice(reversed(self.numbers), len(self.numbers) - known))[::-1]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.held += int(sizes.sum())
+        order = np.argsort(sizes, kind="stable")
+        ranks, found, alone = [], [], []
+        for k in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            if len(k) < _FEWEST_IN_BATCH or sizes[k[0]] > _LONGEST_IN_BATCH:
+                alone += k.tolist()
+                continue
+            step = max(1, _BATCH_CHARS // int(sizes[k[0]]))
+            for j in range(0, len(k), step):
+                made = self._batch([words[w] for w in k[j : j + step].tolist()])
+                bare = np.repeat(np.arange(len(made[0])), made[2])[made[3] < 0]
+                if len(bare):
+                    keep = np.ones(len(made[0]), bool)
+                    keep[bare] = False
+                    alone += k[j : j + step][~keep].tolist()
+                    made = [made[0][keep], made[1][keep], made[2][keep], made[3][np.repeat(keep, made[2])]]
+                    ranks.append(k[j : j + step][keep])
+                else:
+                    ranks.append(k[j : j + step])
+                found.append(made)
+        if alone:
+            made = [self._viterbi(words[w]) for w in alone]
+            ranks.append(np.array(alone))
+            found.append([*(np.array([m[k] for m in made]) for k in range(2)), np.array([len(m[2]) for m in made]), np.concatenate([m[2] for m in made])])
+        if words:
+            back = np.argsort(np.concatenate(ranks))
+            scores, detours, counts, ids = (np.concatenate([f[k] for f in found]) for k in range(4))
+            starts = len(self.ids) + np.cumsum(counts) - counts
+            for name, new in (("scores", scores), ("detours", detours), ("counts", counts), ("starts", starts)):
+                setattr(self, name, np.concatenate([getattr(self, name), new[back]]))
+            self.ids = np.concatenate([self.ids, ids.astype("<u4")])
+        return out
 
-    def encode(self, chunks: list[str], n: int) -> tuple[np.ndarray, list[float]]:
-        """Ids of the best segmentation, and the scores of the n best, of prepared chunks."""
-        found = [self.seen[c] for c in chunks]
-        ids = np.frombuffer(b"".join([f.ids for f in found]), "<u4")
-        best = float(sum(f.score for f in found))
-        if n == 1 or not found:
-            return ids, [best]
-        costs = np.array([f.detour for f in found])
-        near = np.argsort(costs, kind="stable")[: n - 1] if len(costs) < 4 * n else np.argpartition(costs, n - 1)[: n - 1]
-        lists = []
-        for k in sorted(near.tolist()):
-            if np.isfinite(costs[k]):
-                ways = self.n_best(chunks[k], n)
-                lists.append([ways[0][0] - s for s, _ in ways])
-        scores, queue, met = [], [(0.0, (0,) * len(lists))], set()
-        while queue and len(scores) < n:
+    def _detours(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best ways through a chunk: what each scores less than the best, and its ids."""
+        found = self.ways.get((chunk, n))
+        if found is None:
+            ways = self.n_best(chunk, n)
+            found = self.ways[chunk, n] = [(ways[0][0] - s, np.array(ids, "<u4").tobytes()) for s, ids in ways]
+            self.held += n * len(chunk)
+        return found
+
+    def paths(self, chunks: list[str], numbers: np.ndarray, n: int) -> list[tuple[float, bytes]]:
+        """The n segmentations of highest score of prepared chunks, best first: score, ids as 32-bit little-endian bytes.
+
+        Of detours that cost the same those further left are listed.
+        """
+        if not chunks:
+            return [(0.0, b"")]
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        whole = self.ids[np.repeat(self.starts[numbers] - ends + counts, counts) + np.arange(ends[-1])].tobytes()
+        best = float(self.scores[numbers].sum())
+        if n == 1:
+            return [(best, whole)]
+        costs = self.detours[numbers]
+        near = min(n - 1, len(costs))
+        near = np.flatnonzero(costs <= np.partition(costs, near - 1)[near - 1])
+        near = np.sort(near[np.argsort(costs[near], kind="stable")][: n - 1])
+        near = near[np.isfinite(costs[near])].tolist()
+        lists = [self._detours(chunks[k], n) for k in near]
+        cuts = [0, *(x for k in near for x in (4 * int(ends[k] - counts[k]), 4 * int(ends[k]))), len(whole)]
+        kept = [whole[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        out, queue, met = [], [(0.0, (0,) * len(lists))], set()
+        while queue and len(out) < n:
             cost, at = heapq.heappop(queue)
-            scores.append(best - cost)
+            out.append((best - cost, kept[0] + b"".join(ways[i][1] + after for ways, i, after in zip(lists, at, kept[1:], strict=True))))
             for k, ways in enumerate(lists):
                 if at[k] + 1 < len(ways):
                     after = (*at[:k], at[k] + 1, *at[k + 1 :])
                     if after not in met:
                         met.add(after)
-                        heapq.heappush(queue, (cost - ways[at[k]] + ways[at[k] + 1], after))
-        return ids, scores
+                        heapq.heappush(queue, (cost - ways[at[k]][0] + ways[at[k] + 1][0], after))
+        return out
+
+    def encode(self, chunks: list[str], n: int) -> tuple[np.ndarray, list[float]]:
+        """Ids of the best segmentation, and the scores of the n best."""
+        found = self.paths(chunks, self.prepare([chunks])[0], n)
+        return np.frombuffer(found[0][1], "<u4"), [s for s, _ in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, byte pieces as the bytes they spell, the first space dropped."""
@@ -238,6 +364,18 @@ def lattice(path: str | None = None) -> Lattice:
     return _lattices[path]
 
 
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts that hold some million characters, or one longer text."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text) > _PART_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    yield part
+
+
 def encode(docs: DataFrame, n: int = 3, model: str | None = None, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The rows of docs, text replaced by: n_pieces, ids_crc32 (of the best segmentation's ids, unsigned little-endian
     32-bit), scores (of the n best, best first; fewer if fewer exist), round_trip (whether decoding gives the text
@@ -246,30 +384,33 @@ def encode(docs: DataFrame, n: int = 3, model: str | None = None, text_col: str
     Null and empty texts have no pieces and the one score 0. Whole texts are segmented. Repeated rows and null keys
     give a row each; columns of these names are replaced.
     """
-    names = [c.split()[0] for c in _ENCODED.split(", ")]
+    made = [*_ENCODED.split(", "), *["ids array<int>"] * with_ids]
+    names = [c.split()[0] for c in made]
     docs = docs.drop(*names, "ids")
     others = [f for f in docs.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = lattice(model)
         for batch in batches:
-            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+            for part in (batch.slice(k, _PART_ROWS) for k in range(0, batch.num_rows, _PART_ROWS)):
                 texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
-                cut = [search.chunks(t) for t in texts]
-                search.prepare(cut)
-                found = [search.encode(c, n) for c in cut]
+                found, back = [], []
+                for some in _parts(texts):
+                    cut = [search.chunks(t) for t in some]
+                    found += [search.paths(c, numbers, n) for c, numbers in zip(cut, search.prepare(cut), strict=True)]
+                    back += [search.decode(np.frombuffer(f[0][1], "<u4")) == t for f, t in zip(found[len(back) :], some, strict=True)]
                 columns = [
-                    pa.array([len(i) for i, _ in found], pa.int64()),
-                    pa.array([zlib.crc32(i.tobytes()) for i, _ in found], pa.int64()),
-                    pa.array([s for _, s in found], pa.list_(pa.float64())),
-                    pa.array([search.decode(i) == t for (i, _), t in zip(found, texts, strict=True)], pa.bool_()),
+                    pa.array([len(f[0][1]) // 4 for f in found], pa.int64()),
+                    pa.array([zlib.crc32(f[0][1]) for f in found], pa.int64()),
+                    pa.array([[s for s, _ in paths] for paths in found], pa.list_(pa.float64())),
+                    pa.array(back, pa.bool_()),
                 ]
                 if with_ids:
-                    columns.append(pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())))
+                    columns.append(pa.array([np.frombuffer(f[0][1], "<i4") for f in found], pa.list_(pa.int32())))
                 left = [part.column(part.schema.get_field_index(f.name)) for f in others]
-                yield pa.RecordBatch.from_arrays([*left, *columns], names=[*(f.name for f in others), *names, *["ids"] * with_ids])
+                yield pa.RecordBatch.from_arrays([*left, *columns], names=[*(f.name for f in others), *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), _ENCODED, *["ids array<int>"] * with_ids])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *made])
     return docs.mapInArrow(run, schema)
 
 

@@ -614,6 +614,17 @@ def brute_best_scores(search, text, n):
     return [(s, None) for s in best[-1]]
 
 
+def test_chunks_at_once_and_one_by_one_agree():
+    rng = np.random.default_rng(3)
+    words = sorted({piecelattice.SPACE + "".join(rng.choice(list("theriansoé;)\r∰"), rng.integers(1, 12))) for _ in range(3000)})
+    search = piecelattice.Lattice()
+    numbers = search.prepare([words])[0]
+    for word, k in zip(words, numbers.tolist(), strict=True):
+        score, detour, ids = search._viterbi(word)
+        assert (search.scores[k], search.detours[k]) == (score, detour)
+        assert search.ids[search.starts[k] :][: search.counts[k]].tolist() == ids.tolist() == list(search.n_best(word, 1)[0][1])
+
+
 def test_encode_and_decode_tables(docs, none):
     coded = piecelattice.encode(docs, with_ids=True)
     rows = coded.collect()
