@@ -5,7 +5,7 @@ of any prefix up to there; from the end of the text, A-star then walks backward
 heuristics, so hypotheses leave the queue in order of their full score. Of equal ways to a position both take the one
 with the shortest last piece.
 
-No piece runs over the start of a space or over a control character, so those are cut points
+Where no piece of the vocabulary runs over the start of a space or over a control character, those are cut points
 that every path crosses: Viterbi runs on the distinct chunks between them, many at once in numpy, whose pieces one walk
 down a tree of the vocabulary finds. It also tells what the cheapest detour of a chunk costs. The N best paths of a text
 leave the best one in at most N - 1 chunks, all among those with the N - 1 cheapest detours; A-star lists the paths of
@@ -31,14 +31,22 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 BYTE_PENALTY = 10.0
-_CHUNK = re.compile(rf"{SPACE}+[^{SPACE}\x00-\x1f]*|[\x00-\x1f]|[^{SPACE}\x00-\x1f]+")
 _LONGEST_IN_BATCH = 40
 _FEWEST_IN_BATCH = 8
 _BATCH_CHARS = 40_000
 _PART_ROWS, _PART_CHARS = 500, 2_000_000
 _HELD = 4_000_000
 _NONE = float("-inf")
-_ENCODED = "n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean"
+_ENCODED = "n_pieces long, ids_crc32 long, scores array<double>, n_best_pieces array<long>, n_best_crc32 array<long>, round_trip boolean"
+
+
+def _cut(pieces: dict) -> re.Pattern:
+    """Chunks of a text that no piece runs over: control characters no longer piece holds, and runs from one space to the next."""
+    glued = {c for p in pieces if len(p) > 1 for c in p if c < " "}
+    apart = "".join(f"\\x{k:02x}" for k in range(32) if chr(k) not in glued) or "\ud800"  # no text holds half a surrogate pair
+    if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        return re.compile(rf"[{apart}]|[^{apart}]+")
+    return re.compile(rf"{SPACE}+[^{SPACE}{apart}]*|[{apart}]|[^{SPACE}{apart}]+")
 
 
 class Tree:
@@ -117,6 +125,7 @@ class Lattice:
             for k in range(len(piece)):
                 self.endings.setdefault(piece[k:], (-1, _NONE) if len(piece) - k > 1 else self.spelled)
         self.endings.update(self.pieces)
+        self.cut = _cut(self.pieces)
         self.tree = Tree(self.pieces)
         self._forget()
 
@@ -259,7 +268,7 @@ class Lattice:
         return out
 
     def chunks(self, text: str) -> list[str]:
-        return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def prepare(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The number of every chunk of the texts, after Viterbi for those that aren't in the cache."""
@@ -378,15 +387,17 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
 
 def encode(docs: DataFrame, n: int = 3, model: str | None = None, text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The rows of docs, text replaced by: n_pieces, ids_crc32 (of the best segmentation's ids, unsigned little-endian
-    32-bit), scores (of the n best, best first; fewer if fewer exist), round_trip (whether decoding gives the text
-    back; it can't where the text itself holds the space mark), and ids (array<int>) if asked for.
+    32-bit), scores, n_best_pieces and n_best_crc32 (of the n best segmentations, best first; fewer if fewer exist),
+    round_trip (whether decoding the best gives the text back; it can't where the text itself holds the space mark),
+    and, if asked for, ids (array<int>, of the best) and n_best_ids (of all n).
 
     Null and empty texts have no pieces and the one score 0. Whole texts are segmented. Repeated rows and null keys
     give a row each; columns of these names are replaced.
     """
-    made = [*_ENCODED.split(", "), *["ids array<int>"] * with_ids]
+    lists = ["ids array<int>", "n_best_ids array<array<int>>"]
+    made = [*_ENCODED.split(", "), *(lists if with_ids else [])]
     names = [c.split()[0] for c in made]
-    docs = docs.drop(*names, "ids")
+    docs = docs.drop(*names, *(c.split()[0] for c in lists))
     others = [f for f in docs.schema.fields if f.name != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,14 +410,20 @@ def encode(docs: DataFrame, n: int = 3, model: str | None = None, text_col: str
                     cut = [search.chunks(t) for t in some]
                     found += [search.paths(c, numbers, n) for c, numbers in zip(cut, search.prepare(cut), strict=True)]
                     back += [search.decode(np.frombuffer(f[0][1], "<u4")) == t for f, t in zip(found[len(back) :], some, strict=True)]
+                sizes = [[len(ids) // 4 for _, ids in paths] for paths in found]
+                sums = [[zlib.crc32(ids) for _, ids in paths] for paths in found]
                 columns = [
-                    pa.array([len(f[0][1]) // 4 for f in found], pa.int64()),
-                    pa.array([zlib.crc32(f[0][1]) for f in found], pa.int64()),
+                    pa.array([k[0] for k in sizes], pa.int64()),
+                    pa.array([k[0] for k in sums], pa.int64()),
                     pa.array([[s for s, _ in paths] for paths in found], pa.list_(pa.float64())),
+                    pa.array(sizes, pa.list_(pa.int64())),
+                    pa.array(sums, pa.list_(pa.int64())),
                     pa.array(back, pa.bool_()),
                 ]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(f[0][1], "<i4") for f in found], pa.list_(pa.int32())))
+                    ids = [[np.frombuffer(i, "<i4") for _, i in paths] for paths in found]
+                    columns.append(pa.array([i[0] for i in ids], pa.list_(pa.int32())))
+                    columns.append(pa.array(ids, pa.list_(pa.list_(pa.int32()))))
                 left = [part.column(part.schema.get_field_index(f.name)) for f in others]
                 yield pa.RecordBatch.from_arrays([*left, *columns], names=[*(f.name for f in others), *names])
 

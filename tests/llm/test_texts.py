@@ -614,6 +614,30 @@ def brute_best_scores(search, text, n):
     return [(s, None) for s in best[-1]]
 
 
+@pytest.mark.parametrize("text", ["a;\r\nfoo();\r\n", "x\r\r\r", "end. \r\n}\r", "old\rlines {\r"])
+def test_pieces_over_carriage_returns_are_found(text):
+    search = piecelattice.lattice()
+    found = search.encode(search.chunks(text), 4)
+    want = brute_best(search, text, 4)
+    assert found[1] == [s for s, _ in want] and search.decode(found[0]) == text
+
+
+@pytest.mark.parametrize("text", ["a", "x\x01", "the idiot", "a bc  d\nxyz", "Éeau 😀 x\x01", "ththere of\tthe the the", "Ω" * 50 + " ∰∰"])
+def test_all_best_segmentations_are_given(text):
+    search = piecelattice.lattice()
+    chunks = search.chunks(text)
+    found = search.paths(chunks, search.prepare([chunks])[0], 4)
+    assert [s for s, _ in found] == [s for s, _ in brute_best(search, text, 4)]
+    assert len({ids for _, ids in found}) == len(found)
+    every = {i: s for i, s in search.pieces.values()} | {int(i): None for i in search.byte_ids}
+    for score, raw in found:
+        ids = np.frombuffer(raw, "<u4")
+        assert search.decode(ids) == text
+        bytes_of = sum(len(c.encode()) - 1 for c in text if c not in search.pieces and c != " ")
+        spelled = sum(every[i] is None for i in ids.tolist())
+        assert score == sum(every[i] or 0 for i in ids.tolist()) + (spelled - bytes_of) * search.byte_score
+
+
 def test_chunks_at_once_and_one_by_one_agree():
     rng = np.random.default_rng(3)
     words = sorted({piecelattice.SPACE + "".join(rng.choice(list("theriansoé;)\r∰"), rng.integers(1, 12))) for _ in range(3000)})
@@ -625,6 +649,21 @@ def test_chunks_at_once_and_one_by_one_agree():
         assert search.ids[search.starts[k] :][: search.counts[k]].tolist() == ids.tolist() == list(search.n_best(word, 1)[0][1])
 
 
+def test_other_vocabularies_are_cut_where_no_piece_runs():
+    assert piecelattice._cut({"▁a": (0, 0.0), ";\r": (1, 0.0)}).findall("▁a▁▁b;\r\nc") == ["▁a", "▁▁b;\r", "\n", "c"]
+    assert piecelattice._cut({"a▁b": (0, 0.0)}).findall("▁a▁b\rc") == ["▁a▁b", "\r", "c"]
+
+
+def test_n_best_columns(spark):
+    docs = spark.createDataFrame([(1, "the idiot;\r\nthe"), (2, None), (3, "")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in piecelattice.encode(docs, n=3, with_ids=True).collect()}
+    assert {k: len(r["n_best_ids"]) for k, r in rows.items()} == {1: 3, 2: 1, 3: 1}
+    for r in rows.values():
+        assert r["n_best_pieces"] == [len(i) for i in r["n_best_ids"]] and len(r["scores"]) == len(r["n_best_ids"])
+        assert r["n_best_crc32"] == [zlib.crc32(np.array(i, "<u4").tobytes()) for i in r["n_best_ids"]]
+        assert (r["n_pieces"], r["ids_crc32"], r["ids"]) == (r["n_best_pieces"][0], r["n_best_crc32"][0], r["n_best_ids"][0])
+
+
 def test_encode_and_decode_tables(docs, none):
     coded = piecelattice.encode(docs, with_ids=True)
     rows = coded.collect()
