@@ -233,38 +233,38 @@ class Lattice:
 
         A queue entry is a partial path and the best of its extensions not tried yet, so a step adds two entries at
         most. Of equal scores the newest goes first: ties are walked depth first, and n paths cost about n times the
-        text's length. Only Viterbi scores are held for every position.
+        text's length. Only Viterbi scores are held for every position; extensions are made when an entry's turn comes.
         """
         best = self._forward(text)[0]
         out: list[tuple[float, tuple[int, ...]]] = []
         order = 0
         queue: list[tuple] = []
 
-        def offer(i: int, ranked: list, k: int, after: float, path: tuple) -> None:
+        def offer(score: float, i: int, k: int, path: tuple) -> None:
             nonlocal order
             order += 1
-            heapq.heappush(queue, (-(ranked[k][0] + after), -order, i, ranked, k, after, path))
-
-        def extensions(i: int) -> list:
-            found = [(best[j] + s, j, s, ids) for j, s, ids in self.arcs(text, i)]
-            return sorted(found, key=lambda x: (-x[0], -x[1]))
+            heapq.heappush(queue, (-score, -order, i, k, after, path))
 
         if not text:
             return [(0.0, ())]
-        offer(len(text), extensions(len(text)), 0, 0.0, ())
+        after = 0.0
+        offer(best[-1], len(text), 0, ())
         while queue and len(out) < n:
-            _, _, i, ranked, k, after, path = heapq.heappop(queue)
+            _, _, i, k, after, path = heapq.heappop(queue)
+            ranked = sorted(((best[j] + s, j, s, ids) for j, s, ids in self.arcs(text, i)), key=lambda x: (-x[0], -x[1]))
             if k + 1 < len(ranked):
-                offer(i, ranked, k + 1, after, path)
+                offer(ranked[k + 1][0] + after, i, k + 1, path)
             _, j, s, ids_here = ranked[k]
+            after += s
+            path = (ids_here, path)
             if j:
-                offer(j, extensions(j), 0, s + after, (ids_here, path))
+                offer(best[j] + after, j, 0, path)
                 continue
-            path, ids = (ids_here, path), []
+            ids = []
             while path:
                 ids += path[0]
                 path = path[1]
-            out.append((s + after, tuple(ids)))
+            out.append((after, tuple(ids)))
         return out
 
     def chunks(self, text: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -649,6 +650,15 @@ def test_chunks_at_once_and_one_by_one_agree():
         assert search.ids[search.starts[k] :][: search.counts[k]].tolist() == ids.tolist() == list(search.n_best(word, 1)[0][1])
 
 
+def test_long_ties_hold_little():
+    search = piecelattice.lattice()
+    tracemalloc.start()
+    found = search.n_best("." * 20_000, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 3 and peak < 20_000 * 400
+
+
 def test_other_vocabularies_are_cut_where_no_piece_runs():
     assert piecelattice._cut({"▁a": (0, 0.0), ";\r": (1, 0.0)}).findall("▁a▁▁b;\r\nc") == ["▁a", "▁▁b;\r", "\n", "c"]
     assert piecelattice._cut({"a▁b": (0, 0.0)}).findall("▁a▁b\rc") == ["▁a▁b", "\r", "c"]
