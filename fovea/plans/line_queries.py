@@ -135,13 +135,13 @@ def filtered_halves(spark: SparkSession, sf: str) -> DataFrame:
     return filters.enough_paragraphs(halves, "who", 1)
 
 
-@query(W + """, l AS (SELECT content_group, participant_id, part_key % 7 AS feature, avg(ff) AS value FROM words0 JOIN meta USING (participant_id) WHERE L1 < 'NATION_2' GROUP BY 1, 2, 3),
+@query(W + """, l AS (SELECT content_group, participant_id, part_key % 7 AS feature, avg(ff) AS value FROM words0 JOIN meta USING (participant_id) GROUP BY 1, 2, 3),
 a AS (SELECT content_group, count(DISTINCT participant_id) n FROM l GROUP BY 1), c AS (SELECT content_group, feature FROM l JOIN a USING (content_group) GROUP BY content_group, feature, n HAVING count(DISTINCT participant_id) >= n),
 s AS (SELECT content_group, feature, count(*) n, stddev_samp(value) sd FROM l GROUP BY 1, 2)
 SELECT content_group, feature, n, c.feature IS NOT NULL AS everybody, round(sd, 6) + 0.0 AS sd FROM s LEFT JOIN c USING (content_group, feature) WHERE sd > 0""")
 def feature_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Which features vary, and which everybody of the group has."""
-    people = roles.readers(spark, sf).where("L1 < 'NATION_2'").select("participant_id", "content_group")
+    people = roles.readers(spark, sf).select("participant_id", "content_group")
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("participant_id")).join(people, "participant_id")
     cells = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") % 7).cast("tinyint").alias("_feature"), F.col("l_quantity").alias("ff")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     # kept: the statistics and the cover each read it

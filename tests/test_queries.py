@@ -97,6 +97,21 @@ def test_feature_cover_joins_the_line_items_once(spark, sf):
     assert "l_orderkey" not in plan
 
 
+def test_feature_cover_counts_readers_of_every_nation(spark, tmp_path):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    put("region", [(0, "ASIA")], "r_regionkey int, r_name string")
+    put("nation", [(0, "NATION_1", 0), (1, "NATION_2", 0), (2, "nation", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(k, "c", k % 3, 1.0, "g") for k in range(6)], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    put("orders", [(k, k) for k in range(6)], "o_orderkey bigint, o_custkey bigint")
+    # feature 1 all have, feature 2 all but a reader of the last nation, feature 3 only readers of the second
+    parts = [(k, 1) for k in range(6)] + [(k, 2) for k in range(5)] + [(k, 3) for k in (1, 4)]
+    put("lineitem", [(k, part, 10.0 * part + k) for k, part in parts], "l_orderkey bigint, l_partkey bigint, l_quantity double")
+    got = {r["feature"]: (r["n"], r["everybody"]) for r in catalog.queries()["feature_cover"](spark, str(tmp_path)).collect()}
+    assert got == {1: (6, True), 2: (5, False), 3: (2, False)}
+
+
 def test_direction_scores_join_statistics_of_known_size(spark, sf):
     plan = catalog.queries()["direction_cosine"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "stddev" not in plan and "Join" in plan
